@@ -102,8 +102,8 @@ def drop_constant(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, li
 def labelled(df: DataFrame, label: str) -> DataFrame:
     """Rows with a label; nothing at all when at most one class remains."""
     rows = df.where(F.col(label).isNotNull())
-    classes = rows.agg((F.min(label) != F.max(label)).alias("_enough"))
-    return rows.join(F.broadcast(classes.where("_enough").select("_enough")), how="left_semi")
+    several = rows.agg(F.min(label) != F.max(label)).scalar()
+    return rows.where(several)
 
 
 def featurized_only(df: DataFrame, featurized: DataFrame, key: str) -> DataFrame:

@@ -38,18 +38,19 @@ def fit_standard(df: DataFrame, features: Sequence[str], split: str = "split") -
         F.stddev_samp("value").alias("sd"),
         F.var_pop("value").alias("var"),
     )
-    verdict = stats.agg(
-        (
-            (F.abs(F.avg("mean")) > MEAN_TOLERANCE) | (F.abs(F.avg("sd") - 1.0) > STD_TOLERANCE)
-        ).alias("rescaled")
-    )
+    rescaled = stats.agg(
+        F.coalesce(
+            (F.abs(F.avg("mean")) > MEAN_TOLERANCE) | (F.abs(F.avg("sd") - 1.0) > STD_TOLERANCE),
+            F.lit(False),
+        )
+    ).scalar()
     scale = nonzero_scale(F.sqrt(F.col("var") * F.col("n") / F.col("n_all")))
-    # The verdict is one aggregated row.
-    return stats.join(F.broadcast(verdict)).select(
+    judged = stats.withColumn("rescaled", rescaled)
+    return judged.select(
         "feature",
         F.when(F.col("rescaled"), F.col("mean")).otherwise(0.0).alias("center"),
         F.when(F.col("rescaled"), scale).otherwise(1.0).alias("scale"),
-        F.coalesce("rescaled", F.lit(False)).alias("rescaled"),
+        "rescaled",
     )
 
 
@@ -91,8 +92,6 @@ def split_moments(df: DataFrame, features: Sequence[str], split: str = "split")
     )
     moments = per_feature.groupBy(split).agg(F.avg("m").alias("mean"), F.avg("s").alias("std"))
     sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows").alias("_all"))
-    sizes = sizes.join(F.broadcast(total)).select(
-        split, "rows", (F.col("rows") * 100.0 / F.col("_all")).alias("percent")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    sizes = sizes.withColumn("percent", F.col("rows") * 100.0 / total)
     return sizes.join(moments, split)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def share_run(counts: dict, targets: dict, weight: int, items: int) -> dict:
     """How many of ``items`` equal groups each split receives when every group goes
     to the split with the lowest filled share.
 
-    A split's t-th group arrives at fill level (count + t*weight) / target, and the
-    greedy order is those levels merged. All arrivals below a level are therefore
-    settled at once; only the last few are stepped through.
+    A split takes its t-th group at fill level (count + t*weight) / target, and the
+    greedy order is those levels merged. All arrivals strictly below a level are
+    therefore settled at once; only the last few are stepped through.
     """
     names = list(counts)
 
@@ -51,7 +53,7 @@ def share_run(counts: dict, targets: dict, weight: int, items: int) -> dict:
         out = {}
         for s in names:
             room = level * max(targets[s], 1e-9) - counts[s]
-            out[s] = max(0, int(room // weight)) if room > 0 else 0
+            out[s] = math.ceil(room / weight) if room > 0 else 0
         return out
 
     low, high = 0.0, 1.0
@@ -64,9 +66,6 @@ def share_run(counts: dict, targets: dict, weight: int, items: int) -> dict:
         else:
             high = mid
     given = arrivals(low)
-    while sum(given.values()) > items:
-        s = max(names, key=lambda k: (counts[k] + given[k] * weight) / max(targets[k], 1e-9))
-        given[s] -= 1
     while sum(given.values()) < items:
         s = min(names, key=lambda k: (counts[k] + given[k] * weight) / max(targets[k], 1e-9))
         given[s] += 1
@@ -131,7 +130,5 @@ def greedy_split(
 
 def split_sizes(df: DataFrame) -> DataFrame:
     sizes = df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows").alias("_all"))
-    return sizes.join(F.broadcast(total)).select(
-        "split", "rows", (F.col("rows") * 100.0 / F.col("_all")).alias("percent")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return sizes.select("split", "rows", (F.col("rows") * 100.0 / total).alias("percent"))
