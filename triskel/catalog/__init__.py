@@ -1,0 +1,10 @@
+"""Named queries over the driver's tables."""
+
+from importlib import import_module
+
+MODULES = ("vectors",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"triskel.catalog.{name}")

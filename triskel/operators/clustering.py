@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -11,25 +13,35 @@ from pyspark.sql import functions as F
 from triskel.functions.numeric import log_factorial
 
 RESTARTS = 10
+CONCURRENT_FITS = 5
 MARGIN_TILES = 8
 
 
 def kmeans_assign(
     points: DataFrame, key: str, clusters: int, restarts: int = RESTARTS, seed: int = 42
 ) -> DataFrame:
-    """(key, cluster) of the cheapest of several seeded k-means runs."""
+    """(key, cluster) of the cheapest of several seeded k-means runs.
+
+    Restarts are independent, so a few are fitted at a time to fill the gaps that
+    short iterations leave on the cluster.
+    """
     rows = points.select(key, array_to_vector(F.col("vec")).alias("features"))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    models = [
-        KMeans(k=clusters, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows)
-        for i in range(restarts)
-    ]
+    rows.count()
+
+    def fit(i: int):
+        kmeans = KMeans(k=clusters, seed=seed + i, featuresCol="features", predictionCol="cluster")
+        return kmeans.fit(rows)
+
+    with ThreadPool(min(restarts, CONCURRENT_FITS)) as pool:
+        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select(key, F.col("cluster").cast("bigint").alias("cluster"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n): all later agreement scores work on this small table."""
+    """(a, b, n). The agreement scores read it several times: pass it through
+    ``materialise`` first when ``df`` is expensive."""
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
