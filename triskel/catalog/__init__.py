@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors",)
+MODULES = ("vectors", "curation")
 
 
 def load_all() -> None:

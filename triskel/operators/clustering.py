@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triskel.functions.numeric import log_factorial
@@ -97,18 +97,16 @@ def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
     high = F.least(sa, sb, F.ceil(mean + reach))
     terms = combos.withColumn("k", F.explode(F.sequence(low, high)))
     k = F.col("k")
-    fixed = (
-        log_factorial(sa) + log_factorial(sb) + log_factorial(total - sa)
-        + log_factorial(total - sb) - log_factorial(total)
+    # Factors that hang on the margins alone cancel when a cell is normalised.
+    log_weight = -(
+        log_factorial(k) + log_factorial(sa - k) + log_factorial(sb - k)
+        + log_factorial(total - sa - sb + k)
     )
-    weight = F.exp(
-        fixed - log_factorial(k) - log_factorial(sa - k) - log_factorial(sb - k)
-        - log_factorial(total - sa - sb + k)
-    )
-    gain = F.when(
-        k > 0,
-        k / total * (F.log(total.cast("double")) + F.log(k.cast("double")) - F.log(sa.cast("double")) - F.log(sb.cast("double"))),
-    ).otherwise(0.0)
+    terms = terms.withColumn("lw", log_weight)
+    peak = F.max("lw").over(Window.partitionBy("sa", "sb"))
+    weight = F.exp(F.col("lw") - peak)
+    ratio = k.cast("double") * total / (sa.cast("double") * sb)
+    gain = F.when(k > 0, k / total * F.log(ratio)).otherwise(0.0)
     per_cell = terms.select("sa", "sb", "m_sa", "m_sb", weight.alias("w"), gain.alias("g")).groupBy(
         "sa", "sb", "m_sa", "m_sb"
     ).agg((F.sum(F.col("w") * F.col("g")) / F.sum("w")).alias("e"))
