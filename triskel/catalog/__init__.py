@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "curation")
+MODULES = ("vectors", "curation", "training")
 
 
 def load_all() -> None:

@@ -22,14 +22,16 @@ def fingerprint(identifier: Column, n_bits: int = FINGERPRINT_BITS, radius: int
     """Sorted set bits of hashed character n-grams, n = 1..radius+1. Not a chemical
     fingerprint: one of those plugs into ``fingerprint_table`` as ``bits``."""
     text = strip_annotation(identifier)
-    parts = []
-    for n in range(1, radius + 2):
+
+    def grams(n: int) -> Column:
         starts = F.when(
             F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))
         ).otherwise(F.array().cast("array<int>"))
-        parts.append(
-            F.transform(starts, lambda i, n=n: F.pmod(hash32(F.substring(text, i, F.lit(n))), F.lit(n_bits)).cast("int"))
+        return F.transform(
+            starts, lambda i: F.pmod(hash32(F.substring(text, i, F.lit(n))), F.lit(n_bits)).cast("int")
         )
+
+    parts = [grams(n) for n in range(1, radius + 2)]
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 

@@ -190,10 +190,12 @@ def not_yet_done(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> Da
     return planned.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def involved_mean(directions: DataFrame, modality: str, metric: str = "R@10") -> DataFrame:
-    """Mean over the directions that touch one modality."""
-    hit = (F.col("source") == modality) | (F.col("target") == modality)
-    return directions.where(hit & (F.col("metric") == metric)).agg(
+def involved_means(directions: DataFrame, metric: str = "R@10") -> DataFrame:
+    """(modality, directions, value): mean over the directions that touch a modality,
+    for every modality in one pass over (source, target, metric, value)."""
+    touched = directions.where(F.col("metric") == metric).select(
+        F.explode(F.array("source", "target")).alias("modality"), "value"
+    )
+    return touched.groupBy("modality").agg(
         F.count(F.lit(1)).alias("directions"), F.avg("value").alias("value")
     )
-

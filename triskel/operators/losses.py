@@ -81,7 +81,7 @@ def batch_losses(
         for a, b in pair_list
     }
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         n = table.num_rows
         z = {m: matrix(table, m) for m in mods}
         if group is None:

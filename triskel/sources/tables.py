@@ -7,7 +7,9 @@ whose row order carries meaning add an ``ordinal`` column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from triskel.functions.numeric import finite
 from triskel.functions.text import META_PREFIX, short_key, split_roles
 
 
+HEADER_READERS = 8
+
+
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
     """Matching paths on whatever file system the pattern names."""
     jvm = spark._jvm
@@ -42,7 +47,8 @@ def morphology_csv(
     files = [p for s in suffixes for p in _glob(spark, f"{base}/*{s}")]
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    headers = [_header(spark, p) for p in files]
+    with ThreadPool(min(len(files), HEADER_READERS)) as pool:
+        headers = pool.map(inheritable_thread_target(spark)(lambda p: _header(spark, p)), files)
     shared = set(headers[0]).intersection(*headers[1:])
     features = sorted(split_roles(sorted(shared))[0])
     meta = sorted(c for c in shared if c.startswith(META_PREFIX))
