@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "curation", "training")
+MODULES = ("vectors", "curation", "training", "experiments", "ingest")
 
 
 def load_all() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triskel.catalog.base import query, table
+from triskel.catalog.base import query, spread, table
 from triskel.catalog.embedding_data import hash_sql
 from triskel.catalog.source_data import (
     ALL_FEATURES,
@@ -25,6 +25,7 @@ from triskel.functions.numeric import rounded
 from triskel.functions.vectors import assemble, missing_count
 from triskel.operators import filters, joins, ordering, scaling, splits
 from triskel.plans import curate as flow
+from triskel.session import materialise
 
 
 def _expr(spark, sf_dir):
@@ -177,6 +178,13 @@ def _split(spark, sf_dir):
     return splits.hashed_split(_clean(spark, sf_dir), "row_key")
 
 
+def _split_cut(spark, sf_dir):
+    """The split rows written once: a fit scans them several times."""
+    rows = spread(build(spark, sf_dir, FEATURES), "order_key")
+    clean = filters.drop_empty_rows(filters.clean_features(rows, ALL_FEATURES), ALL_FEATURES)
+    return materialise(splits.hashed_split(clean, "row_key"))
+
+
 @query(
     "constant_features",
     f"""WITH {_SPLIT_SQL} SELECT feature FROM ls WHERE split = 'train' GROUP BY feature HAVING stddev_samp(value) = 0""",
@@ -217,7 +225,7 @@ _STANDARD_SQL = """
     f"WITH {_ROBUST_SQL} SELECT feature, round(center, 6) + 0.0 AS center, round(scale, 6) + 0.0 AS scale FROM rf",
 )
 def robust_fit(spark, sf_dir):
-    fit = scaling.fit_robust(_split(spark, sf_dir), MORPH_FEATURES)
+    fit = scaling.fit_robust(_split_cut(spark, sf_dir), MORPH_FEATURES)
     return fit.select("feature", rounded(F.col("center")).alias("center"), rounded(F.col("scale")).alias("scale"))
 
 
@@ -243,7 +251,7 @@ def standard_fit(spark, sf_dir):
 )
 def standard_fit_skipped(spark, sf_dir):
     """A modality that is already z-scored is left alone."""
-    rows = _split(spark, sf_dir)
+    rows = _split_cut(spark, sf_dir)
     scaled = scaling.apply_scaling(rows, scaling.fit_standard(rows, EXPR_FEATURES), EXPR_FEATURES, -1e9, 1e9)
     return scaling.fit_standard(scaled, EXPR_FEATURES)
 
@@ -267,7 +275,7 @@ def _scaled_col(f: str) -> str:
     + " FROM sp, fw",
 )
 def scaled_rows(spark, sf_dir):
-    rows = _split(spark, sf_dir)
+    rows = _split_cut(spark, sf_dir)
     fit = scaling.fit_modalities(rows, MORPH_FEATURES, EXPR_FEATURES)
     scaled = scaling.apply_scaling(rows, fit, ALL_FEATURES)
     return scaled.select("order_key", "row_key", "split", *[rounded(F.col(f)).alias(f) for f in ALL_FEATURES])

@@ -5,129 +5,149 @@ buffer. Here a bounded sketch proposes cut points, exact counts per (feature,
 slice) locate the slice that holds each wanted rank, and only those slices,
 pre-aggregated to (value, count), are sorted. Poor cut points cost time, never
 exactness.
+
+This is a fit: it runs jobs and keeps a few numbers per feature on the driver. A
+feature is a column of the wide table, so their number is the schema's width.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 32
+from triskel.session import local_table
 
+SLICES = 16
+SKETCH_ACCURACY = 1000
 
-def with_slices(long: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(feature, value, slice): slice = number of cut points below the value.
 
-    One row of cut points per feature, hence as many rows as the source has
-    columns: that bound is what makes the broadcast safe.
-    """
-    cuts = long.groupBy("feature").agg(
-        F.percentile_approx("value", [i / slices for i in range(1, slices)], 1000).alias("_cuts")
-    )
-    below = F.lit(0)
-    for i in range(slices - 1):
-        below = below + (F.col("value") > F.col("_cuts")[i]).cast("int")
-    return long.join(F.broadcast(cuts), "feature").select(
-        "feature", "value", below.alias("slice")
+class Profile(NamedTuple):
+    """What one pass over a feature yields."""
+
+    rows: int
+    present: int
+    mean: float | None
+    sd: float | None
+    variance: float | None
+    cuts: list[float] | None
+
+    @property
+    def gaps(self) -> int:
+        return self.rows - self.present
+
+
+def profile(long: DataFrame, slices: int = SLICES) -> dict[str, Profile]:
+    """feature -> counts, moments and cut points, in one pass over (feature, value)."""
+    shares = [i / slices for i in range(1, slices)]
+    rows = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("value").alias("present"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("sd"),
+        F.var_pop("value").alias("variance"),
+        F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"),
     )
+    return {
+        r["feature"]: Profile(r["rows"], r["present"], r["mean"], r["sd"], r["variance"], r["cuts"])
+        for r in rows.collect()
+    }
 
 
-def order_statistics(long: DataFrame, ranks: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(feature, tag, value) for wanted ``ranks`` (feature, tag, pos), pos 0-based.
+def _sliced(long: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(feature, value, slice): slice = number of cut points below the value.
 
-    ``long`` holds (feature, value) with no NULLs.
+    Cut points are plain non-null columns of the broadcast side, which keeps the
+    generated code small enough to be compiled.
     """
-    sliced = with_slices(long, slices)
-    counts = sliced.groupBy("feature", "slice").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("feature").orderBy("slice").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ends = counts.withColumn("_end", F.sum("_n").over(upto))
-    located = (
-        ranks.join(ends, "feature")
-        .where((F.col("pos") < F.col("_end")) & (F.col("pos") >= F.col("_end") - F.col("_n")))
-        .select("feature", "tag", "slice", (F.col("pos") - F.col("_end") + F.col("_n")).alias("_local"))
-    )
-    wanted = located.select("feature", "slice").distinct()
-    values = (
-        sliced.join(F.broadcast(wanted), ["feature", "slice"], "left_semi")
-        .groupBy("feature", "slice", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    width = len(next(iter(cuts.values())))
+    schema = "feature string not null, " + ", ".join(f"_c{i} double not null" for i in range(width))
+    table = local_table(long.sparkSession, [(f, *map(float, c)) for f, c in cuts.items()], schema)
+    below = F.lit(0)
+    for i in range(width):
+        below = below + F.when(F.col("value") > F.col(f"_c{i}"), 1).otherwise(0)
+    present = long.where(F.col("value").isNotNull())
+    return present.join(F.broadcast(table), "feature").select("feature", "value", below.alias("slice"))
+
+
+def order_statistics(
+    long: DataFrame, cuts: Mapping[str, Sequence[float]], ranks: Mapping[str, Sequence[int]]
+) -> dict[tuple[str, int], float]:
+    """(feature, rank) -> value for 0-based ranks among the feature's present values."""
+    sliced = _sliced(long, cuts)
+    counts: dict[str, dict[int, int]] = {}
+    for r in sliced.groupBy("feature", "slice").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["feature"], {})[r["slice"]] = r["n"]
+
+    wanted = []
+    for feature, positions in ranks.items():
+        start = 0
+        for number in sorted(counts.get(feature, {})):
+            end = start + counts[feature][number]
+            wanted += [(feature, number, p, p - start) for p in set(positions) if start <= p < end]
+            start = end
+    spark = long.sparkSession
+    targets = local_table(spark, wanted, "feature string, slice int, pos bigint, local bigint")
+    chosen = sliced.join(F.broadcast(targets.select("feature", "slice").distinct()), ["feature", "slice"], "left_semi")
+    values = chosen.groupBy("feature", "slice", "value").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ladder = values.withColumn("_end", F.sum("_n").over(running))
-    hit = (F.col("_local") < F.col("_end")) & (F.col("_local") >= F.col("_end") - F.col("_n"))
-    return (
-        ladder.join(F.broadcast(located), ["feature", "slice"])
-        .where(hit)
-        .select("feature", "tag", "value")
-    )
+    ladder = values.withColumn("upto", F.sum("n").over(running))
+    hit = (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n"))
+    found = ladder.join(F.broadcast(targets), ["feature", "slice"]).where(hit)
+    return {(r["feature"], r["pos"]): r["value"] for r in found.select("feature", "pos", "value").collect()}
 
 
-def _ends(p: str, at: Column) -> Column:
-    """Lower and upper rank of a linearly interpolated quantile, as (tag, pos)."""
-    return F.array(
-        F.struct(F.lit(p + "_lo").alias("tag"), F.floor(at).alias("pos")),
-        F.struct(F.lit(p + "_hi").alias("tag"), F.ceil(at).alias("pos")),
-    )
+def _between(at: float, value_at) -> float:
+    """Linear interpolation between the two ranks around ``at``."""
+    low = math.floor(at)
+    a, b = value_at(low), value_at(math.ceil(at))
+    return a + (b - a) * (at - low)
 
 
-def filled_quartiles(long: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(feature, center, p25, p75): the median, and the quartiles after missing
-    values have been replaced by it; NULLs in ``long`` are the missing values.
+def filled_quartiles(
+    long: DataFrame, profiles: Mapping[str, Profile] | None = None
+) -> dict[str, tuple[float, float, float]]:
+    """feature -> (median, p25, p75), the quartiles taken after missing values have
+    been replaced by the median; NULLs in ``long`` are the missing values.
 
     The copies of the median slot in between the two halves of the sorted values,
     so ranks in the filled column follow from the counts alone and one selection
     pass serves all three.
     """
-    sizes = long.groupBy("feature").agg(
-        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("gaps")
-    ).where("n > 0")
-    n, gaps = F.col("n"), F.col("gaps")
-    filled = n + gaps
-    half = F.floor(n / 2)
-    ranks = sizes.select(
-        "feature", "n", "gaps",
-        F.explode(
-            F.concat(
-                _ends("p50", (n - 1) * 0.5),
-                _ends("p25", (filled - 1) * 0.25),
-                _ends("p75", (filled - 1) * 0.75),
-            )
-        ).alias("r"),
-    ).select("feature", "n", "gaps", "r.tag", "r.pos")
-    is_median = F.col("tag").startswith("p50")
-    inside = ~is_median & (F.col("pos") >= half) & (F.col("pos") < half + gaps)
-    shifted = F.when(~is_median & (F.col("pos") >= half + gaps), F.col("pos") - gaps).otherwise(
-        F.col("pos")
-    )
-    # Ranks that fall on a filled-in copy need no lookup.
-    ranks = ranks.withColumn("_copy", inside)
-    looked_up = ranks.where(~F.col("_copy")).select(
-        "feature", "tag", shifted.cast("bigint").alias("pos")
-    )
-    present = long.where(F.col("value").isNotNull()).select("feature", "value")
-    stats = (
-        order_statistics(present, looked_up, slices)
-        .groupBy("feature")
-        .pivot("tag", ["p50_lo", "p50_hi", "p25_lo", "p25_hi", "p75_lo", "p75_hi"])
-        .agg(F.first("value"))
-        .join(sizes, "feature")
-    )
-
-    def between(p: str, at: Column, lo: Column, hi: Column) -> Column:
-        return lo + (hi - lo) * (at - F.floor(at))
-
-    center = between("p50", (n - 1) * 0.5, F.col("p50_lo"), F.col("p50_hi"))
-    stats = stats.withColumn("center", center)
-
-    def quartile(p: str, q: float) -> Column:
-        lo = F.coalesce(F.col(p + "_lo"), F.col("center"))
-        hi = F.coalesce(F.col(p + "_hi"), F.col("center"))
-        return between(p, (filled - 1) * q, lo, hi)
-
-    return stats.select(
-        "feature", "center", quartile("p25", 0.25).alias("p25"), quartile("p75", 0.75).alias("p75")
-    )
+    stats = {f: p for f, p in (profiles or profile(long)).items() if p.present}
+    if not stats:
+        return {}
+
+    def present_rank(p: Profile, rank: int) -> int | None:
+        """Rank among the present values, or None for a filled-in copy."""
+        half = p.present // 2
+        if rank < half:
+            return rank
+        return None if rank < half + p.gaps else rank - p.gaps
+
+    wanted: dict[str, list[int]] = {}
+    for feature, p in stats.items():
+        middle = (p.present - 1) * 0.5
+        ranks = [math.floor(middle), math.ceil(middle)]
+        for q in (0.25, 0.75):
+            at = (p.rows - 1) * q
+            ranks += [present_rank(p, math.floor(at)), present_rank(p, math.ceil(at))]
+        wanted[feature] = [r for r in ranks if r is not None]
+    values = order_statistics(long, {f: p.cuts for f, p in stats.items()}, wanted)
+
+    out = {}
+    for feature, p in stats.items():
+        median = _between((p.present - 1) * 0.5, lambda r, f=feature: values[f, r])
+
+        def filled(rank: int, f=feature, p=p, m=median) -> float:
+            present = present_rank(p, rank)
+            return m if present is None else values[f, present]
+
+        low, high = (_between((p.rows - 1) * q, filled) for q in (0.25, 0.75))
+        out[feature] = (median, low, high)
+    return out

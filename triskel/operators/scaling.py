@@ -1,67 +1,92 @@
-"""Scalers fitted on the training split and applied to every split."""
+"""Scalers fitted on the training split and applied to every split.
+
+Fitting runs jobs and keeps a few numbers per feature, that is per column of the
+wide table, on the driver; applying is a plain projection.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from statistics import fmean
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triskel.functions.numeric import clip, nonzero_scale
+from triskel.functions.numeric import clip
 from triskel.operators.filters import to_long
-from triskel.operators.quantiles import filled_quartiles
+from triskel.operators.quantiles import Profile, filled_quartiles, profile
+from triskel.session import local_table
 
 MEAN_TOLERANCE = 0.1
 STD_TOLERANCE = 0.3
 
 
+FIT_SCHEMA = "feature string, center double, scale double"
+
+
 def train_long(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     return to_long(df.where(F.col(split) == "train"), [], features)
 
 
+def _robust_rows(long: DataFrame, profiles: Mapping[str, Profile]) -> list[tuple]:
+    quartiles = filled_quartiles(long, profiles)
+    return [(f, m, (p75 - p25) or 1.0) for f, (m, p25, p75) in quartiles.items()]
+
+
+def _standard_rows(profiles: Mapping[str, Profile]) -> list[tuple]:
+    means = [p.mean for p in profiles.values() if p.mean is not None]
+    deviations = [p.sd for p in profiles.values() if p.sd is not None]
+    off_centre = bool(means) and abs(fmean(means)) > MEAN_TOLERANCE
+    off_scale = bool(deviations) and abs(fmean(deviations) - 1.0) > STD_TOLERANCE
+    if not (off_centre or off_scale):
+        return [(f, 0.0, 1.0, False) for f in profiles]
+    # Filling with the mean leaves the mean alone and shrinks the variance.
+    return [
+        (f, p.mean, math.sqrt(p.variance * p.present / p.rows) or 1.0, True)
+        for f, p in profiles.items()
+        if p.present
+    ]
+
+
 def fit_robust(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """(feature, center, scale): median and interquartile range of the
     median-filled training values; a zero range counts as 1."""
-    q = filled_quartiles(train_long(df, features, split))
-    return q.select("feature", "center", nonzero_scale(F.col("p75") - F.col("p25")).alias("scale"))
+    long = train_long(df, features, split)
+    return local_table(df.sparkSession, _robust_rows(long, profile(long)), FIT_SCHEMA)
 
 
 def fit_standard(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """(feature, center, scale, rescaled): mean and population deviation of the
     mean-filled training values, or (0, 1) for all features when the modality
-    already looks z-scored. One pass: filling with the mean leaves the mean alone
-    and shrinks the variance by n / n_filled."""
-    stats = train_long(df, features, split).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.var_pop("value").alias("var"),
-    )
-    rescaled = stats.agg(
-        F.coalesce(
-            (F.abs(F.avg("mean")) > MEAN_TOLERANCE) | (F.abs(F.avg("sd") - 1.0) > STD_TOLERANCE),
-            F.lit(False),
-        )
-    ).scalar()
-    scale = nonzero_scale(F.sqrt(F.col("var") * F.col("n") / F.col("n_all")))
-    judged = stats.withColumn("rescaled", rescaled)
-    return judged.select(
-        "feature",
-        F.when(F.col("rescaled"), F.col("mean")).otherwise(0.0).alias("center"),
-        F.when(F.col("rescaled"), scale).otherwise(1.0).alias("scale"),
-        "rescaled",
-    )
+    already looks z-scored. One pass over the data."""
+    rows = _standard_rows(profile(train_long(df, features, split)))
+    return local_table(df.sparkSession, rows, FIT_SCHEMA + ", rescaled boolean")
 
 
-def fit_modalities(df: DataFrame, morph: Sequence[str], expr: Sequence[str]) -> DataFrame:
+def fit_modalities(
+    df: DataFrame, morph: Sequence[str], expr: Sequence[str], split: str = "split"
+) -> DataFrame:
     """Robust fit for one modality, conditional standard fit for the other."""
-    parts = []
-    if morph:
-        parts.append(fit_robust(df, morph))
-    if expr:
-        parts.append(fit_standard(df, expr).drop("rescaled"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    profiles = profile(train_long(df, [*morph, *expr], split))
+    return fit_from(df, profiles, morph, expr, split)
+
+
+def fit_from(
+    df: DataFrame,
+    profiles: Mapping[str, Profile],
+    morph: Sequence[str],
+    expr: Sequence[str],
+    split: str = "split",
+) -> DataFrame:
+    """The same from training profiles that are already at hand."""
+
+    def part(features):
+        return {f: profiles[f] for f in features if f in profiles}
+
+    rows = _robust_rows(train_long(df, morph, split), part(morph)) if morph else []
+    rows += [r[:3] for r in _standard_rows(part(expr))]
+    return local_table(df.sparkSession, rows, FIT_SCHEMA)
 
 
 def apply_scaling(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triskel.functions.hashing import hash32, unit_hash
 from triskel.functions.text import strip_annotation
 from triskel.operators.ordering import ordered_index
+from triskel.session import local_table
 
 FRACTIONS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
@@ -106,8 +107,8 @@ def greedy_split(
         plan.append((r["compounds"], r["rows"], given["train"], given["train"] + given["val"]))
         for s in counts:
             counts[s] += given[s] * r["rows"]
-    quota = df.sparkSession.createDataFrame(
-        plan, "compounds bigint, rows bigint, val_from bigint, test_from bigint"
+    quota = local_table(
+        df.sparkSession, plan, "compounds bigint, rows bigint, val_from bigint, test_from bigint"
     )
     hashed = groups.withColumn("_h", hash32(seed, F.col("group_key")))
     placed = ordered_index(

@@ -8,14 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triskel.functions.text import META_PREFIX, short_key, split_roles
-from triskel.operators.filters import (
-    drop_constant,
-    drop_unresolved,
-    quality_filter,
-    remove_controls,
-)
+from triskel.operators.filters import drop_unresolved, quality_filter, remove_controls
 from triskel.operators.joins import pair_round_robin, resolve_identifier, resolve_label
-from triskel.operators.scaling import apply_scaling, fit_modalities
+from triskel.operators.quantiles import profile
+from triskel.operators.scaling import apply_scaling, fit_from, train_long
 from triskel.operators.splits import greedy_split, group_key, hashed_split
 from triskel.session import materialise
 from triskel.sources.sinks import manifest_table, write_manifest, write_splits
@@ -74,8 +70,8 @@ def curate(
     """From matched rows to scaled, split rows.
 
     The order matters: the split precedes constant-feature removal and scaling, so
-    both see the training rows only. ``cut`` writes the matched rows once, since
-    every later step scans them again.
+    both see the training rows only, through one profile of them. ``cut`` writes the
+    matched rows once, since every later step scans them again.
     """
     rows = remove_controls(matched)
     if cut:
@@ -85,11 +81,15 @@ def curate(
     group = group_key(F.col("smiles"), F.col(scaffold) if scaffold else None)
     if greedy:
         rows = greedy_split(rows, group=group, seed=seed)
+        # The split came through a shuffle; the fit below scans it several times.
+        rows = materialise(rows) if cut else rows
     else:
         rows = hashed_split(rows.withColumn("_group", group), "_group", seed).drop("_group")
-    rows, kept = drop_constant(rows, kept)
+    profiles = profile(train_long(rows, kept))
+    flat = [f for f in kept if f in profiles and profiles[f].sd == 0.0]
+    rows, kept = rows.drop(*flat), [f for f in kept if f not in flat]
     morph, expr = split_roles(kept)
-    fit = fit_modalities(rows, morph, expr)
+    fit = fit_from(rows, profiles, morph, expr)
     return Curated(apply_scaling(rows, fit, morph + expr, low, high), morph, expr)
 
 

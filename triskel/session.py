@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "triskel", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,5 +54,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def default_threads() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of driver-side rows as a local relation: no job, no shuffle."""
+    fields = spark.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    data = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    return spark.createDataFrame(data, fields)
