@@ -37,25 +37,24 @@ def _topk_kernel(key: str, k: int, kind: str):
         c = sort_by(c, key)
         q_ids, c_ids = values(q, key), values(c, key)
         rows, nbrs, sims = [], [], []
-        if len(q_ids) and len(c_ids):
-            qm, cm = matrix(q, "vec"), matrix(c, "vec")
-            for s in chunks(len(q_ids)):
-                sim = np.round(qm[s] @ cm.T, SIM_DECIMALS)
-                sim[q_ids[s, None] == c_ids[None, :]] = -np.inf
-                # Candidates are in key order, so a stable sort settles ties by key.
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(sim, top, axis=1)
-                keep = np.isfinite(best)
-                rows.append(np.repeat(q_ids[s], top.shape[1])[keep.ravel()])
-                nbrs.append(c_ids[top].ravel()[keep.ravel()])
-                sims.append(best.ravel()[keep.ravel()])
-
-        def joined(parts, t):
-            return pa.array(np.concatenate(parts) if parts else [], type=t)
-
+        qm, cm = matrix(q, "vec"), matrix(c, "vec")
+        for s in chunks(len(q_ids)):
+            sim = np.round(qm[s] @ cm.T, SIM_DECIMALS)
+            sim[q_ids[s, None] == c_ids[None, :]] = -np.inf
+            # Candidates are in key order, so a stable sort settles ties by key.
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(sim, top, axis=1)
+            keep = np.isfinite(best).ravel()
+            rows.append(np.repeat(q_ids[s], top.shape[1])[keep])
+            nbrs.append(c_ids[top].ravel()[keep])
+            sims.append(best.ravel()[keep])
         t = _arrow(kind)
         return pa.table(
-            {key: joined(rows, t), "neighbour": joined(nbrs, t), "sim": joined(sims, pa.float64())}
+            {
+                key: pa.array(np.concatenate(rows), type=t),
+                "neighbour": pa.array(np.concatenate(nbrs), type=t),
+                "sim": pa.array(np.concatenate(sims)),
+            }
         )
 
     return run
@@ -116,25 +115,20 @@ def _nearest_kernel(key: str, centre: str, kind: str, centre_kind: str):
     def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
         c = sort_by(c, centre)
         ids, centres = values(q, key), values(c, centre)
-        best_id, best_d = np.empty(0, centres.dtype), np.empty(0)
-        if len(ids) and len(centres):
-            qm, cm = matrix(q, "vec"), matrix(c, "vec")
-            sq_c = np.einsum("ij,ij->i", cm, cm)
-            found, dist = [], []
-            for s in chunks(len(ids)):
-                sq_q = np.einsum("ij,ij->i", qm[s], qm[s])
-                d2 = np.round(sq_q[:, None] + sq_c[None, :] - 2.0 * (qm[s] @ cm.T), SIM_DECIMALS)
-                at = d2.argmin(axis=1)
-                found.append(centres[at])
-                dist.append(d2[np.arange(len(at)), at])
-            best_id, best_d = np.concatenate(found), np.concatenate(dist)
-        else:
-            ids = ids[:0]
+        qm, cm = matrix(q, "vec"), matrix(c, "vec")
+        sq_c = np.einsum("ij,ij->i", cm, cm)
+        found, dist = [], []
+        for s in chunks(len(ids)):
+            sq_q = np.einsum("ij,ij->i", qm[s], qm[s])
+            d2 = np.round(sq_q[:, None] + sq_c[None, :] - 2.0 * (qm[s] @ cm.T), SIM_DECIMALS)
+            at = d2.argmin(axis=1)
+            found.append(centres[at])
+            dist.append(d2[np.arange(len(at)), at])
         return pa.table(
             {
                 key: pa.array(ids, type=_arrow(kind)),
-                centre: pa.array(best_id, type=_arrow(centre_kind)),
-                "d2": pa.array(best_d, type=pa.float64()),
+                centre: pa.array(np.concatenate(found), type=_arrow(centre_kind)),
+                "d2": pa.array(np.concatenate(dist)),
             }
         )
 

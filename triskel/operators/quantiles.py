@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from triskel.session import local_table
 
-SLICES = 16
+SLICES = 32
 SKETCH_ACCURACY = 1000
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TILE_ROWS = 4096
 MIN_TILE_ROWS = 256
@@ -47,11 +48,22 @@ def tile_cogroup(
 ) -> DataFrame:
     """Runs ``kernel(key, query_table, candidate_table)`` on every tile pair.
 
-    ``upper`` keeps one of the two mirrored tile pairs of a symmetric problem.
+    ``upper`` keeps one of the two mirrored tile pairs of a symmetric problem. A pair
+    with an empty side contributes nothing and never reaches the kernel.
     """
     nq, nc = tiles
+    empty = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema).empty_table()
+
+    def run(key, q, c):
+        if not (q.num_rows and c.num_rows):
+            return empty
+        return kernel(key, q, c.rename_columns([n.removeprefix("_c_") for n in c.column_names]))
+
+    # Both sides often are one table. Fresh names keep the columns of the second side
+    # apart, or column pruning would take them for those of the first and drop them.
+    candidates = candidates.select(*[F.col(n).alias(f"_c_{n}") for n in candidates.columns])
     q = queries.withColumn("_qt", _tile_of(query_key, nq))
-    c = candidates.withColumn("_ct", _tile_of(candidate_key, nc))
+    c = candidates.withColumn("_ct", _tile_of(f"_c_{candidate_key}", nc))
     first = F.col("_qt") if upper else F.lit(0)
     last = F.col("_ct") if upper else F.lit(nq - 1)
     q = q.withColumn("_ct", F.explode(F.sequence(first, F.lit(nc - 1))))
@@ -62,20 +74,14 @@ def tile_cogroup(
     q = q.repartition(tasks, "_qt", "_ct")
     c = c.repartition(tasks, "_qt", "_ct")
     return (
-        q.groupBy("_qt", "_ct").cogroup(c.groupBy("_qt", "_ct")).applyInArrow(kernel, schema)
+        q.groupBy("_qt", "_ct").cogroup(c.groupBy("_qt", "_ct")).applyInArrow(run, schema)
     )
 
 
 def matrix(table: pa.Table, column: str) -> np.ndarray:
     """list<double> column as a 2-D array."""
-    n = table.num_rows
-    col = table.column(column).combine_chunks()
-    if n == 0:
-        return np.zeros((0, 0))
-    flat = col.flatten() if not isinstance(col, pa.ChunkedArray) else pa.concat_arrays(
-        [c.flatten() for c in col.chunks]
-    )
-    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
+    flat = pa.concat_arrays([c.flatten() for c in table.column(column).chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
 def values(table: pa.Table, column: str) -> np.ndarray:
