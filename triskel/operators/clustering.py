@@ -113,32 +113,33 @@ def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
     return per_cell.agg(F.sum(F.col("e") * F.col("m_sa") * F.col("m_sb")).alias("emi"))
 
 
-def _entropy(cells: DataFrame, col: str):
-    n = cells.agg(F.sum("n")).scalar()
-    margin = cells.groupBy(col).agg(F.sum("n").alias("s")).withColumn("t", n)
-    p = F.col("s") / F.col("t")
-    return margin.agg(-F.sum(p * F.log(p))).scalar()
-
-
 def adjusted_mutual_information(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """(ami), arithmetic average of the entropies; 1.0 for two one-class labelings."""
-    n = cells.agg(F.sum("n")).scalar()
-    ma = cells.groupBy(a).agg(F.sum("n").alias("sa"))
-    mb = cells.groupBy(b).agg(F.sum("n").alias("sb"))
-    joint = cells.join(ma, a).join(mb, b).withColumn("t", n)
-    p = F.col("n") / F.col("t")
-    mi = joint.agg(
-        F.sum(p * F.log(F.col("n").cast("double") * F.col("t") / (F.col("sa").cast("double") * F.col("sb")))).alias("mi"),
-        F.count_distinct(a).alias("ca"),
-        F.count_distinct(b).alias("cb"),
+    """(ami), arithmetic average of the entropies; 1.0 for two one-class labelings.
+
+    Mutual information and both entropies are sums of n*ln(.) over the cells plus
+    ln of the total, so one aggregation yields them all.
+    """
+    n = F.col("n")
+    joint = cells.select(
+        a,
+        b,
+        n.cast("double").alias("n"),
+        F.sum("n").over(Window.partitionBy(a)).cast("double").alias("sa"),
+        F.sum("n").over(Window.partitionBy(b)).cast("double").alias("sb"),
     )
-    emi = expected_information(cells, a, b).scalar()
-    parts = mi.withColumns({"emi": emi, "ha": _entropy(cells, a), "hb": _entropy(cells, b)})
-    top = (F.col("ha") + F.col("hb")) / 2.0 - F.col("emi")
+    sums = joint.agg(
+        F.sum("n").alias("t"),
+        F.sum(n * F.log("n")).alias("ln"),
+        F.sum(n * F.log("sa")).alias("la"),
+        F.sum(n * F.log("sb")).alias("lb"),
+        (F.min(a) == F.max(a)).alias("one_a"),
+        (F.min(b) == F.max(b)).alias("one_b"),
+    ).withColumn("emi", expected_information(cells, a, b).scalar())
+    t, la, lb = F.col("t"), F.col("la"), F.col("lb")
+    mi = (F.col("ln") - la - lb) / t + F.log(t)
+    top = F.log(t) - (la + lb) / (2.0 * t) - F.col("emi")
     eps = 2.220446049250313e-16
     safe = F.when(top < 0, F.least(top, F.lit(-eps))).otherwise(F.greatest(top, F.lit(eps)))
-    return parts.select(
-        F.when((F.col("ca") == 1) & (F.col("cb") == 1), 1.0)
-        .otherwise((F.col("mi") - F.col("emi")) / safe)
-        .alias("ami")
+    return sums.select(
+        F.when(F.col("one_a") & F.col("one_b"), 1.0).otherwise((mi - F.col("emi")) / safe).alias("ami")
     )

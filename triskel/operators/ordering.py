@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from triskel.functions.hashing import hash32
 
 SLICE_ROWS = 1 << 20
+# Width of a slice of 32-bit hashes: 65,536 even slices.
+HASH_SLICE = 1 << 16
 
 
 def ordinal_bucket(ordinal: str, width: int = SLICE_ROWS) -> Column:
@@ -89,10 +91,10 @@ def batches(
 def seeded_shuffle(df: DataFrame, row_key: str, seed: int, out: str = "position") -> DataFrame:
     """Shuffled 0-based positions.
 
-    The leading 12 bits of the hash are the bucket: 4096 even slices at any scale.
+    The leading 16 bits of the hash are the bucket, so slices are even at any scale.
     """
     hashed = df.withColumn("_h", hash32(seed, F.col(row_key)))
-    bucket = F.floor(F.col("_h") / F.lit(1 << 20)).cast("bigint")
+    bucket = F.floor(F.col("_h") / F.lit(HASH_SLICE)).cast("bigint")
     return ordered_index(hashed, [], ["_h", row_key], out, bucket=bucket).drop("_h")
 
 

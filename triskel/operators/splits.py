@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.hashing import hash32, unit_hash
 from triskel.functions.text import strip_annotation
-from triskel.operators.ordering import ordered_index
+from triskel.operators.ordering import HASH_SLICE, ordered_index
 from triskel.session import local_table
 
 FRACTIONS = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -116,7 +116,7 @@ def greedy_split(
         ["compounds", "rows"],
         ["_h", "group_key"],
         "_i",
-        bucket=F.floor(F.col("_h") / F.lit(1 << 20)).cast("bigint"),
+        bucket=F.floor(F.col("_h") / F.lit(HASH_SLICE)).cast("bigint"),
     ).join(quota, ["compounds", "rows"])
     assigned = placed.select(
         "group_key",

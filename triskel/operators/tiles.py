@@ -17,21 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-TILE_ROWS = 4096
+TILE_ROWS = 8192
 MIN_TILE_ROWS = 256
 CHUNK = 1024
 MAX_TASKS = 16384
 
 
-def tile_count(df: DataFrame, tiles: int | None = None, tile_rows: int = TILE_ROWS) -> int:
+def tiles_for(n: int, parallelism: int, tile_rows: int = TILE_ROWS) -> int:
     """Enough tiles to bound their size, and to keep all cores busy on small input."""
-    if tiles:
-        return tiles
-    n = df.count()
-    spread = math.ceil(math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
+    spread = math.ceil(math.sqrt(parallelism))
     return max(1, math.ceil(n / tile_rows), min(spread, math.ceil(n / MIN_TILE_ROWS)))
 
 
+def tile_count(df: DataFrame, tiles: int | None = None) -> int:
+    return tiles or tiles_for(df.count(), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _tile_of(key: str, tiles: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(tiles)).cast("int")
 

@@ -17,6 +17,7 @@ from triskel.operators.embeddings import clustering_input, group_vectors
 from triskel.operators.filters import labelled
 from triskel.operators.neighbours import KNN_KS, knn_accuracy
 from triskel.operators.retrieval import alignment, retrieval_metrics, row_statistics
+from triskel.operators.tiles import tile_count
 from triskel.session import materialise
 
 METRIC_COLUMNS = ("scope", "direction", "metric", "value")
@@ -32,12 +33,17 @@ def _tag(df: DataFrame, scope: str, metric) -> DataFrame:
 
 
 def clustering_metrics(
-    groups: DataFrame, key: str, label: str, ks: Sequence[int] = KNN_KS, kmeans: bool = True
+    groups: DataFrame,
+    key: str,
+    label: str,
+    ks: Sequence[int] = KNN_KS,
+    kmeans: bool = True,
+    tiles: int | None = None,
 ) -> DataFrame:
     """kNN accuracy, and AMI and ARI of k-means against the labels; empty when at most
     one class is present."""
     points = labelled(groups, label)
-    acc = knn_accuracy(points, key, label, ks).withColumnRenamed("accuracy", "value")
+    acc = knn_accuracy(points, key, label, ks, tiles).withColumnRenamed("accuracy", "value")
     out = _tag(acc, "moa", F.concat(F.lit("kNN_"), F.col("k").cast("string"), F.lit("_acc")))
     if not kmeans:
         return out
@@ -70,11 +76,13 @@ def evaluation_metrics(
     rows = row_statistics(wide, key, modalities, uniform=True)
     out = retrieval_metrics(rows, modalities, uniform=True)
     groups = group_vectors(wide, group, modalities)
-    stats = row_statistics(groups, group, modalities, uniform=False)
+    # One count of the groups sizes both passes over them.
+    group_tiles = tile_count(wide.select(group).distinct())
+    stats = row_statistics(groups, group, modalities, uniform=False, tiles=group_tiles)
     out = out.unionByName(retrieval_metrics(stats, modalities, scope="compound"))
     aligned = alignment(wide, modalities).withColumnRenamed("alignment", "value")
     out = out.unionByName(_tag(aligned, "row", F.concat(F.lit("align_"), F.col("pair"))))
     if clustering:
         points = clustering_input(wide, group, label, ordinal, modalities)
-        out = out.unionByName(clustering_metrics(points, group, label, kmeans=kmeans))
+        out = out.unionByName(clustering_metrics(points, group, label, kmeans=kmeans, tiles=group_tiles))
     return out
