@@ -56,8 +56,10 @@ def morphology_csv_union(spark, sf_dir):
 
 _GENES = ["click", "error", "purchase", "signup", "view"]
 _SAMPLES = [f"sample_{i}" for i in range(40)]
-_MATRIX_SQL = """mx AS (SELECT event_type AS feature, 'sample_' || CAST(user_id % 40 AS VARCHAR) AS inst_id,
-    CASE WHEN (user_id % 40) % 13 <> 5 THEN avg(value) END AS value FROM events GROUP BY event_type, user_id % 40)"""
+_MATRIX_SQL = """ag AS (SELECT event_type AS feature, user_id % 40 AS s, CASE WHEN (user_id % 40) % 13 <> 5 THEN avg(value) END AS value
+      FROM events GROUP BY event_type, user_id % 40),
+    mx AS (SELECT feature, 'sample_' || CAST(s AS VARCHAR) AS inst_id, value
+      FROM (SELECT DISTINCT feature FROM ag) CROSS JOIN range(0, 40) g(s) LEFT JOIN ag USING (feature, s))"""
 
 
 def _matrix(spark, sf_dir):
