@@ -26,16 +26,17 @@ def kmeans_assign(
     short iterations leave on the cluster.
     """
     rows = points.select(key, array_to_vector(F.col("vec")).alias("features"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    rows.count()
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
 
     def fit(i: int):
         kmeans = KMeans(k=clusters, seed=seed + i, featuresCol="features", predictionCol="cluster")
-        return kmeans.fit(rows)
+        return kmeans.fit(cached)
 
     with ThreadPool(min(restarts, CONCURRENT_FITS)) as pool:
         models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
+    cached.unpersist()
     return best.transform(rows).select(key, F.col("cluster").cast("bigint").alias("cluster"))
 
 

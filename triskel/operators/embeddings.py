@@ -62,11 +62,25 @@ def group_labels(df: DataFrame, group: str, label: str, ordinal: str) -> DataFra
     return df.groupBy(group).agg(first.alias(label))
 
 
-def clustering_input(
+def group_table(
     wide: DataFrame, group: str, label: str, ordinal: str, modalities: Sequence[str]
 ) -> DataFrame:
-    """Per group: normalised mean of the first modality as ``vec``, and its label."""
+    """Group mean vectors of every modality and the first non-null label, in one
+    aggregation."""
+    first = F.min_by(F.col(label), F.when(F.col(label).isNotNull(), F.col(ordinal)))
+    means = [mean_vector(m) for m in modalities]
+    return normalise(wide.groupBy(group).agg(first.alias(label), *means), modalities)
+
+
+def clustering_points(groups: DataFrame, group: str, label: str, modalities: Sequence[str]) -> DataFrame:
+    """Per group: the vector of the first modality as ``vec``, and its label."""
     first = ordered_modalities(modalities)[0]
-    one = F.min_by(F.col(label), F.when(F.col(label).isNotNull(), F.col(ordinal)))
-    means = wide.groupBy(group).agg(mean_vector(first), one.alias(label))
-    return means.select(group, label, unit(F.col(first)).alias("vec"))
+    return groups.select(group, label, F.col(first).alias("vec"))
+
+
+def clustering_input(
+    wide: DataFrame, group: str, label: str, ordinal: str, modalities: Sequence[str]
+) -> DataFrame:
+    """Clustering points straight from the rows."""
+    first = ordered_modalities(modalities)[:1]
+    return clustering_points(group_table(wide, group, label, ordinal, first), group, label, first)

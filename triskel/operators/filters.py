@@ -49,13 +49,17 @@ def to_long(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def missing_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, missing_rate). Long form, so the plan stays small for thousands of
-    columns, and one row per feature and partition reaches the shuffle."""
-    return (
-        to_long(df, [], features)
-        .groupBy("feature")
-        .agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
-    )
+    """(feature, missing_rate). Plain counts over the wide columns: for these, one
+    global aggregate costs about a tenth of unpivoting every cell first."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f).alias(f) for f in features])
+    rows = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            F.try_divide(F.col("_rows") - F.col(f), F.col("_rows")).alias("missing_rate"),
+        )
+        for f in features
+    ]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def kept_features(

@@ -13,7 +13,7 @@ from triskel.operators.clustering import (
     contingency,
     kmeans_assign,
 )
-from triskel.operators.embeddings import clustering_input, group_vectors
+from triskel.operators.embeddings import clustering_points, group_table
 from triskel.operators.filters import labelled
 from triskel.operators.neighbours import KNN_KS, knn_accuracy
 from triskel.operators.retrieval import alignment, retrieval_metrics, row_statistics
@@ -71,18 +71,20 @@ def evaluation_metrics(
     """(scope, direction, metric, value): retrieval per row and per group, alignment,
     uniformity and clustering.
 
-    Retrieval ranks and uniformity of the rows share one pass over the tiles.
+    Retrieval ranks and uniformity of the rows share one pass over the tiles. The
+    group table is written once, since retrieval and clustering both scan it; write
+    ``wide`` first too (``materialise``) if it is costly to recompute.
     """
     rows = row_statistics(wide, key, modalities, uniform=True)
     out = retrieval_metrics(rows, modalities, uniform=True)
-    groups = group_vectors(wide, group, modalities)
-    # One count of the groups sizes both passes over them.
-    group_tiles = tile_count(wide.select(group).distinct())
-    stats = row_statistics(groups, group, modalities, uniform=False, tiles=group_tiles)
+    groups = materialise(group_table(wide, group, label, ordinal, modalities))
+    tiles = tile_count(groups)
+    stats = row_statistics(groups, group, modalities, uniform=False, tiles=tiles)
     out = out.unionByName(retrieval_metrics(stats, modalities, scope="compound"))
     aligned = alignment(wide, modalities).withColumnRenamed("alignment", "value")
     out = out.unionByName(_tag(aligned, "row", F.concat(F.lit("align_"), F.col("pair"))))
     if clustering:
-        points = clustering_input(wide, group, label, ordinal, modalities)
-        out = out.unionByName(clustering_metrics(points, group, label, kmeans=kmeans, tiles=group_tiles))
+        points = clustering_points(groups, group, label, modalities)
+        metrics = clustering_metrics(points, group, label, kmeans=kmeans, tiles=tiles)
+        out = out.unionByName(metrics)
     return out
