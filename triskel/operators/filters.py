@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.numeric import finite
 from triskel.functions.text import CONTROL_NAMES, CONTROL_TYPES, fold
+from triskel.operators.joins import join_unique
 
 NAME_COLUMNS = ("pert_iname", "Metadata_pert_iname")
 TYPE_COLUMN = "pert_type"
@@ -112,4 +113,4 @@ def labelled(df: DataFrame, label: str) -> DataFrame:
 
 def featurized_only(df: DataFrame, featurized: DataFrame, key: str) -> DataFrame:
     """Rows whose identifier could be featurized."""
-    return df.join(featurized.select(key).distinct(), key, "left_semi")
+    return join_unique(df, featurized.select(key).distinct(), key, "left_semi")

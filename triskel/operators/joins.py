@@ -11,10 +11,27 @@ from triskel.functions.text import identifier_ok, strip_annotation
 from triskel.operators.ordering import SLICE_ROWS, ordinal_bucket, slice_offsets
 
 
+def join_unique(
+    df: DataFrame, table: DataFrame, key: str, how: str = "left", ordinal: str = "ordinal"
+) -> DataFrame:
+    """Joins a table with one row per key to rows of which one key may hold a third.
+
+    The table first meets the distinct (key, ordinal slice) pairs, which are
+    pre-aggregated and few, and then the rows on both columns: a join group holds at
+    most one slice of rows. AQE alone would not split the key when two joins in a row
+    use it. Without an ordinal this is a plain join.
+    """
+    if ordinal not in df.columns:
+        return df.join(table, key, how)
+    tagged = df.withColumn("_bucket", ordinal_bucket(ordinal))
+    slices = tagged.select(key, "_bucket").distinct().join(table, key, how)
+    return tagged.join(slices, [key, "_bucket"], how).drop("_bucket")
+
+
 def restrict_to_shared(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of either side whose key occurs on both sides."""
     shared = left.select(key).distinct().join(right.select(key).distinct(), key)
-    return left.join(shared, key, "left_semi"), right.join(shared, key, "left_semi")
+    return join_unique(left, shared, key, "left_semi"), join_unique(right, shared, key, "left_semi")
 
 
 def pair_round_robin(
@@ -90,7 +107,7 @@ def lookup(
     """Dictionary lookup with last-wins duplicates. Spark sizes the lookup at run
     time and broadcasts it only below its threshold."""
     last = last_per_key(table, key, value, keep_null=keep_null)
-    return df.join(last.withColumnRenamed(value, out), key, "left")
+    return join_unique(df, last.withColumnRenamed(value, out), key)
 
 
 def resolve_identifier(
@@ -120,7 +137,7 @@ def resolve_identifier(
         choices.append((2, strip_annotation(F.col(own))))
     if fallback is not None:
         third = last_per_key(fallback, name, "smiles").withColumnRenamed("smiles", "_s3")
-        out = out.join(third, name, "left")
+        out = join_unique(out, third, name)
         choices.append((3, F.col("_s3")))
     # The row's own value is stripped before the test, the looked-up ones after it.
     tests = {1: F.col("_s1"), 2: strip_annotation(F.col(own)), 3: F.col("_s3")}
@@ -181,8 +198,8 @@ def map_distinct(
     """
     mapped = mapper(df.select(key).where(F.col(key).isNotNull()).distinct())
     if how == "left_semi":
-        return df.join(mapped.select(key), key, "left_semi")
-    return df.join(mapped, key, how)
+        return join_unique(df, mapped.select(key), key, "left_semi")
+    return join_unique(df, mapped, key, how)
 
 
 def not_yet_done(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.hashing import hash32, unit_hash
 from triskel.functions.text import strip_annotation
+from triskel.operators.joins import join_unique
 from triskel.operators.ordering import HASH_SLICE, ordered_index
 from triskel.session import local_table
 
@@ -67,10 +68,21 @@ def share_run(counts: dict, targets: dict, weight: int, items: int) -> dict:
         else:
             high = mid
     given = arrivals(low)
+
+    def level(s: str, t: int) -> tuple[float, int]:
+        """Fill level at a split's t-th group; equal levels go in split order."""
+        return (counts[s] + t * weight) / max(targets[s], 1e-9), names.index(s)
+
     while sum(given.values()) < items:
-        s = min(names, key=lambda k: (counts[k] + given[k] * weight) / max(targets[k], 1e-9))
-        given[s] += 1
-    return given
+        given[min(names, key=lambda k: level(k, given[k]))] += 1
+    # Rounding of the threshold may have settled a group one step early; swap it back.
+    while True:
+        last = max((n for n in names if given[n]), key=lambda k: level(k, given[k] - 1))
+        following = min(names, key=lambda k: level(k, given[k]))
+        if level(following, given[following]) >= level(last, given[last] - 1):
+            return given
+        given[last] -= 1
+        given[following] += 1
 
 
 def greedy_split(
@@ -126,7 +138,7 @@ def greedy_split(
         .alias("split"),
     )
     by_compound = compounds.join(assigned, "group_key").select(compound, "split")
-    return df.join(by_compound, compound)
+    return join_unique(df, by_compound, compound, "inner", ordinal)
 
 
 def split_sizes(df: DataFrame) -> DataFrame:
