@@ -12,19 +12,27 @@ from triskel.operators.ordering import SLICE_ROWS, ordinal_bucket, slice_offsets
 
 
 def join_unique(
-    df: DataFrame, table: DataFrame, key: str, how: str = "left", ordinal: str = "ordinal"
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "left",
+    ordinal: str = "ordinal",
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Joins a table with one row per key to rows of which one key may hold a third.
 
     The table first meets the distinct (key, ordinal slice) pairs, which are
     pre-aggregated and few, and then the rows on both columns: a join group holds at
     most one slice of rows. AQE alone would not split the key when two joins in a row
-    use it. Without an ordinal this is a plain join.
+    use it. Without an ordinal this is a plain join. ``keys_from`` is a cheaper table
+    that holds every (key, ordinal) of ``df``, such as the source it was joined from.
     """
     if ordinal not in df.columns:
         return df.join(table, key, how)
     tagged = df.withColumn("_bucket", ordinal_bucket(ordinal))
-    slices = tagged.select(key, "_bucket").distinct().join(table, key, how)
+    source = df if keys_from is None else keys_from
+    pairs = source.select(key, ordinal_bucket(ordinal).alias("_bucket")).distinct()
+    slices = pairs.join(table, key, how)
     return tagged.join(slices, [key, "_bucket"], how).drop("_bucket")
 
 
@@ -102,12 +110,18 @@ def last_per_key(
 
 
 def lookup(
-    df: DataFrame, table: DataFrame, key: str, value: str, out: str, keep_null: bool = True
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    value: str,
+    out: str,
+    keep_null: bool = True,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Dictionary lookup with last-wins duplicates. Spark sizes the lookup at run
     time and broadcasts it only below its threshold."""
     last = last_per_key(table, key, value, keep_null=keep_null)
-    return join_unique(df, last.withColumnRenamed(value, out), key)
+    return join_unique(df, last.withColumnRenamed(value, out), key, keys_from=keys_from)
 
 
 def resolve_identifier(
@@ -119,6 +133,7 @@ def resolve_identifier(
     fallback: DataFrame | None = None,
     name: str = "pert_iname",
     extra: Callable[[Column], Column] | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``smiles`` and ``stage`` (1 lookup, 2 own column, 3 fallback table).
 
@@ -131,13 +146,13 @@ def resolve_identifier(
     choices: list[tuple[int, Column]] = []
     out = df
     if meta is not None:
-        out = lookup(out, meta, key, meta_value, "_s1")
+        out = lookup(out, meta, key, meta_value, "_s1", keys_from=keys_from)
         choices.append((1, strip_annotation(F.col("_s1"))))
     if own in df.columns:
         choices.append((2, strip_annotation(F.col(own))))
     if fallback is not None:
         third = last_per_key(fallback, name, "smiles").withColumnRenamed("smiles", "_s3")
-        out = join_unique(out, third, name)
+        out = join_unique(out, third, name, keys_from=keys_from)
         choices.append((3, F.col("_s3")))
     # The row's own value is stripped before the test, the looked-up ones after it.
     tests = {1: F.col("_s1"), 2: strip_annotation(F.col(own)), 3: F.col("_s3")}
@@ -156,12 +171,13 @@ def resolve_label(
     key: str = "compound_id",
     second: str = "Metadata_moa",
     out: str = "moa",
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Preferred label from ``info``, gaps filled from the row's own column."""
     filled = F.col(second) if second in df.columns else F.lit(None).cast("string")
     if info is None:
         return df.withColumn(out, filled)
-    found = lookup(df, info, key, "moa", "_moa1", keep_null=False)
+    found = lookup(df, info, key, "moa", "_moa1", keep_null=False, keys_from=keys_from)
     return found.withColumn(out, F.coalesce(F.col("_moa1"), filled)).drop("_moa1")
 
 

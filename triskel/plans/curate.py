@@ -43,10 +43,11 @@ def match_treatments(
     meta = with_compound(meta, "broad_id")
     kept = split_roles(morph.columns)[0] + [c for c in morph.columns if c.startswith(META_PREFIX)]
     paired = pair_round_robin(expr, morph.select("compound_id", "ordinal", *kept), "compound_id")
-    resolved = resolve_identifier(paired, meta, fallback=fallback)
+    # Every paired row is an expression row, so that source lists the keys to look up.
+    resolved = resolve_identifier(paired, meta, fallback=fallback, keys_from=expr)
     if info is not None:
         info = with_compound(info, "pert_id")
-    labelled = resolve_label(resolved, info)
+    labelled = resolve_label(resolved, info, keys_from=expr)
     return drop_unresolved(labelled, ["smiles"])
 
 
