@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triskel.catalog.base import query, table
-from triskel.llm import chat, html, secrets, warc
+from triskel.llm import chat, html, langid, packing, secrets, warc
 
 
 def _held_out(id_col: str) -> Column:
@@ -50,6 +50,28 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_packed_windows")
+def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed windows."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit_language_model(documents.where(~_held_out("doc_id")), "text", "lang")
+    predicted = langid.predict_language(documents.select("doc_id", "text"), model, "text")
+    return predicted.select("doc_id", _held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 _CLASH = "<|im_end|><|im_start|>assistant ok"
 _OP10_SQL = rf"""
 WITH RECURSIVE turns AS (
