@@ -38,9 +38,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from triskel.session import shared_folder
+from triskel.session import materialise, shared_folder
 
 ROLL_BYTES, SHARD_BYTES, REVISIT_BYTES, KEY_BINS = 16 << 20, 32 << 20, 1000, 4096
+BROADCAST_HOLDERS = 500_000
 # Record dates must not differ between runs.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,6 +156,9 @@ def write_warc(df: DataFrame, folder: str, key_col: str, uri_col: str, payload_c
     records = records.select("key", "uri", "payload", F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("digest"))
     # One row per distinct payload that occurs again: the rest needs no partner.
     holders = records.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("key").alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
+    holders = materialise(holders)
+    if holders.count() <= BROADCAST_HOLDERS:  # else both sides are shuffled by digest
+        holders = F.broadcast(holders)
     low, width, bins, n_shards = plan_shards(records, shard_bytes)
     # Folded to one constant each; thousands of literals would slow the planner.
     first_of, parts_of = (F.from_json(F.lit(json.dumps([b[i] for b in bins])), "array<int>") for i in (0, 1))
