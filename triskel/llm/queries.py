@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triskel.catalog.base import query, table
-from triskel.llm import chat, html, langid, packing, secrets, warc
+from triskel.llm import chat, html, langid, packing, secrets, toxicity, warc
 
 
 def _held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    rows = toxicity.labelled(documents, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~_held_out("doc_id"))
+    model = toxicity.fit_toxicity(rows)
+    scored = toxicity.score_toxicity(documents.select("doc_id", "text"), model, "text", "score")
+    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op3_warc_archive")
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
