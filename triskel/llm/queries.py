@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triskel.catalog.base import query, table
-from triskel.llm import chat, html, langid, packing, secrets, toxicity, warc
+from triskel.llm import chat, html, langid, minhash, packing, secrets, toxicity, warc
 
 
 def _held_out(id_col: str) -> Column:
@@ -60,6 +60,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document, named by its least id."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
