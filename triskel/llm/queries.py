@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triskel.catalog.base import query, table
-from triskel.llm import chat, html, langid, minhash, packing, secrets, toxicity, warc
+from triskel.llm import chat, decontaminate, html, langid, minhash, packing, secrets, toxicity, warc
 
 
 def _held_out(id_col: str) -> Column:
@@ -23,6 +23,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_benchmark_leaks")
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    documents = table(spark, sf_dir, "documents")
+    blocks = decontaminate.fit_passages(documents, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = decontaminate.find_leaks(documents.select("doc_id", "text"), "text", blocks)
+    return found.select("doc_id", F.inline("leaks"))
+
+
 @query("op3_warc_archive")
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
