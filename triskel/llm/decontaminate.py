@@ -37,7 +37,7 @@ from triskel.llm.text import slices, texts_of, words
 
 SCALES = (16, 32, 64)
 RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 8, 16384
-COSINE, COMMON, FEW = 0.35, 0.1, 5
+COSINE, COMMON, FEW = 0.45, 0.05, 5
 VERBATIM, PARAPHRASE = 0.7, 0.5
 LEAK = StructType([StructField("item_id", LongType()), StructField("cosine", DoubleType()), StructField("lcs", DoubleType()), StructField("answer", DoubleType())])
 
@@ -68,6 +68,7 @@ class Passages:
     idf: np.ndarray
     vectors: np.ndarray  # passages x rank, of length one
     scale: np.ndarray  # index into SCALES
+    rare: list[frozenset[int]]  # the words of each passage that take part
 
 
 def _cut(items: list, texts: list[str]) -> tuple[list, list[np.ndarray]]:
@@ -202,7 +203,7 @@ def fit_passages(documents: DataFrame, text_col: str, benchmark: DataFrame, item
         vectors = np.array([value @ space[at] for at, value in rows], np.float32).reshape(len(cut), -1)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         scale = np.searchsorted(SCALES, [len(w) for w in cut])
-        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale))
+        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale, [frozenset(at.tolist()) for at, _ in rows]))
     return blocks
 
 
@@ -234,9 +235,16 @@ def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[
     there = np.flatnonzero(at >= 0)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[there]
     tried: dict[tuple[int, int], int] = {}
+    own = at[there].tolist()
     for i, j, cosine in _candidates(at[there], owner, there, p):
-        text, passage = int(owner[i]), p.words[j]
-        n, place = len(passage), int(there[i])
+        passage = p.words[j]
+        n = len(passage)
+        # Rare words that are missing in and around the window bound what can be in common.
+        rare = p.rare[j]
+        near = rare.intersection(own[max(0, i - n // 2) : i + n + n // 2])
+        if len(near) < PARAPHRASE * len(rare) and len(rare) - len(near) > (1 - VERBATIM) * n:
+            continue
+        text, place = int(owner[i]), int(there[i])
         # Windows that start a few words on see the same region.
         if place - tried.get((text, j), -(1 << 60)) < max(2, n // 8):
             continue
@@ -249,8 +257,7 @@ def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[
         answer = passage[-max(1, n // 4) :]
         in_answer = lcs_length(answer, region) / len(answer)
         if share < VERBATIM:
-            rare = np.unique(passage[_lookup(passage, p.vocabulary) >= 0])
-            if in_answer < PARAPHRASE or np.isin(rare, region).mean() < PARAPHRASE:
+            if in_answer < PARAPHRASE or len(near) < PARAPHRASE * len(rare):
                 continue
         item = int(p.item[j])
         out[text][item] = max(out[text].get(item, (0.0, 0.0, 0.0)), (cosine, share, in_answer), key=lambda x: (x[1], x[0]))
