@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from triskel.catalog.base import query, table
-from triskel.llm import chat, decontaminate, html, langid, minhash, packing, secrets, toxicity, warc
+from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, secrets, toxicity, warc
 
 
 def _held_out(id_col: str) -> Column:
@@ -97,6 +98,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", _held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@query("op9_nearest_vectors")
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all vectors."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
 _CLASH = "<|im_end|><|im_start|>assistant ok"
 _OP10_SQL = rf"""
 WITH RECURSIVE turns AS (
@@ -151,3 +158,6 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(_CLASH).alias("text"),
     )
     return chat.conversation_digests(chat.parse_windows(chat.chat_windows(turns.unionByName(planted))))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
