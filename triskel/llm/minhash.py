@@ -12,7 +12,7 @@ components are never drawn: about m (ln m + 3) points a text and one try an elem
 Equal multisets are one node first. Nodes that share a band meet in buckets; pairs are
 verified by their true multiset overlap. A bucket is never expanded to all its pairs: its
 first member is compared with the others, and only buckets that still hold several
-classes go on, their next members (eight, then eight times as many) against the others,
+classes go on, their next members (64, then 64 times as many) against the others,
 until each is one class or has no member left that was not compared. That loses no link
 of a bucket, and only links become rows.
 
@@ -37,7 +37,7 @@ from triskel.llm.text import mix, shingles, slices, texts_of, words
 from triskel.session import materialise
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
-LEADERS, BLOCK = 8, 1024
+LEADERS, BLOCK = 64, 1024
 KNOWN = 2_000_000  # distinct shingles a worker keeps for further pairs
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
