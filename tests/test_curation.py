@@ -313,3 +313,11 @@ def test_append_only_log(spark, tmp_path):
     sinks.append_runs(one, path)
     assert spark.read.json(path).count() == 2
     assert math.isclose(1.0, 1.0)
+
+
+def test_sidecar_key_is_found_behind_many_other_rows(spark):
+    samples = spark.createDataFrame([("s1",), ("s2",)], "inst_id string")
+    rows = [(f"other{i}", "x") for i in range(500)] + [("s2", "hit")]
+    sidecar = spark.createDataFrame(rows, "profile string, tag string").repartition(7)
+    got = {r["inst_id"]: r["tag"] for r in tables.attach_sidecar(samples, sidecar).collect()}
+    assert got == {"s1": None, "s2": "hit"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.hashing import hash32, py_hash32
 from triskel.functions.numeric import clip, finite, log_factorial
-from triskel.operators import augment, encode, losses, monitors, runs
+from triskel.operators import augment, encode, losses, monitors, ordering, runs
 
 MODS = ["mol", "morph"]
 
@@ -62,9 +62,23 @@ def test_temperature_is_clamped():
 
 
 def test_nan_loss_raises(spark):
-    bad = spark.createDataFrame([(0, float("nan"))], "batch bigint, loss_total double")
-    with pytest.raises(RuntimeError):
-        losses.assert_no_nan(bad)
+    bad = spark.createDataFrame([(0, float("nan")), (1, 2.0)], "batch bigint, loss_total double")
+    with pytest.raises(Exception, match="NaN loss in 1 batches"):
+        losses.mean_without_nan(bad).collect()
+    assert losses.mean_without_nan(bad.where("batch = 1")).first()["loss_total"] == 2.0
+    assert tuple(losses.nan_batches(bad).first()) == (2, 1)
+
+
+def test_only_numbers_above_the_limit_are_explosions(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 10.0), (4, 10.5), (5, None)], "i int, grad_norm double")
+    assert [r["i"] for r in monitors.explosion_alerts(df).orderBy("i").collect()] == [2, 4]
+
+
+def test_label_codes_follow_the_type_of_the_label(spark):
+    for values, kind in (([1, 2, 9, 10, 11, 100, -5], "int"), ([f"prefix{i:04d}" for i in range(300)], "string")):
+        df = spark.createDataFrame([(v,) for v in values] * 2 + [(None,)], f"label {kind}").repartition(5)
+        got = {r["label"]: r["code"] for r in ordering.label_codes(df, "label").collect()}
+        assert got == {v: i for i, v in enumerate(sorted(values))}
 
 
 def test_hash_agrees_with_python(spark):

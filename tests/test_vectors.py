@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triskel.operators import clustering, embeddings, neighbours, retrieval
+from triskel.operators import augment, clustering, embeddings, neighbours, retrieval
 from triskel.operators.filters import labelled
 from triskel.plans.evaluate import clustering_metrics, evaluation_metrics
 
@@ -207,3 +207,21 @@ def test_evaluation_has_every_metric(spark):
     assert {("row", "mean_R@10"), ("compound", "mean_R@10"), ("moa", "AMI"), ("moa", "kNN_20_acc")} <= names
     assert {("row", f"uniform_{x}") for x in MODS} <= names
     assert m.where(F.isnan("value") | F.col("value").isNull()).isEmpty()
+
+
+def test_missing_and_uneven_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.6, 0.8]), (4, [0.0, None]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "row_id int, vec array<double>")
+    got = {r["row_id"]: (r["neighbour"], round(r["sim"], 9)) for r in neighbours.top_neighbours(df, "row_id", 1).collect()}
+    assert got == {1: (3, 0.6), 3: (5, 0.8), 5: (3, 0.8)}
+    doubled = augment.map_vectors(df.where("row_id <> 4"), "vec", lambda x: 2 * x)
+    assert {r["row_id"]: r["vec"] for r in doubled.collect()} == {1: [2.0, 0.0], 2: None, 3: [1.2, 1.6], 5: [0.0, 2.0]}
+    uneven = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "row_id int, vec array<double>").coalesce(1)
+    with pytest.raises(Exception, match="differ in width"):
+        augment.map_vectors(uneven, "vec", lambda x: x).collect()
+
+
+def test_best_columns_equal_a_full_sort():
+    sim = np.random.default_rng(0).integers(0, 6, (50, 40)).astype(float)
+    for k in (1, 5, 39, 40, 60):
+        assert (neighbours._first_columns(sim, k) == np.argsort(-sim, axis=1, kind="stable")[:, :k]).all()

@@ -27,9 +27,3 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a source of fewer files than cores over all cores, for queries whose
-    arithmetic outweighs one shuffle; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triskel.catalog.base import query, spread, table
+from triskel.catalog.base import query, table
 from triskel.catalog.embedding_data import hash_sql
 from triskel.catalog.source_data import (
     ALL_FEATURES,
@@ -180,7 +180,7 @@ def _split(spark, sf_dir):
 
 def _split_cut(spark, sf_dir):
     """The split rows written once: a fit scans them several times."""
-    rows = spread(build(spark, sf_dir, FEATURES), "order_key")
+    rows = build(spark, sf_dir, FEATURES)
     clean = filters.drop_empty_rows(filters.clean_features(rows, ALL_FEATURES), ALL_FEATURES)
     return materialise(splits.hashed_split(clean, "row_key"))
 
@@ -355,19 +355,18 @@ def pair_round_robin(spark, sf_dir):
 
 @query(
     "pair_round_robin_wrapped",
-    f"""WITH {_KEYED}, li AS (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal) - 1 AS i FROM m),
-    ri AS (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal) - 1 AS j, count(*) OVER (PARTITION BY compound_id) AS n FROM e WHERE ordinal % 40 = 0)
-    SELECT li.compound_id, li.ordinal, ri.ordinal AS expr_ordinal FROM li JOIN ri ON li.compound_id = ri.compound_id AND li.i % ri.n = ri.j""",
+    f"""WITH {_KEYED}, li AS (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal) - 1 AS i FROM e),
+    ri AS (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal) - 1 AS j, count(*) OVER (PARTITION BY compound_id) AS n FROM mt)
+    SELECT li.compound_id, li.ordinal, ri.ordinal AS meta_ordinal FROM li JOIN ri ON li.compound_id = ri.compound_id AND li.i % ri.n = ri.j""",
 )
 def pair_round_robin_wrapped(spark, sf_dir):
-    """More left than right rows per key, in slices of four rows."""
-    right = _expr(spark, sf_dir).where("ordinal % 40 = 0").select(
-        "compound_id", "ordinal", F.col("ordinal").alias("expr_ordinal")
-    )
+    """More left than right rows per key, in slices of four rows: the lookup is the
+    naturally short side."""
+    right = _meta(spark, sf_dir).select("compound_id", "ordinal", F.col("ordinal").alias("meta_ordinal"))
     paired = joins.pair_round_robin(
-        _morph(spark, sf_dir).select("compound_id", "ordinal"), right, "compound_id", slice_rows=4
+        _expr(spark, sf_dir).select("compound_id", "ordinal"), right, "compound_id", slice_rows=4
     )
-    return paired.select("compound_id", "ordinal", "expr_ordinal")
+    return paired.select("compound_id", "ordinal", "meta_ordinal")
 
 
 @query(
@@ -403,7 +402,7 @@ def last_wins_lookup(spark, sf_dir):
 _RESOLVED_SQL = f"""
     s1 AS (SELECT compound_id, smiles AS v1 FROM (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal DESC) AS r FROM mt) WHERE r = 1),
     info AS (SELECT compound_id, moa AS moa1 FROM (SELECT *, row_number() OVER (PARTITION BY compound_id ORDER BY ordinal DESC) AS r FROM mt WHERE moa IS NOT NULL) WHERE r = 1),
-    third AS (SELECT DISTINCT 'cpd-' || CAST(user_id AS VARCHAR) AS pert_iname, 'W' || CAST(user_id AS VARCHAR) AS v3 FROM events WHERE user_id % 2 = 0),
+    third AS (SELECT DISTINCT 'cpd-' || CAST(user_id AS VARCHAR) AS pert_iname, CASE WHEN user_id % 2 = 0 THEN 'W' || CAST(user_id AS VARCHAR) END AS v3 FROM events),
     res0 AS (SELECT paired.*, v1, split_part(x_smiles, ' |', 1) AS v2, v3, moa1 FROM paired LEFT JOIN s1 USING (compound_id) LEFT JOIN info USING (compound_id) LEFT JOIN third USING (pert_iname)),
     res AS (SELECT *, CASE WHEN {_VALID.format(c='v1')} THEN split_part(v1, ' |', 1) WHEN {_VALID.format(c='v2')} THEN v2 WHEN {_VALID.format(c='v3')} THEN v3 END AS smiles,
       CASE WHEN {_VALID.format(c='v1')} THEN 1 WHEN {_VALID.format(c='v2')} THEN 2 WHEN {_VALID.format(c='v3')} THEN 3 END AS stage,
@@ -412,9 +411,9 @@ _RESOLVED_SQL = f"""
 
 def _fallback(spark, sf_dir):
     """Name to identifier: what a cached web lookup would hold."""
-    names = build(spark, sf_dir, EXPR_SIDE).where("user_id % 2 = 0").select("user_id", "ordinal")
+    names = build(spark, sf_dir, EXPR_SIDE).select("user_id", "ordinal")
     uid = F.col("user_id").cast("string")
-    return names.select(F.concat(F.lit("cpd-"), uid).alias("pert_iname"), F.concat(F.lit("W"), uid).alias("smiles"), "ordinal")
+    return names.select(F.concat(F.lit("cpd-"), uid).alias("pert_iname"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("W"), uid)).alias("smiles"), "ordinal")
 
 
 def _paired(spark, sf_dir):

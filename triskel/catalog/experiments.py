@@ -16,10 +16,11 @@ _CONFIG = (
     "CASE event_type WHEN 'signup' THEN 'T1' WHEN 'view' THEN 'B4' WHEN 'error' THEN 'B5' "
     "WHEN 'purchase' THEN 'B6' WHEN 'click' THEN 'B0' END"
 )
-_BASE_SQL = f"""ev AS (SELECT {_CONFIG} AS config, user_id % 5 AS seed, event_id, event_id % 60 + 1 AS epoch, value FROM events),
+_SEED = "CASE WHEN event_type = 'click' THEN 0 ELSE user_id % 5 END"
+_BASE_SQL = f"""ev AS (SELECT {_CONFIG} AS config, {_SEED} AS seed, event_id, event_id % 60 + 1 AS epoch, value FROM events),
     runs AS (SELECT config, seed, avg(value) / 100 AS mean_r, max(value) / 500 AS val_loss, (max(event_id) % 60)::DOUBLE AS best_epoch,
       stddev_samp(value) / 100 AS align_mol_morph, CASE WHEN config <> 'B5' THEN -min(value) END AS uniform_mol
-      FROM ev WHERE config <> 'B0' OR seed = 0 GROUP BY config, seed)"""
+      FROM ev GROUP BY config, seed)"""
 _LONG_SQL = """lr AS (
       SELECT config, seed, 'compound/mean_R@10' AS metric, mean_r AS value FROM runs
       UNION ALL SELECT config, seed, 'val_loss', val_loss FROM runs
@@ -30,7 +31,7 @@ _LONG_SQL = """lr AS (
 
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr(
-        f"{_CONFIG} AS config", "user_id % 5 AS seed", "event_id", "event_id % 60 + 1 AS epoch", "value"
+        f"{_CONFIG} AS config", f"{_SEED} AS seed", "event_id", "event_id % 60 + 1 AS epoch", "value"
     )
 
 
@@ -38,7 +39,6 @@ def _runs(spark, sf_dir):
     v = F.col("value")
     return (
         _events(spark, sf_dir)
-        .where("config <> 'B0' OR seed = 0")
         .groupBy("config", "seed")
         .agg(
             (F.avg(v) / 100).alias("compound/mean_R@10"),

@@ -85,12 +85,12 @@ def matrix_transpose(spark, sf_dir):
 
 @query(
     "sidecar_join",
-    f"""WITH {_MATRIX_SQL}, sc AS (SELECT 'sample_' || CAST(c_custkey AS VARCHAR) AS profile_id, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0)
+    f"""WITH {_MATRIX_SQL}, sc AS (SELECT 'sample_' || CAST(c_custkey AS VARCHAR) AS profile_id, c_mktsegment AS segment FROM customer)
     SELECT DISTINCT inst_id, segment FROM mx LEFT JOIN sc ON profile_id = inst_id""",
 )
 def sidecar_join(spark, sf_dir):
     samples = tables.transpose(_matrix(spark, sf_dir), "gene", _GENES)
-    sidecar = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").orderBy("c_custkey").select(
+    sidecar = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("sample_"), F.col("c_custkey").cast("string")).alias("profile_id"),
         F.col("c_mktsegment").alias("segment"),
     )
@@ -214,7 +214,7 @@ def audit_lookup(spark, sf_dir):
 
 _OVERLAP_SQL = f"""{EXPR_SQL}, {MORPH_SQL}, {META_SQL},
     a AS (SELECT DISTINCT substr(Metadata_broad_sample, 1, 13) AS k FROM mo), b AS (SELECT DISTINCT substr(pert_id, 1, 13) AS k FROM ex),
-    c AS (SELECT DISTINCT substr(broad_id, 1, 13) AS k FROM meta WHERE smiles IS NOT NULL),
+    c AS (SELECT DISTINCT substr(broad_id, 1, 13) AS k FROM meta),
     ov AS (SELECT (SELECT count(*) FROM a) AS morph_keys, (SELECT count(*) FROM b) AS expr_keys, (SELECT count(*) FROM c) AS meta_keys,
       (SELECT count(*) FROM a JOIN b USING (k)) AS morph_expr_overlap, (SELECT count(*) FROM a JOIN c USING (k)) AS morph_meta_overlap,
       (SELECT count(*) FROM b JOIN c USING (k)) AS expr_meta_overlap, (SELECT count(*) FROM a JOIN b USING (k) JOIN c USING (k)) AS all_overlap)"""
@@ -224,7 +224,7 @@ def _overlap(spark, sf_dir):
     sources = {
         "morph": build(spark, sf_dir, MORPH_SIDE).select(F.col("Metadata_broad_sample").alias("key")),
         "expr": build(spark, sf_dir, EXPR_SIDE).select(F.col("pert_id").alias("key")),
-        "meta": meta(spark, sf_dir).where("smiles IS NOT NULL").select(F.col("broad_id").alias("key")),
+        "meta": meta(spark, sf_dir).select(F.col("broad_id").alias("key")),
     }
     return audit.key_overlap(sources, "key")
 

@@ -104,10 +104,21 @@ def batch_losses(spark, sf_dir):
     + " FROM los",
 )
 def mean_losses(spark, sf_dir):
-    mean = losses.mean_over_batches(losses.assert_no_nan(_losses(spark, sf_dir)))
+    mean = losses.mean_without_nan(_losses(spark, sf_dir))
     return mean.select("batches", *[rounded(F.col(c)).alias(c) for c in _COMPONENTS])
 
 
+@query(
+    "nan_batches",
+    f"""WITH {_loss_sql(_WEIGHTS)} SELECT count(*) AS batches, count(*) FILTER (isnan(CASE WHEN batch % 3 = 1 THEN 'nan'::DOUBLE ELSE loss_total END)) AS nan_batches
+    FROM los""",
+)
+def nan_batches(spark, sf_dir):
+    """The check of a training run, on losses of which a third is NaN."""
+    broken = F.when(F.col("batch") % 3 == 1, float("nan")).otherwise(F.col("loss_total"))
+    return losses.nan_batches(_losses(spark, sf_dir).withColumn("loss_total", broken))
+
+
 @query(
     "pair_loss_without_groups",
     f"""WITH {EMB_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {BATCH} AS batch FROM emb)
@@ -170,7 +181,7 @@ def marginal_corruption(spark, sf_dir):
 _FP_SQL = f"""{META_SQL},
     ids AS (SELECT DISTINCT smiles AS id, split_part(smiles, ' |', 1) AS s FROM meta
             WHERE smiles IS NOT NULL AND trim(smiles) <> '' AND NOT regexp_full_match(split_part(smiles, ' |', 1), '-*[0-9]+')),
-    fp AS (SELECT DISTINCT id, ({hash_sql('substr(s, p, w)')} % 2048) AS bit FROM ids, range(1, 4) a(w), range(1, 64) b(p) WHERE p <= len(s) - w + 1)"""
+    fp AS (SELECT DISTINCT id, ({hash_sql('substr(s, p, w)')} % 2048) AS bit FROM ids, range(1, 4) a(w), range(1, (SELECT max(len(s)) + 1 FROM ids)) b(p) WHERE p <= len(s) - w + 1)"""
 
 
 @query("fingerprints", f"WITH {_FP_SQL} SELECT id AS smiles, bit FROM fp")

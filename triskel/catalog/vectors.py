@@ -428,18 +428,38 @@ def metric_keys(spark, sf_dir):
 
 
 @query(
-    "similarity_slice",
-    f"""WITH {EMB_SQL}, head AS (SELECT * FROM emb ORDER BY row_id LIMIT 50) """
+    "similarity_histogram",
+    f"""WITH {EMB_SQL}, s AS ("""
     + " UNION ALL ".join(
-        f"""SELECT '{a}_{b}' AS pair, q.row_id AS i, c.row_id AS j, round(list_dot_product(q.{a}, c.{b}), 6) + 0.0 AS sim
-        FROM head q CROSS JOIN head c"""
-        for a, b in PAIRS
-    ),
-)
-def similarity_slice(spark, sf_dir):
-    return reports.similarity_slice(embeddings(spark, sf_dir), "row_id", MODS).withColumn(
-        "sim", rounded(F.col("sim"))
+        f"SELECT '{a}_{b}' AS pair, round(list_dot_product(q.{a}, c.{b}), 12) AS sim FROM emb q CROSS JOIN emb c" for a, b in PAIRS
     )
+    + """) SELECT pair, CAST(least(greatest(floor((sim + 1.0::DOUBLE) * 10), 0), 19) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1, 2""",
+)
+def similarity_histogram(spark, sf_dir):
+    """The whole similarity matrix of each pair of modalities, binned."""
+    return reports.similarity_histogram(embeddings(spark, sf_dir), "row_id", MODS)
+
+
+# Every seventh mol vector is missing, every eleventh has a missing component.
+_GAPS_SQL = f"""{EMB_SQL}, gp AS (SELECT CAST(row_id AS INTEGER) AS row_id,
+    CASE WHEN row_id % 7 = 3 OR row_id % 11 = 5 THEN NULL ELSE mol END AS mol FROM emb)"""
+
+
+@query(
+    "top_neighbours_with_gaps",
+    f"""WITH {_GAPS_SQL}, s AS (SELECT q.row_id, c.row_id AS neighbour, round(list_dot_product(q.mol, c.mol), 12) AS sim
+      FROM gp q JOIN gp c ON q.row_id <> c.row_id WHERE q.mol IS NOT NULL AND c.mol IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, neighbour) AS position FROM s)
+    SELECT row_id, neighbour, position, round(sim, 6) + 0.0 AS sim FROM r WHERE position <= 5""",
+)
+def top_neighbours_with_gaps(spark, sf_dir):
+    """Missing vectors and components, and a key of 32 bits."""
+    row = F.col("row_id")
+    holed = F.transform("mol", lambda x, i: F.when(i > 0, x))
+    mol = F.when(row % 7 == 3, F.lit(None)).when(row % 11 == 5, holed).otherwise(F.col("mol"))
+    df = embeddings(spark, sf_dir).select(row.cast("int").alias("row_id"), mol.alias("vec"))
+    out = neighbours.top_neighbours(df, "row_id", 5)
+    return out.select("row_id", "neighbour", F.col("position").cast("bigint").alias("position"), rounded(F.col("sim")).alias("sim"))
 
 
 @query(

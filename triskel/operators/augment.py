@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.hashing import SPAN, hash32, hash32_second, py_hash32
 from triskel.functions.vectors import unit
+from triskel.operators.tiles import rows_of
 
 CORRUPTION_RATE = 0.4
 BIT_DROPOUT = 0.1
@@ -109,10 +110,12 @@ def map_vectors(df: DataFrame, vec: str, function) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            flat = batch.column(position).flatten().to_numpy(zero_copy_only=False)
-            out = function(np.asarray(flat, np.float64).reshape(batch.num_rows, -1))
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+            given = batch.column(position)
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            out = function(np.asarray(rows_of(given.drop_null()), np.float64)) if there.any() else np.zeros((0, 0))
+            # A missing vector stays missing and takes no part.
+            offsets = np.concatenate([[0], np.cumsum(there)]).astype(np.int32) * out.shape[1]
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel(), pa.float64()), mask=pa.array(~there))
             arrays = [column if i == position else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 

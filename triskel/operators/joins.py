@@ -11,6 +11,9 @@ from triskel.functions.text import identifier_ok, strip_annotation
 from triskel.operators.ordering import SLICE_ROWS, ordinal_bucket, slice_offsets
 
 
+SALTS = 16
+
+
 def join_unique(
     df: DataFrame,
     table: DataFrame,
@@ -24,11 +27,14 @@ def join_unique(
     The table first meets the distinct (key, ordinal slice) pairs, which are
     pre-aggregated and few, and then the rows on both columns: a join group holds at
     most one slice of rows. AQE alone would not split the key when two joins in a row
-    use it. Without an ordinal this is a plain join. ``keys_from`` is a cheaper table
+    use it. Without an ordinal the table is repeated for ``SALTS`` salts, which a hash of
+    the row spreads a hot key over. ``keys_from`` is a cheaper table
     that holds every (key, ordinal) of ``df``, such as the source it was joined from.
     """
     if ordinal not in df.columns:
-        return df.join(table, key, how)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(copies, [key, "_salt"], how).drop("_salt")
     tagged = df.withColumn("_bucket", ordinal_bucket(ordinal))
     source = df if keys_from is None else keys_from
     pairs = source.select(key, ordinal_bucket(ordinal).alias("_bucket")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triskel.functions.vectors import ordered_modalities
 from triskel.operators.retrieval import pairs
-from triskel.operators.tiles import matrix
+from triskel.operators.tiles import complete, matrix
 
 LOG_TEMPERATURE = 2.0
 BIAS = 0.0
@@ -105,7 +105,7 @@ def batch_losses(
         + [f"vicreg_{m} double" for m in mods]
     )
     needed = dict.fromkeys([batch, *([group] if group else []), *mods, *enc.values()])
-    losses = df.select(*needed).groupBy(batch).applyInArrow(run, schema)
+    losses = complete(df.select(*needed), *dict.fromkeys([*mods, *enc.values()])).groupBy(batch).applyInArrow(run, schema)
     return losses.withColumn("loss_total", total_loss(mods, pair_weights or {}))
 
 
@@ -124,12 +124,18 @@ def mean_over_batches(losses: DataFrame, batch: str = "batch") -> DataFrame:
     return losses.agg(F.count(F.lit(1)).alias("batches"), *[F.avg(c).alias(c) for c in cols])
 
 
-def loss_is_nan(losses: DataFrame, column: str = "loss_total") -> int:
-    return losses.agg(F.count_if(F.isnan(column))).first()[0]
+def nan_batches(losses: DataFrame, column: str = "loss_total") -> DataFrame:
+    """(batches, nan_batches)."""
+    return losses.agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.isnan(column)).alias("nan_batches"))
 
 
-def assert_no_nan(losses: DataFrame, column: str = "loss_total") -> DataFrame:
-    bad = loss_is_nan(losses, column)
-    if bad:
-        raise RuntimeError(f"NaN loss in {bad} batches; check the preprocessing")
-    return losses
+def mean_without_nan(losses: DataFrame, batch: str = "batch", column: str = "loss_total") -> DataFrame:
+    """``mean_over_batches``, or an error that names the number of NaN batches. The count is
+    part of the same aggregate, so losses are computed once."""
+    cols = [c for c in losses.columns if c not in (batch, "n")]
+    means = losses.agg(
+        F.count(F.lit(1)).alias("batches"), F.count_if(F.isnan(column)).alias("_nan"), *[F.avg(c).alias(c) for c in cols]
+    )
+    message = F.concat(F.lit("NaN loss in "), F.col("_nan").cast("string"), F.lit(" batches; check the preprocessing"))
+    checked = F.when(F.col("_nan") > 0, F.raise_error(message).cast("bigint")).otherwise(F.col("batches"))
+    return means.withColumn("batches", checked).drop("_nan")

@@ -100,5 +100,7 @@ def collapse_alerts(
 def explosion_alerts(
     batches: DataFrame, value: str = "grad_norm", clip_norm: float = 1.0, factor: float = EXPLOSION_FACTOR
 ) -> DataFrame:
-    """Batches whose gradient norm exceeds ``factor`` times the clipping norm."""
-    return batches.where(F.col(value) > factor * clip_norm)
+    """Batches whose gradient norm exceeds ``factor`` times the clipping norm. Infinity
+    does; NaN, which Spark orders above all numbers, exceeds nothing."""
+    norm = F.col(value).cast("double")
+    return batches.where(~F.isnan(norm) & (norm > factor * clip_norm))

@@ -13,7 +13,9 @@ from triskel.functions.vectors import unit
 from triskel.operators.embeddings import mean_vector
 from triskel.operators.tiles import (
     TILE_ROWS,
+    arrow_type,
     chunks,
+    complete,
     key_type,
     matrix,
     sort_by,
@@ -28,11 +30,20 @@ KNN_KS = (5, 10, 20)
 SIM_DECIMALS = 12
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return pa.string() if kind == "string" else pa.int64()
+def _first_columns(sim: np.ndarray, k: int) -> np.ndarray:
+    """The k best columns of each row, best first. Columns are in key order, so ties go
+    to the earlier one. Only columns that reach the k-th value are sorted."""
+    if sim.shape[1] <= k:
+        return np.argsort(-sim, axis=1, kind="stable")
+    least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+    above, level = sim > least, sim == least
+    level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)
+    chosen = np.nonzero(above | level)[1].reshape(len(sim), k)
+    order = np.argsort(-np.take_along_axis(sim, chosen, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(chosen, order, axis=1)
 
 
-def _topk_kernel(key: str, k: int, kind: str):
+def _topk_kernel(key: str, k: int, kind: pa.DataType):
     def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
         c = sort_by(c, key)
         q_ids, c_ids = values(q, key), values(c, key)
@@ -41,14 +52,13 @@ def _topk_kernel(key: str, k: int, kind: str):
         for s in chunks(len(q_ids)):
             sim = np.round(qm[s] @ cm.T, SIM_DECIMALS)
             sim[q_ids[s, None] == c_ids[None, :]] = -np.inf
-            # Candidates are in key order, so a stable sort settles ties by key.
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            top = _first_columns(sim, k)
             best = np.take_along_axis(sim, top, axis=1)
             keep = np.isfinite(best).ravel()
             rows.append(np.repeat(q_ids[s], top.shape[1])[keep])
             nbrs.append(c_ids[top].ravel()[keep])
             sims.append(best.ravel()[keep])
-        t = _arrow(kind)
+        t = kind
         return pa.table(
             {
                 key: pa.array(np.concatenate(rows), type=t),
@@ -67,10 +77,10 @@ def top_neighbours(
     excluded by key. Each tile keeps its own top k, so a query brings at most
     k rows per tile to the final ranking."""
     kind = key_type(points, key)
-    slim = points.select(key, unit(F.col(vec)).alias("vec"))
+    slim = complete(points.select(key, F.col(vec).alias("vec")), "vec").select(key, unit(F.col("vec")).alias("vec"))
     n = tile_count(points, tiles)
     partial = tile_cogroup(
-        slim, slim, key, key, (n, n), _topk_kernel(key, k, kind),
+        slim, slim, key, key, (n, n), _topk_kernel(key, k, arrow_type(points, key)),
         f"{key} {kind}, neighbour {kind}, sim double",
     )
     order = Window.partitionBy(key).orderBy(F.desc("sim"), F.asc("neighbour"))
@@ -111,7 +121,7 @@ def knn_accuracy(
     return correct.select("k", (F.col("_hits") / total).alias("accuracy"))
 
 
-def _nearest_kernel(key: str, centre: str, kind: str, centre_kind: str):
+def _nearest_kernel(key: str, centre: str, kind: pa.DataType, centre_kind: pa.DataType):
     def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
         c = sort_by(c, centre)
         ids, centres = values(q, key), values(c, centre)
@@ -126,8 +136,8 @@ def _nearest_kernel(key: str, centre: str, kind: str, centre_kind: str):
             dist.append(d2[np.arange(len(at)), at])
         return pa.table(
             {
-                key: pa.array(ids, type=_arrow(kind)),
-                centre: pa.array(np.concatenate(found), type=_arrow(centre_kind)),
+                key: pa.array(ids, type=kind),
+                centre: pa.array(np.concatenate(found), type=centre_kind),
                 "d2": pa.array(np.concatenate(dist)),
             }
         )
@@ -144,8 +154,8 @@ def assign_nearest(
     if tiles is None:
         tiles = (tile_count(points), max(1, -(-centroids.count() // TILE_ROWS)))
     partial = tile_cogroup(
-        points.select(key, "vec"), centroids.select(centre, "vec"), key, centre, tiles,
-        _nearest_kernel(key, centre, kind, centre_kind),
+        complete(points.select(key, "vec"), "vec"), complete(centroids.select(centre, "vec"), "vec"), key, centre, tiles,
+        _nearest_kernel(key, centre, arrow_type(points, key), arrow_type(centroids, centre)),
         f"{key} {kind}, {centre} {centre_kind}, d2 double",
     )
     best = partial.groupBy(key).agg(F.min(F.struct("d2", centre)).alias("_b"))

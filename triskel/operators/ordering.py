@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triskel.functions.hashing import hash32
+from triskel.session import materialise
 
 SLICE_ROWS = 1 << 20
 # Width of a slice of 32-bit hashes: 65,536 even slices.
@@ -100,9 +101,15 @@ def seeded_shuffle(df: DataFrame, row_key: str, seed: int, out: str = "position"
 
 def label_codes(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     """Distinct non-null labels in sorted order with codes 0..C-1."""
-    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    as_text = F.col(label).cast("string")
-    return ordered_index(labels, [], [label], out, bucket=F.substring(as_text, 1, 2))
+    labels = df.where(F.col(label).isNotNull()).select(label).distinct().sort(label)
+    # Spark's sort cuts the labels into even ranges of their own type. The ranges come
+    # from a sample, so they are written before they are counted.
+    place = F.monotonically_increasing_id()
+    ranged = materialise(labels.select(label, F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_at")))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(starts, "_range").select(label, (F.col("_before") + F.col("_at")).alias(out))
 
 
 def encode_labels(df: DataFrame, label: str, out: str = "code") -> DataFrame:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triskel.functions.vectors import dot, ordered_modalities
+from triskel.functions.vectors import ordered_modalities
+from triskel.operators.neighbours import SIM_DECIMALS
 from triskel.operators.retrieval import pairs
+from triskel.operators.tiles import chunks, complete, matrix, tile_cogroup, tile_count
 
+SIMILARITY_BINS = 20
 TABLE_METRICS = ("R@1", "R@5", "R@10", "MRR")
 
 
@@ -50,27 +55,33 @@ def metric_listing(metrics: DataFrame) -> DataFrame:
     )
 
 
-def similarity_slice(wide: DataFrame, ordinal: str, modalities: Sequence[str], size: int = 50) -> DataFrame:
-    """(pair, i, j, sim) of the first ``size`` rows against each other: a fixed-size
-    figure. Rows are numbered by ``ordinal`` among themselves."""
+def similarity_histogram(
+    wide: DataFrame, key: str, modalities: Sequence[str], bins: int = SIMILARITY_BINS, tiles: int | None = None
+) -> DataFrame:
+    """(pair, bin, n): how many of all row pairs have a similarity in each of ``bins`` even
+    parts of [-1, 1]. Rows without one of the vectors take no part; a tile pair gives one
+    row of counts per pair of modalities."""
     mods = ordered_modalities(modalities)
-    head = wide.orderBy(ordinal).limit(size).select(ordinal, *mods)
-    # The slice is at most ``size`` rows, so one array holds its candidate side.
-    side = head.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("j"), *mods))).alias("_all")
-    ).withColumn("_k", F.lit("slice"))
-    crossed = head.withColumn("_k", F.when(F.col(ordinal).isNotNull(), "slice")).join(
-        F.broadcast(side), "_k"
-    ).select(F.col(ordinal).alias("i"), *mods, F.explode("_all").alias("c"))
-    rows = [
-        F.struct(
-            F.lit(f"{a}_{b}").alias("pair"), dot(F.col(a), F.col("c")[b]).alias("sim")
-        )
-        for a, b in pairs(mods)
-    ]
-    return crossed.select("i", F.col("c.j").alias("j"), F.explode(F.array(*rows)).alias("p")).select(
-        "p.pair", "i", "j", "p.sim"
-    )
+    pair_list = pairs(mods)
+    n_tiles = tile_count(wide, tiles)
+
+    def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
+        names, numbers, counts = [], [], []
+        for a, b in pair_list:
+            left, right = matrix(q, a), matrix(c, b)
+            total = np.zeros(bins, np.int64)
+            for part in chunks(len(left)):
+                sim = np.round(left[part] @ right.T, SIM_DECIMALS)
+                at = np.clip(np.floor((sim + 1.0) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+                total += np.bincount(at.ravel(), minlength=bins)
+            names += [f"{a}_{b}"] * bins
+            numbers += range(bins)
+            counts += total.tolist()
+        return pa.table({"pair": names, "bin": pa.array(numbers, pa.int64()), "n": pa.array(counts, pa.int64())})
+
+    rows = complete(wide.select(key, *mods), *mods)
+    partial = tile_cogroup(rows, rows, key, key, (n_tiles, n_tiles), run, "pair string, bin bigint, n bigint")
+    return partial.groupBy("pair", "bin").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def training_curves(history: DataFrame, group_metric: str, row_metric: str) -> DataFrame:

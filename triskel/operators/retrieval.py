@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from triskel.functions.vectors import ordered_modalities, squared_distance
 from triskel.operators.tiles import (
+    arrow_type,
     chunks,
+    complete,
     key_type,
     matrix,
     sort_by,
@@ -105,8 +107,8 @@ def row_statistics(
         + [f"{n} bigint" for n in names]
         + [f"pot_{m} double" for m in uniform_mods]
     )
-    slim = wide.select(key, *mods)
-    arrow = pa.string() if kind == "string" else pa.int64()
+    slim = complete(wide.select(key, *mods), *mods)
+    arrow = arrow_type(wide, key)
     partial = tile_cogroup(
         slim, slim, key, key, (n_tiles, n_tiles), _kernel(key, pair_list, uniform_mods, arrow), schema
     )

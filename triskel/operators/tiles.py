@@ -13,9 +13,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 TILE_ROWS = 8192
 MIN_TILE_ROWS = 256
@@ -79,10 +80,33 @@ def tile_cogroup(
     )
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """List column as a 2-D array; missing or uneven vectors are an error, since
+    flattening would hand their values to other rows."""
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("a vector, or a component of one, is missing")
+    widths = pc.list_value_length(column)
+    width = widths[0].as_py() if len(column) else 0
+    if len(column) and pc.min(widths).as_py() != pc.max(widths).as_py():
+        raise ValueError("vectors differ in width")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
 def matrix(table: pa.Table, column: str) -> np.ndarray:
     """list<double> column as a 2-D array."""
-    flat = pa.concat_arrays([c.flatten() for c in table.column(column).chunks])
-    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return rows_of(table.column(column).combine_chunks())
+
+
+def complete(df: DataFrame, *vectors: str) -> DataFrame:
+    """Rows whose vectors are all there, with all components. A missing vector has no
+    similarity to anything, so such rows take no part in comparisons."""
+    for v in vectors:
+        df = df.where(F.coalesce(~F.exists(v, lambda x: x.isNull()), F.lit(False)))
+    return df
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def values(table: pa.Table, column: str) -> np.ndarray:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +37,26 @@ def build_session(app: str = "triskel", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only where
-    it is unset (local tests) does a temporary folder take its place.
+    ``spark.checkpoint.dir`` names storage every executor can reach; on a cluster it
+    must be set. Only a session without executors of its own (``local[..]``) may leave
+    it out, as tests do: driver and workers then share the machine's temporary folder,
+    which is made once and goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = _local_folder()
     return f"{base.rstrip('/')}/triskel-{uuid.uuid4().hex}"
 
 

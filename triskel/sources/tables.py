@@ -117,13 +117,13 @@ def attach_sidecar(
 ) -> DataFrame:
     """Left join of per-sample metadata.
 
-    Without an ``inst_id`` column the first column is the key if any of its first
-    100 values names a sample; otherwise the sidecar is dropped and metadata
-    embedded with the matrix, if any, takes its place.
+    Without an ``inst_id`` column the first column is the key if any of its values
+    names a sample; otherwise the sidecar is dropped and metadata embedded with the
+    matrix, if any, takes its place.
     """
     if sidecar is not None and "inst_id" not in sidecar.columns:
         first = sidecar.columns[0]
-        probe = sidecar.select(F.col(first).cast("string").alias("inst_id")).limit(100)
+        probe = sidecar.select(F.col(first).cast("string").alias("inst_id"))
         if probe.join(samples.select("inst_id"), "inst_id", "left_semi").isEmpty():
             sidecar = None
         else:
