@@ -192,14 +192,23 @@ def test_quartiles_are_exact_with_gaps_duplicates_and_hot_values(spark):
         "mostly_gaps": [None] * 50 + [1.0, 5.0, 6.0],
         "flat": [2.5] * 40,
     }
-    rows = [(f, v) for f, vs in cols.items() for v in vs] + [("void", None)] * 3
-    long = spark.createDataFrame(rows, "feature string, value double").repartition(5)
-    got = quantiles.filled_quartiles(long)
-    assert set(got) == set(cols)
     for f, vs in cols.items():
+        df = spark.createDataFrame([(v, None) for v in vs], f"`{f}` double, void double").repartition(5)
+        got = quantiles.filled_quartiles(df, [f, "void"])
+        assert set(got) == {f}
         assert got[f] == pytest.approx(filled_model(vs), abs=1e-12), f
 
 
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_order_statistics_with_bounded_intervals(spark, most):
+    r = random.Random(8)
+    cols = {"a": [r.choice([1.0, 2.0, r.gauss(0, 1)]) for _ in range(700)], "b": [2.0**-i for i in range(700)]}
+    df = spark.createDataFrame(list(zip(*cols.values(), strict=True)), "a double, b double").repartition(4)
+    ranks = {"a": [0, 350, 699], "b": [1, 500]}
+    got = quantiles.order_statistics(df, {"a": [0.5], "b": [1e-9, 5.0, 5.0]}, {"a": 700, "b": 700}, ranks, most=most)
+    assert got == {(f, p): sorted(cols[f])[p] for f, ps in ranks.items() for p in ps}
+
+
 def scaled_frame(spark):
     rng = np.random.default_rng(7)
     split = ["train"] * 70 + ["val"] * 15 + ["test"] * 15

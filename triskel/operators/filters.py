@@ -72,13 +72,9 @@ def kept_features(
 
 def constant_features(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """Features with zero deviation on train (one row has none, and is kept)."""
-    return (
-        to_long(df.where(F.col(split) == "train"), [], features)
-        .groupBy("feature")
-        .agg(F.stddev_samp("value").alias("sd"))
-        .where(F.col("sd") == 0.0)
-        .select("feature")
-    )
+    one = df.where(F.col(split) == "train").agg(*[F.stddev_samp(f).alias(f) for f in features])
+    rows = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("sd")) for f in features]
+    return one.select(F.explode(F.array(*rows)).alias("r")).where("r.sd = 0").select("r.feature")
 
 
 def names(table: DataFrame, order: Sequence[str]) -> list[str]:

@@ -1,13 +1,14 @@
 """Exact per-feature order statistics without gathering a feature in one task.
 
 ``percentile`` keeps every distinct value of a group in a single aggregation
-buffer. Here a bounded sketch proposes cut points, exact counts per (feature,
-slice) locate the slice that holds each wanted rank, and only those slices,
-pre-aggregated to (value, count), are sorted. Poor cut points cost time, never
-exactness.
-
-This is a fit: it runs jobs and keeps a few numbers per feature on the driver. A
-feature is a column of the wide table, so their number is the schema's width.
+buffer. Here a bounded sketch proposes cut points, exact counts locate the interval
+that holds each wanted rank, and an interval is cut again until it holds at most
+``MOST`` rows or one value; only then are its values, pre-aggregated, sorted. Poor cut
+points cost another round, never exactness, and no window group is larger than that.
+
+All of it are wide aggregates over the columns of the table: nothing is unpivoted. This
+is a fit: it runs jobs and keeps a few numbers per feature on the driver. A feature is
+a column of the wide table, so their number is the schema's width.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triskel.session import local_table
-
-SLICES = 32
+SLICES = 256
 SKETCH_ACCURACY = 1000
+MOST = 1 << 16
+# Columns that share one aggregate; more would make its generated code too long.
+COLUMNS = 24
 
 
 class Profile(NamedTuple):
@@ -40,66 +42,134 @@ class Profile(NamedTuple):
         return self.rows - self.present
 
 
-def profile(long: DataFrame, slices: int = SLICES) -> dict[str, Profile]:
-    """feature -> counts, moments and cut points, in one pass over (feature, value)."""
-    shares = [i / slices for i in range(1, slices)]
-    rows = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("present"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.var_pop("value").alias("variance"),
-        F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"),
-    )
-    return {
-        r["feature"]: Profile(r["rows"], r["present"], r["mean"], r["sd"], r["variance"], r["cuts"])
-        for r in rows.collect()
-    }
+def _aggregate(df: DataFrame, columns: Mapping[tuple, Column], at_once: int) -> dict[tuple, object]:
+    """Values of many aggregates over ``df``, a bounded number of them in a job."""
+    keys, out = list(columns), {}
+    for lo in range(0, len(keys), at_once):
+        part = keys[lo : lo + at_once]
+        row = df.agg(*[columns[k].alias(f"_{i}") for i, k in enumerate(part)]).first()
+        out.update(zip(part, row, strict=True))
+    return out
 
 
-def _sliced(long: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(feature, value, slice): slice = number of cut points below the value.
+def _cuts(value: Column, slices: int) -> Column:
+    return F.percentile_approx(value, [i / slices for i in range(1, slices)], SKETCH_ACCURACY)
 
-    Cut points are plain non-null columns of the broadcast side, which keeps the
-    generated code small enough to be compiled.
-    """
-    width = len(next(iter(cuts.values())))
-    schema = "feature string not null, " + ", ".join(f"_c{i} double not null" for i in range(width))
-    table = local_table(long.sparkSession, [(f, *map(float, c)) for f, c in cuts.items()], schema)
-    below = F.lit(0)
-    for i in range(width):
-        below = below + F.when(F.col("value") > F.col(f"_c{i}"), 1).otherwise(0)
-    present = long.where(F.col("value").isNotNull())
-    return present.join(F.broadcast(table), "feature").select("feature", "value", below.alias("slice"))
+
+def profile(
+    df: DataFrame, features: Sequence[str], ranked: Sequence[str] | None = None, slices: int = SLICES
+) -> dict[str, Profile]:
+    """feature -> counts, moments and, for the ``ranked`` ones (default: all), cut points."""
+    wanted: dict[tuple, Column] = {}
+    ranked = set(features if ranked is None else ranked)
+    for f in features:
+        v = F.col(f).cast("double")
+        wanted |= {(f, "rows"): F.count(F.lit(1)), (f, "present"): F.count(v), (f, "mean"): F.avg(v)}
+        wanted |= {(f, "sd"): F.stddev_samp(v), (f, "variance"): F.var_pop(v)}
+        wanted[f, "cuts"] = _cuts(v, slices) if f in ranked else F.first(F.lit(None))
+    got = _aggregate(df, wanted, 6 * COLUMNS)
+    return {f: Profile(*[got[f, name] for name in Profile._fields]) for f in features if got[f, "rows"]}
+
+
+def _bracket(cuts: Sequence[float], share: float) -> list[float]:
+    """The cut points around a share of the values, with room for the sketch's error."""
+    at = int(share * (len(cuts) + 1))
+    return sorted({float(cuts[i]) for i in (at - 2, at + 1) if 0 <= i < len(cuts)})
+
+
+class _Interval(NamedTuple):
+    """Values above ``low`` and up to ``high``: how many lie below, and inside."""
+
+    feature: str
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def holds(self) -> Column:
+        v = F.col(self.feature).cast("double")
+        return (v > self.low) & (v <= self.high)
 
 
 def order_statistics(
-    long: DataFrame, cuts: Mapping[str, Sequence[float]], ranks: Mapping[str, Sequence[int]]
+    df: DataFrame,
+    cuts: Mapping[str, Sequence[float]],
+    sizes: Mapping[str, int],
+    ranks: Mapping[str, Sequence[int]],
+    most: int = MOST,
 ) -> dict[tuple[str, int], float]:
-    """(feature, rank) -> value for 0-based ranks among the feature's present values."""
-    sliced = _sliced(long, cuts)
-    counts: dict[str, dict[int, int]] = {}
-    for r in sliced.groupBy("feature", "slice").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(r["feature"], {})[r["slice"]] = r["n"]
-
-    wanted = []
-    for feature, positions in ranks.items():
-        start = 0
-        for number in sorted(counts.get(feature, {})):
-            end = start + counts[feature][number]
-            wanted += [(feature, number, p, p - start) for p in set(positions) if start <= p < end]
-            start = end
-    spark = long.sparkSession
-    targets = local_table(spark, wanted, "feature string, slice int, pos bigint, local bigint")
-    chosen = sliced.join(F.broadcast(targets.select("feature", "slice").distinct()), ["feature", "slice"], "left_semi")
-    values = chosen.groupBy("feature", "slice", "value").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    """(feature, rank) -> value for 0-based ranks among the feature's ``sizes`` present values."""
+    inf = float("inf")
+    found: dict[tuple[str, int], float] = {}
+    # Each wanted rank starts in the whole range, cut where the sketch says.
+    open_: dict[tuple[str, int], tuple[_Interval, list[float]]] = {}
+    for f, positions in ranks.items():
+        for p in set(positions):
+            open_[f, p] = (_Interval(f, -inf, inf, 0, sizes[f]), _bracket(cuts[f], p / sizes[f]))
+    small: dict[tuple[str, int], _Interval] = {}
+    while open_:
+        # Count the values of every part of every interval in use.
+        wanted: dict[tuple, Column] = {}
+        for interval, inner in open_.values():
+            edges = [interval.low, *[c for c in inner if interval.low < c < interval.high], interval.high]
+            for low, high in zip(edges, edges[1:], strict=False):
+                wanted[interval.feature, low, high] = F.count_if(_Interval(interval.feature, low, high, 0, 0).holds())
+        counts = _aggregate(df, wanted, 6 * COLUMNS)
+        again: dict[tuple[str, int], _Interval] = {}
+        for (f, p), (interval, inner) in open_.items():
+            edges = [interval.low, *[c for c in inner if interval.low < c < interval.high], interval.high]
+            below = interval.below
+            for low, high in zip(edges, edges[1:], strict=False):
+                n = counts[f, low, high]
+                if below <= p < below + n:
+                    part = _Interval(f, low, high, below, n)
+                    (small if n <= most else again)[f, p] = part
+                    break
+                below += n
+        # Large parts: their ends tell whether one value fills them, their sketch cuts them.
+        wanted = {}
+        for part in set(again.values()):
+            v = F.when(part.holds(), F.col(part.feature).cast("double"))
+            wanted |= {(part, "least"): F.min(v), (part, "greatest"): F.max(v), (part, "cuts"): _cuts(v, SLICES)}
+        got = _aggregate(df, wanted, 3 * COLUMNS)
+        open_ = {}
+        for key, part in again.items():
+            least, greatest = got[part, "least"], got[part, "greatest"]
+            if least == greatest:
+                found[key] = least
+            else:
+                # The least value apart, so that every round makes the interval smaller.
+                inner = sorted({least, *_bracket(got[part, "cuts"], (key[1] - part.below) / part.inside)} - {greatest})
+                open_[key] = (part._replace(high=greatest), inner)
+    return found | _sorted_ranks(df, small)
+
+
+def _sorted_ranks(df: DataFrame, small: Mapping[tuple[str, int], _Interval]) -> dict[tuple[str, int], float]:
+    """Ranks in intervals of bounded size, by sorting their values."""
+    parts = sorted(set(small.values()))
+    if not parts:
+        return {}
+    cells = F.array(
+        *[F.when(part.holds(), F.struct(F.lit(i).alias("i"), F.col(part.feature).cast("double").alias("value"))) for i, part in enumerate(parts)]
     )
+    rows = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    values = rows.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ladder = values.withColumn("upto", F.sum("n").over(running))
-    hit = (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n"))
-    found = ladder.join(F.broadcast(targets), ["feature", "slice"]).where(hit)
-    return {(r["feature"], r["pos"]): r["value"] for r in found.select("feature", "pos", "value").collect()}
+    number = {part: i for i, part in enumerate(parts)}
+    wanted: dict[int, set[int]] = {}
+    for (_, p), part in small.items():
+        wanted.setdefault(number[part], set()).add(p - part.below)
+    hit = F.lit(False)
+    for i, positions in wanted.items():
+        for p in sorted(positions):
+            hit = hit | ((F.col("i") == i) & (F.col("upto") > p) & (F.col("upto") - F.col("n") <= p))
+    steps = ladder.where(hit).select("i", "value", "n", "upto").collect()  # one row a wanted rank
+    out = {}
+    for (f, p), part in small.items():
+        local = p - part.below
+        out[f, p] = next(r["value"] for r in steps if r["i"] == number[part] and r["upto"] - r["n"] <= local < r["upto"])
+    return out
 
 
 def _between(at: float, value_at) -> float:
@@ -110,16 +180,16 @@ def _between(at: float, value_at) -> float:
 
 
 def filled_quartiles(
-    long: DataFrame, profiles: Mapping[str, Profile] | None = None
+    df: DataFrame, features: Sequence[str], profiles: Mapping[str, Profile] | None = None
 ) -> dict[str, tuple[float, float, float]]:
     """feature -> (median, p25, p75), the quartiles taken after missing values have
-    been replaced by the median; NULLs in ``long`` are the missing values.
+    been replaced by the median; NULLs are the missing values.
 
     The copies of the median slot in between the two halves of the sorted values,
     so ranks in the filled column follow from the counts alone and one selection
     pass serves all three.
     """
-    stats = {f: p for f, p in (profiles or profile(long)).items() if p.present}
+    stats = {f: p for f, p in (profiles or profile(df, features)).items() if p.present}
     if not stats:
         return {}
 
@@ -138,7 +208,7 @@ def filled_quartiles(
             at = (p.rows - 1) * q
             ranks += [present_rank(p, math.floor(at)), present_rank(p, math.ceil(at))]
         wanted[feature] = [r for r in ranks if r is not None]
-    values = order_statistics(long, {f: p.cuts for f, p in stats.items()}, wanted)
+    values = order_statistics(df, {f: p.cuts for f, p in stats.items()}, {f: p.present for f, p in stats.items()}, wanted)
 
     out = {}
     for feature, p in stats.items():

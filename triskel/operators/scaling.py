@@ -10,11 +10,10 @@ import math
 from collections.abc import Mapping, Sequence
 from statistics import fmean
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triskel.functions.numeric import clip
-from triskel.operators.filters import to_long
 from triskel.operators.quantiles import Profile, filled_quartiles, profile
 from triskel.session import local_table
 
@@ -25,12 +24,12 @@ STD_TOLERANCE = 0.3
 FIT_SCHEMA = "feature string, center double, scale double"
 
 
-def train_long(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
-    return to_long(df.where(F.col(split) == "train"), [], features)
+def train_rows(df: DataFrame, split: str = "split") -> DataFrame:
+    return df.where(F.col(split) == "train")
 
 
-def _robust_rows(long: DataFrame, profiles: Mapping[str, Profile]) -> list[tuple]:
-    quartiles = filled_quartiles(long, profiles)
+def _robust_rows(train: DataFrame, profiles: Mapping[str, Profile]) -> list[tuple]:
+    quartiles = filled_quartiles(train, list(profiles), profiles)
     return [(f, m, (p75 - p25) or 1.0) for f, (m, p25, p75) in quartiles.items()]
 
 
@@ -52,15 +51,15 @@ def _standard_rows(profiles: Mapping[str, Profile]) -> list[tuple]:
 def fit_robust(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """(feature, center, scale): median and interquartile range of the
     median-filled training values; a zero range counts as 1."""
-    long = train_long(df, features, split)
-    return local_table(df.sparkSession, _robust_rows(long, profile(long)), FIT_SCHEMA)
+    train = train_rows(df, split)
+    return local_table(df.sparkSession, _robust_rows(train, profile(train, features)), FIT_SCHEMA)
 
 
 def fit_standard(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """(feature, center, scale, rescaled): mean and population deviation of the
     mean-filled training values, or (0, 1) for all features when the modality
     already looks z-scored. One pass over the data."""
-    rows = _standard_rows(profile(train_long(df, features, split)))
+    rows = _standard_rows(profile(train_rows(df, split), features, ranked=[]))
     return local_table(df.sparkSession, rows, FIT_SCHEMA + ", rescaled boolean")
 
 
@@ -68,7 +67,7 @@ def fit_modalities(
     df: DataFrame, morph: Sequence[str], expr: Sequence[str], split: str = "split"
 ) -> DataFrame:
     """Robust fit for one modality, conditional standard fit for the other."""
-    profiles = profile(train_long(df, [*morph, *expr], split))
+    profiles = profile(train_rows(df, split), [*morph, *expr], ranked=morph)
     return fit_from(df, profiles, morph, expr, split)
 
 
@@ -84,7 +83,7 @@ def fit_from(
     def part(features):
         return {f: profiles[f] for f in features if f in profiles}
 
-    rows = _robust_rows(train_long(df, morph, split), part(morph)) if morph else []
+    rows = _robust_rows(train_rows(df, split), part(morph)) if morph else []
     rows += [r[:3] for r in _standard_rows(part(expr))]
     return local_table(df.sparkSession, rows, FIT_SCHEMA)
 
@@ -110,13 +109,21 @@ def apply_scaling(
 
 def split_moments(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """Rows and percent per split, mean of feature means, mean of feature deviations."""
-    per_feature = (
-        to_long(df, [split], features)
-        .groupBy(split, "feature")
-        .agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    wide = df.groupBy(split).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)],
+        *[F.stddev_samp(f).alias(f"_s{i}") for i, f in enumerate(features)],
     )
-    moments = per_feature.groupBy(split).agg(F.avg("m").alias("mean"), F.avg("s").alias("std"))
-    sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"))
+
+    def mean_of(kind: str) -> Column:
+        return _mean([F.col(f"_{kind}{i}") for i in range(len(features))])
+
     total = df.agg(F.count(F.lit(1))).scalar()
-    sizes = sizes.withColumn("percent", F.col("rows") * 100.0 / total)
-    return sizes.join(moments, split)
+    percent = (F.col("rows") * 100.0 / total).alias("percent")
+    return wide.select(split, "rows", percent, mean_of("m").alias("mean"), mean_of("s").alias("std"))
+
+
+def _mean(values: Sequence[Column]) -> Column:
+    """Mean of the values of one row that are not NULL."""
+    there = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return F.aggregate(there, F.lit(0.0), lambda a, v: a + v, lambda a: F.try_divide(a, F.size(there)))

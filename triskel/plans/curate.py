@@ -11,7 +11,7 @@ from triskel.functions.text import META_PREFIX, short_key, split_roles
 from triskel.operators.filters import drop_unresolved, quality_filter, remove_controls
 from triskel.operators.joins import pair_round_robin, resolve_identifier, resolve_label
 from triskel.operators.quantiles import profile
-from triskel.operators.scaling import apply_scaling, fit_from, train_long
+from triskel.operators.scaling import apply_scaling, fit_from, train_rows
 from triskel.operators.splits import greedy_split, group_key, hashed_split
 from triskel.session import materialise
 from triskel.sources.sinks import manifest_table, write_manifest, write_splits
@@ -86,7 +86,7 @@ def curate(
         rows = materialise(rows) if cut else rows
     else:
         rows = hashed_split(rows.withColumn("_group", group), "_group", seed).drop("_group")
-    profiles = profile(train_long(rows, kept))
+    profiles = profile(train_rows(rows), kept, ranked=split_roles(kept)[0])
     flat = [f for f in kept if f in profiles and profiles[f].sd == 0.0]
     rows, kept = rows.drop(*flat), [f for f in kept if f not in flat]
     morph, expr = split_roles(kept)
