@@ -511,11 +511,8 @@ def group_sizes(spark, sf_dir):
 _GH = hash_sql("42", "group_key")
 
 
-@query(
-    "group_split_greedy",
-    f"""WITH RECURSIVE {_GROUP_SQL},
-    c AS (SELECT compound_id, count(*) AS n_rows, arg_min({_KEY_SQL}, ordinal) AS group_key FROM gr GROUP BY compound_id),
-    g AS (SELECT group_key, count(*) AS compounds, sum(n_rows)::BIGINT AS rows FROM c GROUP BY group_key),
+# From c (compound_id, n_rows, group_key): the sequential rule, one group after another.
+_WALK_SQL = f"""g AS (SELECT group_key, count(*) AS compounds, sum(n_rows)::BIGINT AS rows FROM c GROUP BY group_key),
     o AS (SELECT *, row_number() OVER (ORDER BY compounds DESC, rows DESC, {_GH}, group_key) AS i FROM g),
     t AS (SELECT sum(rows)::DOUBLE AS n FROM g),
     walk AS (
@@ -528,9 +525,17 @@ _GH = hash_sql("42", "group_key")
                    WHEN walk.b / (0.15 * n) <= walk.c / (0.15 * n) THEN 'val' ELSE 'test' END AS pick
             FROM walk JOIN o ON o.i = walk.i + 1, t)),
     quota AS (SELECT compounds, rows, count(*) FILTER (pick = 'train') AS nt, count(*) FILTER (pick = 'val') AS nv FROM walk JOIN o USING (i) GROUP BY 1, 2),
-    placed AS (SELECT group_key, compounds, rows, row_number() OVER (PARTITION BY compounds, rows ORDER BY {_GH}, group_key) AS r FROM g)
-    SELECT compound_id, CASE WHEN r <= nt THEN 'train' WHEN r <= nt + nv THEN 'val' ELSE 'test' END AS split
-    FROM c JOIN placed USING (group_key) JOIN quota USING (compounds, rows)""",
+    placed AS (SELECT group_key, compounds, rows, row_number() OVER (PARTITION BY compounds, rows ORDER BY {_GH}, group_key) AS r FROM g),
+    sp AS (SELECT compound_id, CASE WHEN r <= nt THEN 'train' WHEN r <= nt + nv THEN 'val' ELSE 'test' END AS split
+      FROM c JOIN placed USING (group_key) JOIN quota USING (compounds, rows))"""
+
+
+@query(
+    "group_split_greedy",
+    f"""WITH RECURSIVE {_GROUP_SQL},
+    c AS (SELECT compound_id, count(*) AS n_rows, arg_min({_KEY_SQL}, ordinal) AS group_key FROM gr GROUP BY compound_id),
+    {_WALK_SQL}
+    SELECT * FROM sp""",
 )
 def group_split_greedy(spark, sf_dir):
     rows = splits.greedy_split(_grouped(spark, sf_dir), group=_group_column())
@@ -562,15 +567,19 @@ _Q1_FEATURES = ["Cells_price", "Nuclei_mod", "Cytoplasm_flat", "gene_0_at", "gen
 _Q1_SPLIT = f"({hash_sql('42', 'smiles')} / 4294967296.0::DOUBLE)"
 
 
-def _q1_sql() -> str:
+_Q1_HASHED = f"""q1s AS (SELECT *, CASE WHEN {_Q1_SPLIT} < 0.7 THEN 'train' WHEN {_Q1_SPLIT} < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM q1b)"""
+_Q1_GREEDY = f"""c AS (SELECT compound_id, count(*) AS n_rows, arg_min(smiles, ordinal) AS group_key FROM q1b GROUP BY compound_id),
+    {_WALK_SQL}, q1s AS (SELECT q1b.*, sp.split FROM q1b JOIN sp USING (compound_id))"""
+
+
+def _q1_sql(split: str = _Q1_HASHED) -> str:
     clean = ", ".join(f"CASE WHEN isfinite({f}) THEN {f} END AS {f}" for f in _Q1_FEATURES)
     long = " UNION ALL ".join(f"SELECT ordinal, split, '{f}' AS feature, {f} AS value FROM q1s" for f in _Q1_FEATURES)
     return f"""{_KEYED}, {_PAIRED_SQL}, {_RESOLVED_SQL},
     q1c AS (SELECT ordinal, compound_id, smiles, moa, {clean} FROM res WHERE smiles IS NOT NULL
       AND NOT coalesce(lower(trim(pert_iname)) IN ('dmso', 'empty'), FALSE)
       AND NOT coalesce(lower(trim(pert_type)) IN ('ctl_vehicle', 'ctl_untrt'), FALSE)),
-    q1s AS (SELECT *, CASE WHEN {_Q1_SPLIT} < 0.7 THEN 'train' WHEN {_Q1_SPLIT} < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split
-      FROM q1c WHERE coalesce({', '.join(_Q1_FEATURES)}) IS NOT NULL),
+    q1b AS (SELECT * FROM q1c WHERE coalesce({', '.join(_Q1_FEATURES)}) IS NOT NULL), {split},
     q1l AS ({long}),
     ok AS (SELECT feature FROM q1l GROUP BY feature HAVING avg((value IS NULL)::INT) <= 0.05 AND stddev_samp(value) FILTER (split = 'train') <> 0),
     lk AS (SELECT *, feature LIKE '%!_at' ESCAPE '!' AS is_expr FROM q1l JOIN ok USING (feature)),
@@ -583,15 +592,25 @@ def _q1_sql() -> str:
              CASE WHEN NOT is_expr THEN CASE WHEN iqr = 0 THEN 1 ELSE iqr END WHEN rescaled THEN CASE WHEN sdp = 0 THEN 1 ELSE sdp END ELSE 1 END AS scale FROM ff, dd)"""
 
 
-@query(
-    "curated_rows",
-    f"""WITH {_q1_sql()} SELECT ordinal, compound_id, smiles, moa, split, feature,
+_CURATED_SQL = """SELECT ordinal, compound_id, smiles, moa, split, feature,
       round(CASE WHEN value IS NULL THEN NULL ELSE least(greatest((value - center) / scale, -5.0::DOUBLE), 5.0::DOUBLE) END, 6) + 0.0 AS value
-    FROM lk JOIN fc USING (feature) JOIN (SELECT ordinal, compound_id, smiles, moa FROM q1s) USING (ordinal)""",
-)
-def curated_rows(spark, sf_dir):
-    """The whole curation flow, in long form."""
-    curated = flow.curate(_matched(spark, sf_dir), greedy=False)
+    FROM lk JOIN fc USING (feature) JOIN (SELECT ordinal, compound_id, smiles, moa FROM q1s) USING (ordinal)"""
+
+
+def _curated(spark, sf_dir, greedy):
+    curated = flow.curate(_matched(spark, sf_dir), greedy=greedy)
     features = curated.morph_features + curated.expr_features
     long = filters.to_long(curated.rows, ["ordinal", "compound_id", "smiles", "moa", "split"], features)
     return long.withColumn("value", rounded(F.col("value")))
+
+
+@query("curated_rows", f"WITH {_q1_sql()} {_CURATED_SQL}")
+def curated_rows(spark, sf_dir):
+    """The whole curation flow, in long form."""
+    return _curated(spark, sf_dir, greedy=False)
+
+
+@query("curated_rows_greedy", f"WITH RECURSIVE {_q1_sql(_Q1_GREEDY)} {_CURATED_SQL}")
+def curated_rows_greedy(spark, sf_dir):
+    """The same with the greedy split of groups."""
+    return _curated(spark, sf_dir, greedy=True)

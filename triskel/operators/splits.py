@@ -85,6 +85,9 @@ def share_run(counts: dict, targets: dict, weight: int, items: int) -> dict:
         given[following] += 1
 
 
+MOST_SIZES = 2_000_000
+
+
 def greedy_split(
     df: DataFrame,
     compound: str = "compound_id",
@@ -98,8 +101,10 @@ def greedy_split(
     Groups of equal size (compounds, rows) are interchangeable, so the sequential
     rule runs over the distinct sizes, not over the groups: it settles how many
     groups of a size each split takes, and a seeded order within the size says
-    which. Distinct sizes stay few (they are at most about (3*rows)^(2/3) / 2, and
-    only that if all sizes differ), which is what lets them pass through the driver.
+    which. Ties between groups of equal size are thereby settled by a seeded hash.
+    The driver sees one row a distinct size (compounds, rows), not a row a group: sizes
+    of real groups are small numbers that repeat, and more than ``MOST_SIZES`` of them
+    raise, with the hashed split as the way that needs no sizes.
     """
     f = fractions or FRACTIONS
     key = group if group is not None else group_key(F.col("smiles"))
@@ -108,6 +113,8 @@ def greedy_split(
         F.count(F.lit(1)).alias("compounds"), F.sum("n_rows").alias("rows")
     )
     sizes = groups.groupBy("compounds", "rows").agg(F.count(F.lit(1)).alias("m"))
+    if sizes.limit(MOST_SIZES + 1).count() > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} distinct group sizes; use hashed_split")
     runs = sorted(sizes.toLocalIterator(), key=lambda r: (-r["compounds"], -r["rows"]))
 
     total = sum(r["rows"] * r["m"] for r in runs)

@@ -18,6 +18,8 @@ from triskel.functions.text import META_PREFIX, short_key, split_roles
 
 
 HEADER_READERS = 8
+# Bits of an ordinal for the place within a file: 4 TiB of bytes, 2 million files.
+FILE_SHIFT = 42
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
@@ -68,12 +70,16 @@ def morphology_csv(
             *[finite(F.col(f)).alias(f) for f in features],
             *meta,
             F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_row"),
+            # The byte a split starts at, plus the row's place in its task: a split holds no
+            # more rows than bytes, so the next split of the file starts beyond it.
+            (
+                F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+            ).alias("_row"),
         )
         out = part if out is None else out.unionByName(part)
     place = F.create_map(*[x for i, p in enumerate(files) for x in (F.lit(_bare(p)), F.lit(i))])
     at = place[F.regexp_replace("_file", "^[a-z]+:/*", "/")]
-    ordinal = at.cast("bigint") * F.lit(1 << 48) + F.col("_row")
+    ordinal = F.shiftleft(at.cast("bigint"), FILE_SHIFT) + F.col("_row")
     return out.withColumn("ordinal", ordinal).drop("_file", "_row").withColumn(
         "compound_id", short_key(key)
     )
