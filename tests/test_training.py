@@ -214,3 +214,23 @@ def test_numeric_expressions(spark):
     assert [r[0] for r in df.select(clip(finite(F.col("x")))).collect()] == [None, None, None, 5.0, None]
     got = spark.range(200).select(log_factorial(F.col("id")).alias("v")).collect()
     assert [r["v"] for r in got] == pytest.approx([math.lgamma(i + 1) for i in range(200)], abs=1e-10)
+
+
+def closed_tail(t, df):
+    """Two-sided p of Student's t for 2 and 4 degrees of freedom, without cancellation."""
+    s = math.sqrt(df + t * t)
+    gap = df / (s * (s + t))  # 1 - t/s
+    if df == 2:
+        return gap
+    x = 1 - gap
+    return gap * gap * (2 + x) / 2
+
+
+@pytest.mark.parametrize("df", [2, 4])
+def test_small_p_values_are_right_in_relative_terms(spark, df):
+    ts = [0.1, 1.0, 5.0, 100.0, 1e3, 3e3]
+    table = spark.createDataFrame([(t, float(df)) for t in ts], "t double, df double")
+    got = [r["p"] for r in table.select("t", runs.t_tail(F.col("t"), F.col("df")).alias("p")).orderBy("t").collect()]
+    for t, p in zip(ts, got, strict=True):
+        assert p == pytest.approx(closed_tail(t, df), rel=1e-8), t
+    assert closed_tail(3e3, 4) < 1e-12

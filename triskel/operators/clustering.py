@@ -83,10 +83,13 @@ def _product(left: DataFrame, right: DataFrame, tiles: int = MARGIN_TILES) -> Da
 def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
     """(emi): expected mutual information of the hypergeometric model.
 
-    It depends on margin sizes only, so equal sizes are counted once. Terms farther
-    than 6*sqrt(min(a,b)) from the mean weigh less than 1e-30 (Hoeffding) and vanish
-    in double precision, so a cell costs O(sqrt(size)) terms. Weights are normalised
-    per cell, which cancels the rounding of large factorials.
+    It depends on margin sizes only, so equal sizes are counted once. With s the smaller
+    margin, a term r from the mean weighs at most 2(s+1)exp(-2r²/s) of the largest one
+    (Hoeffding; the largest is at least 1/(s+1) of all). Beyond the ``reach`` below that is
+    under exp(-746), which is 0 in double precision: leaving those terms out changes no
+    bit of the sum, and a cell costs O(sqrt(size)) terms. Weights are relative to the mode,
+    which has a closed form, and normalised per cell, which cancels the rounding of large
+    factorials; the sum is one aggregate without a window.
     """
     n = cells.agg(F.sum("n")).scalar()
 
@@ -97,19 +100,19 @@ def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
     combos = _product(sizes(a, "sa"), sizes(b, "sb")).withColumn("n", n)
     sa, sb, total = F.col("sa"), F.col("sb"), F.col("n")
     mean = sa.cast("double") * sb / total
-    reach = 6.0 * F.sqrt(F.least(sa, sb).cast("double")) + 2.0
+    small = F.least(sa, sb).cast("double")
+    reach = F.sqrt(small * (746.0 + F.log(2.0 * (small + 1.0))) / 2.0) + 2.0
     low = F.greatest(F.lit(0), sa + sb - total, F.floor(mean - reach))
     high = F.least(sa, sb, F.ceil(mean + reach))
     terms = combos.withColumn("k", F.explode(F.sequence(low, high)))
     k = F.col("k")
     # Factors that hang on the margins alone cancel when a cell is normalised.
-    log_weight = -(
-        log_factorial(k) + log_factorial(sa - k) + log_factorial(sb - k)
-        + log_factorial(total - sa - sb + k)
-    )
-    terms = terms.withColumn("lw", log_weight)
-    peak = F.max("lw").over(Window.partitionBy("sa", "sb"))
-    weight = F.exp(F.col("lw") - peak)
+    def log_weight(x):
+        return -(log_factorial(x) + log_factorial(sa - x) + log_factorial(sb - x) + log_factorial(total - sa - sb + x))
+
+    mode = F.floor((sa + 1).cast("double") * (sb + 1) / (total + 2))
+    terms = terms.withColumn("_mode", F.least(F.greatest(mode, F.lit(0), sa + sb - total), sa, sb))
+    weight = F.exp(log_weight(k) - log_weight(F.col("_mode")))
     ratio = k.cast("double") * total / (sa.cast("double") * sb)
     gain = F.when(k > 0, k / total * F.log(ratio)).otherwise(0.0)
     per_cell = terms.select("sa", "sb", "m_sa", "m_sb", weight.alias("w"), gain.alias("g")).groupBy(

@@ -76,7 +76,8 @@ def t_tail(t: Column, df: Column, steps: int = SIMPSON_STEPS) -> Column:
 
     With t = sqrt(df) tan θ the density is cos^(df-1) θ, so p is the ratio of two
     integrals by Simpson's rule. The span 10/sqrt(df-1) keeps the grid on the peak
-    for large df; beyond it the integrand has fallen by e^-50.
+    for large df. Beyond it the integrand is under e^-50 of its start, so what is left out
+    is under 1e-18 of the area for df up to a million: less than the sum's own rounding.
     """
     start = F.atan(F.abs(t) / F.sqrt(df))
     span = F.coalesce(F.try_divide(F.lit(10.0), F.sqrt(F.greatest(df - 1.0, F.lit(0.0)))), F.lit(math.pi))
