@@ -38,6 +38,7 @@ from triskel.llm.text import slices, texts_of, words
 SCALES = (16, 32, 64)
 RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 8, 16384
 COSINE, COMMON, FEW = 0.45, 0.05, 5
+PART_BYTES = 1 << 17  # of text whose windows are held at a time
 VERBATIM, PARAPHRASE = 0.7, 0.5
 LEAK = StructType([StructField("item_id", LongType()), StructField("cosine", DoubleType()), StructField("lcs", DoubleType()), StructField("answer", DoubleType())])
 
@@ -275,7 +276,7 @@ def find_leaks(df: DataFrame, text_col: str, blocks: list[Passages], leaks_col:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             p = shared.value
             for batch in batches:
-                for part in slices(batch, text_col):
+                for part in slices(batch, text_col, PART_BYTES):
                     hashes, bounds = words(texts_of(part, text_col))
                     found = _leaks_in(hashes, bounds, p)
                     rows = part.column(leaks_col).to_pylist()

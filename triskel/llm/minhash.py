@@ -38,7 +38,8 @@ from triskel.session import materialise
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 LEADERS, BLOCK = 64, 1024
-KNOWN = 2_000_000  # distinct shingles a worker keeps for further pairs
+KNOWN = 500_000  # distinct shingles a worker keeps for further pairs
+PART_BYTES = 1 << 18  # of text that is signed at a time
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -122,7 +123,7 @@ def _sketches(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 texts = texts_of(part, "text")
                 n = len(texts)
                 keys, counts, owner = multisets(texts)

@@ -1,8 +1,8 @@
 """Array views of text for work inside tasks: code points, runs of one class, hashes.
 
-A task sees Arrow batches. ``slices`` cuts each into pieces of about a million
-characters (one longer text is a piece by itself), so that a worker's memory follows
-the longest single text and not the batch. All functions work on whole texts.
+A task sees Arrow batches. ``slices`` cuts each into pieces of about half a megabyte
+(one longer text is a piece by itself), so that a worker's memory follows the longest
+single text and not the batch. All functions work on whole texts.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
-RUN_BLOCK = 1 << 17
+SLICE_BYTES = 1 << 19
+RUN_BLOCK = 1 << 16
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
