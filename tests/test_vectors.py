@@ -225,3 +225,18 @@ def test_best_columns_equal_a_full_sort():
     sim = np.random.default_rng(0).integers(0, 6, (50, 40)).astype(float)
     for k in (1, 5, 39, 40, 60):
         assert (neighbours._first_columns(sim, k) == np.argsort(-sim, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from triskel import session
+
+    def fake(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake("spark://host:7077"))
+    assert session.shared_folder(fake("spark://host:7077", "hdfs://a/b/")).startswith("hdfs://a/b/triskel-")
+    assert session.shared_folder(fake("local[8]"))
