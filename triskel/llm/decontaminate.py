@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from triskel.llm.text import slices, texts_of, words
 
 SCALES = (16, 32, 64)
-RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 8, 16384
+RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 4, 16384
 COSINE, COMMON, FEW = 0.45, 0.05, 5
 PART_BYTES = 1 << 17  # of text whose windows are held at a time
 VERBATIM, PARAPHRASE = 0.7, 0.5
@@ -127,9 +127,10 @@ def _sums(passages: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, of) -> n
             part = of([r for r in rows if len(r[0])])
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-    return sum(np.frombuffer(r["part"]) for r in passages.mapInArrow(run, "part binary").collect())
+    parts = passages.mapInArrow(run, "part binary").toLocalIterator()  # one at a time on the driver
+    return sum(np.frombuffer(r["part"], np.float32).astype(np.float64) for r in parts)
 
 
 def _vector(hashes: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
