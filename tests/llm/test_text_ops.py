@@ -79,6 +79,37 @@ def test_what_does_not_parse_is_not_a_key(text):
     assert not [f for f in secrets.findings(text) if f[2] in ("private_key", "public_key", "signed_token")]
 
 
+def pem(label, body, headers=""):
+    return f"-----BEGIN {label}-----\n{headers}{base64.encodebytes(body).decode()}-----END {label}-----"
+
+
+PBES2 = der(0x30, der(0x30, der(0x06, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(0x04, b"\x5a" * 80))
+PEM_FORMS = {
+    "aes_headers": pem("RSA PRIVATE KEY", b"\x9d" * 96, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89\n\n"),
+    "indented_headers": pem("EC PRIVATE KEY", b"\x9d" * 48, "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,3F17F5316E2BAC89\n\n").replace("\n", "\r\n    "),
+    "encrypted_pkcs8": pem("ENCRYPTED PRIVATE KEY", PBES2),
+    "json": json.dumps({"private_key": pem("RSA PRIVATE KEY", RSA) + "\n"}),
+    "json_in_json": json.dumps(json.dumps({"private_key": pem("RSA PRIVATE KEY", RSA)})),
+    "json_slashes": json.dumps({"private_key": pem("ENCRYPTED PRIVATE KEY", PBES2.replace(b"\x5a", b"\xff"))}).replace("/", "\\/"),
+    "json_crlf_headers": json.dumps(pem("RSA PRIVATE KEY", b"\x9d" * 96, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17\n\n").replace("\n", "\r\n")),
+}
+
+
+@pytest.mark.parametrize("form", sorted(PEM_FORMS))
+def test_every_form_of_a_pem_key_is_found_whole(form):
+    text = f"a -----BEGIN X KEY----- b {PEM_FORMS[form]} c"
+    start, end = text.index("-----BEGIN", 5), text.rindex("KEY-----") + len("KEY-----")
+    found = secrets.findings(text)
+    assert (start, end, "private_key") in found
+    assert secrets._masked(text, found).count(secrets.MASK) == 1
+
+
+def test_a_digest_or_unmatched_begin_is_no_key():
+    sha1 = der(0x30, der(0x30, der(0x06, bytes.fromhex("2b0e03021a")) + der(0x05, b"")) + der(0x04, b"\x5a" * 20))
+    assert not secrets.confirmed_findings(pem("ENCRYPTED PRIVATE KEY", sha1))
+    assert not secrets.confirmed_findings("-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + "-" * 100_000)
+
+
 def test_scan_and_mask(spark):
     df = docs(spark, [(1, "password=hunter22 " + LONG + "é" + "ab12" * 8), (2, None), (3, ""), (4, "token: abcdefg"), (4, "token: abcdefg")])
     got = sorted((r["doc_id"], tuple((f["kind"], f["start"], f["end"]) for f in r["findings"])) for r in secrets.scan_secrets(df, "doc_id", "text").collect())

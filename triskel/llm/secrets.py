@@ -3,7 +3,7 @@
 Fixed patterns give the base findings. On top of them come strings that *are* keys by
 their structure: base64 or hex runs are decoded and reported only if the bytes parse as
 a key encoding (nested DER lengths that add up, an OpenSSH container, a PEM block around
-either) or if the first part of a dotted token is a JSON header that names an algorithm.
+either, its line breaks also written as \\n, or with headers around whole cipher blocks) or if the first part of a dotted token is a JSON header that names an algorithm.
 
 Defined results: a null or empty text has no finding; positions are code points, end
 exclusive; rows, also repeated ones, are scanned one by one; other columns pass through
@@ -45,7 +45,12 @@ _NEEDS = {
     "token": r"[A-Za-z0-9_-]{16}\.[A-Za-z0-9_-]{2}",
     "run": r"[A-Za-z0-9+/]{48}|[A-Za-z0-9_-]{48}|[0-9A-Fa-f]{64}",
 }
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([^-]*+)-----END \1-----")
+# A body may hold '-' (in headers), but no other BEGIN or END.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:[^-]++|-(?!----(?:BEGIN|END) ))*+)-----END \1-----")
+_ESCAPED_BREAK = re.compile(r"\\+[rn]")
+_PEM_HEADER = re.compile(r"(?m)^[ \t]*[A-Za-z-]+:.*$")
+# Password-based encryption: the arcs of PKCS #5 and PKCS #12.
+_ENCRYPTIONS = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{16,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)(?![A-Za-z0-9_-])")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}+={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
@@ -107,6 +112,10 @@ def _der_key(data: bytes) -> str | None:
     if tags == [0x30, 0x03]:
         algorithm = _children(data, inner[0][1], inner[0][2])
         return "public_key" if algorithm and algorithm[0][0] == 0x06 else None
+    if tags == [0x30, 0x04]:
+        algorithm = _children(data, inner[0][1], inner[0][2])
+        known = algorithm and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_ENCRYPTIONS)
+        return "private_key" if known else None  # encrypted PKCS #8; a digest has the same form
     return None
 
 
@@ -163,10 +172,11 @@ def confirmed_findings(text: str, needs: dict[str, bool] | None = None) -> list[
     out = []
     if needs is None or needs["pem"]:
         for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
+            whole = re.sub(r"\\+/", "/", _ESCAPED_BREAK.sub("\n", m[2]))  # as in JSON and .env files
+            body = _PEM_HEADER.sub("", whole)
             data = _decode64(body)
             kind = key_kind(data) if data else None
-            if kind is None and data and "PRIVATE" in m[1] and m[2] != body and len(data) % 8 == 0:
+            if kind is None and data and "PRIVATE" in m[1] and whole != body and len(data) % 8 == 0:
                 kind = "private_key"  # encrypted: headers, then whole cipher blocks
             if kind:
                 out.append((*m.span(), kind))
