@@ -68,6 +68,25 @@ def test_article_text(page, text):
     assert html.main_text(page) == text
 
 
+LINKS = "<ul>" + "<li><a href=/x>some link</a>" * 30 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<div id=content><section>{a5}</section><section>{b3}</section></div>", "{a5} {b3}"),
+        ("<div><section>{a3}</section><div><section>{b5}</section></div><section>{c3}</section></div>", "{a3} {b5} {c3}"),
+        ("<div>{a3}<blockquote>{b5}</blockquote>{c3}</div>", "{a3} {b5} {c3}"),
+        ("<div>{a3}<ul><li>{b1}<li>{b1}<li>{b1}<li>{b1}<li>{b1}</ul>{c1}</div>", "{a3} {b5} {c1}"),
+        ("<div>{links}</div><div><section>{a5}</section><section>{b3}</section></div><div>{links}</div>", "{a5} {b3}"),
+    ],
+)
+def test_every_content_container_is_kept_in_page_order(page, wanted):
+    blocks = {f"{c}{n}": f"<p>{c} {BODY}</p>" * n for c in "abc" for n in (1, 3, 5)}
+    texts = {f"{c}{n}": " ".join([f"{c} {BODY.strip()}"] * n) for c in "abc" for n in (1, 3, 5)}
+    assert html.main_text(f"<html><body>{page.format(**blocks, links=LINKS)}</body></html>") == wanted.format(**texts)
+
+
 def test_extraction_as_a_table(spark):
     deep = "<div>" * 20_000 + "end"
     rows = [(1, "u", None, "t"), (2, None, "<p>x</p>", "t"), (2, None, "<p>x</p>", "t"), (3, "u", deep, "t"), (4, "u", "<p>" + "word " * 200_000, "t"), (5, "u", '<a href="' * 3000, "t")]

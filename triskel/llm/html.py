@@ -6,9 +6,12 @@ body's share of link characters as base,
 
     density = C/T * log_b(C*T / (LC*LT)),   b = ln(C/notLC*LC + LCb/Cb*C + e)
 
-A node's score is the sum of its children's densities. The subtree with the largest score
-is the article; the least density on the path from it to ``body`` is the threshold below
-which a child of it (one that is no text block itself) is left out.
+A node's score is the sum of its children's densities. The least density on the path from
+the node with the largest score to ``body`` is the threshold: of every container reached
+from ``body`` (whose own density counts, too) through nodes at least that dense, the subtree with the largest score is
+kept, in page order. If the largest score lies in an article or main element, that element
+is kept alone and whole. A list of links less dense than the threshold, directly in what is
+kept, is left out.
 
 Before that, nodes that never hold article text go: fixed tags (scripts, forms, menus, headers and footers outside an article, ...) and
 elements whose class, id or role names such a part.
@@ -55,7 +58,7 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent")
+    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent", "best")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
@@ -181,18 +184,28 @@ def _measure(root: _Node) -> None:
             n.density = c / t * (log(max(value, 1.0)) / log(max(base, 1.0 + 1e-9)) if base > 1.0 else log(max(value, 1.0)))
         else:
             n.density = 0.0
-        n.score = sum(x.density for x in n.items if isinstance(x, _Node))
+        below = [x for x in n.items if isinstance(x, _Node)]
+        n.score = sum(x.density for x in below)
+        # The largest sum of child densities in the subtree; ties go to the first in the page.
+        n.best = max([n, *[x.best for x in below]], key=lambda x: x.score)
 
 
-def _best(root: _Node) -> _Node:
-    """The node with the largest sum of child densities; ties go to the first in the page."""
-    best, stack = root, [root]
+def _kept(root: _Node, threshold: float) -> list[_Node]:
+    """The best subtree of every container reached through dense ones, in page order, none inside another."""
+    marked, stack = set(), [root]
     while stack:
         n = stack.pop()
-        if n.score > best.score:
-            best = n
-        stack += [c for c in reversed(n.items) if isinstance(c, _Node)]
-    return best
+        if n is root or n.density >= threshold:
+            marked.add(n.best)
+            stack += [c for c in n.items if isinstance(c, _Node)]
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n in marked:
+            out.append(n)
+        else:
+            stack += [c for c in reversed(n.items) if isinstance(c, _Node)]
+    return out
 
 
 def _blocks(node: _Node, threshold: float) -> list[str]:
@@ -241,7 +254,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = _tree(page)
     _measure(root)
-    best = _best(root)
+    best = root.best
     # Its last ancestor that is an article or main element, and is no mere list of teasers, keeps the whole article together.
     up = best
     while up is not None:
@@ -253,7 +266,8 @@ def main_text(page: str | None) -> str:
     while up is not None and up.tag != "body":
         threshold = min(threshold, up.density)
         up = up.parent
-    return " ".join(_blocks(best, threshold))
+    kept = [best] if best.tag in ("article", "main") else _kept(root, min(threshold, up.density) if up is not None else threshold)
+    return " ".join(block for n in kept for block in _blocks(n, threshold))
 
 
 def extract_text(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
