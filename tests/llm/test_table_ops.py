@@ -87,6 +87,25 @@ def test_every_content_container_is_kept_in_page_order(page, wanted):
     assert html.main_text(f"<html><body>{page.format(**blocks, links=LINKS)}</body></html>") == wanted.format(**texts)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><p>a<p class='ad'>x<p>b</p><p>c</p></article></body>", "a b c"),
+        ("<body><article><ul><li>a<li class=share>x<li>b</li><li>c</li></ul><p>d</p></article></body>", "a b c d"),
+        ("<body><main><article><p>a</p><div class='ad'>x</article><p>b</p></main></body>", "a b"),
+        ("<body><article><table><tr><td>a<tr class=ad><td>x<td>y<tr><td>b</table><p>c</p></article></body>", "a b c"),
+        ("<html><head><title>t</title><body><article><p>a</p></article></body></html>", "a"),
+        ("<html><head><title>t</title><article><p>a</p></article></html>", "a"),
+        ("<head><meta x>plain text", "plain text"),
+        ("<article><p>a</p><b><div class=ad>x</b>y</div><p>b</p></article>", "a b"),
+        ("<article><p>a <button><div>x</div></button> b</p><nav><p>x<p>y</nav><p>c</p></article>", "a b c"),
+        ("<article><p>a</p><aside><article><p>x</p></article><p>y</p></aside><header>b</header></article>", "a b"),
+    ],
+)
+def test_a_part_that_is_left_out_ends_like_any_element(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extraction_as_a_table(spark):
     deep = "<div>" * 20_000 + "end"
     rows = [(1, "u", None, "t"), (2, None, "<p>x</p>", "t"), (2, None, "<p>x</p>", "t"), (3, "u", deep, "t"), (4, "u", "<p>" + "word " * 200_000, "t"), (5, "u", '<a href="' * 3000, "t")]

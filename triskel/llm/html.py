@@ -43,7 +43,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
-SCOPE = frozenset("table ul ol dl div article section aside main body html td th nav blockquote form header footer".split())
+SCOPE = frozenset("table ul ol dl div article section aside main body html td th nav blockquote form header footer button select fieldset dialog menu object applet canvas audio video".split())
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes script style template".split())
 DROPPED = frozenset("head nav aside form button select option input datalist fieldset dialog menu footer canvas object applet audio video".split()) | RAW
 PARTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|advertising|adbox|banner|sponsor|sponsored|promo|promotion|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
@@ -58,10 +59,11 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent", "best")
+    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent", "best", "part", "in_article")
 
     def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.part = tag, parent, False
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
         self.items: list[_Node | str] = []
 
 
@@ -85,14 +87,16 @@ def _is_part(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def _tree(page: str) -> _Node:
-    """The page's nodes, without the parts that never hold article text."""
+    """The page's nodes. Parts that never hold article text are opened and closed like all
+    others, but hang in no other node's items, so nothing measures or reads them."""
     root = node = _Node("html", None)
-    dropped: list[str] = []  # open tags inside a part that is left out
-    at, articles, low = 0, 0, None
+    at, low = 0, None
     for m in iter(_TOKEN.scanner(page).search, None):
         if m.start() < at:
             continue
-        if m.start() > at and not dropped:
+        if m.start() > at:
+            if node.tag == "head" and not page[at : m.start()].isspace():
+                node = node.parent
             node.items.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -100,22 +104,14 @@ def _tree(page: str) -> _Node:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-                elif tag in ("body", "html"):
-                    dropped.clear()
-                continue
             up = node
             while up is not root and up.tag != tag:
-                up = up.parent
+                # The end of an inline element leaves a part that began inside it open.
+                up = root if tag in INLINE and up.part and up.tag not in INLINE else up.parent
             if up is not root:
-                while node is not up:
-                    articles -= node.tag == "article"
-                    node = node.parent
-                articles -= node.tag == "article"
-                node = node.parent
+                node = up.parent
+            elif tag == "html":
+                node = root
             elif tag == "p":
                 node.items.append(_Node("br", node))
             continue
@@ -128,10 +124,8 @@ def _tree(page: str) -> _Node:
             elif tag in ("script", "style", "textarea", "title"):
                 at = len(page)
             continue
-        if dropped:
-            if tag not in VOID and not attributes.rstrip().endswith("/"):
-                dropped.append(tag)
-            continue
+        if node.tag == "head" and tag not in IN_HEAD:
+            node = node.parent
         if tag in CLOSES_P or tag in CLOSED_BY:
             ends = CLOSED_BY.get(tag) or {"p"}
             up = node
@@ -142,14 +136,15 @@ def _tree(page: str) -> _Node:
                 up = node
         if tag in VOID:
             node.items.append(_Node(tag, node))
-        elif _is_part(tag, attributes, articles > 0):
-            dropped.append(tag)
         elif tag != "html":
             child = _Node(tag, node)
-            node.items.append(child)
+            child.part = _is_part(tag, attributes, node.in_article)
+            if not child.part:
+                node.items.append(child)
             node = child
-            articles += tag == "article"
-    if at < len(page) and not dropped:
+    if at < len(page):
+        if node.tag == "head" and not page[at:].isspace():
+            node = node.parent
         node.items.append(page[at:])
     return root
 
