@@ -106,6 +106,32 @@ def test_a_part_that_is_left_out_ends_like_any_element(page, text):
     assert html.main_text(page) == text
 
 
+NAMES = ["related-work", "discussion", "legal-basis", "search-results", "social-history", "notice"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("root", ["article", "main"])
+def test_topics_in_names_do_not_cost_article_text(root, name):
+    page = f"<body><{root}><h2 id='{name}'>a</h2><p id={name}>b</p><section id={name} class='{name}'><h3 class='{name}'>c</h3><p>d <a href=x>e</a></p></section><div id={name}><p>f</p></div></{root}></body>"
+    assert html.main_text(page) == "a b c d e f"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><div class='entry-header'><h1 class='post-header'>a</h1></div><p>b</p></article>", "a b"),
+        ("<article><h2 id=advertising>a</h2><section id='cookie-consent'><p>b</p></section></article>", "a b"),
+        ("<body><h2 id=menu>a</h2><p>b</p><section id=related-work><p>c</p></section></body>", "a b c"),
+        ("<article><p>a</p><div class='related'>See <a href=1>other text</a> <a href=2>and more</a></div><p>b</p></article>", "a b"),
+        ("<article><p>a</p><section class='search'>Find in this text <form><input><button>x</button></form></section><p>b</p></article>", "a b"),
+        ("<article><p>a</p><section class='comments discussion'><p>x</p></section><h3 class='social'><a href=1>x</a></h3><p>b</p></article>", "a b"),
+        ("<main><p>a</p><div class='header'><div class='social'><a href=1>x</a></div>b</div></main>", "a b"),
+    ],
+)
+def test_parts_are_told_from_topics_by_links_and_forms(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extraction_as_a_table(spark):
     deep = "<div>" * 20_000 + "end"
     rows = [(1, "u", None, "t"), (2, None, "<p>x</p>", "t"), (2, None, "<p>x</p>", "t"), (3, "u", deep, "t"), (4, "u", "<p>" + "word " * 200_000, "t"), (5, "u", '<a href="' * 3000, "t")]

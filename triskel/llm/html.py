@@ -14,7 +14,10 @@ is kept alone and whole. A list of links less dense than the threshold, directly
 kept, is left out.
 
 Before that, nodes that never hold article text go: fixed tags (scripts, forms, menus, headers and footers outside an article, ...) and
-elements whose class, id or role names such a part.
+elements whose class, id or role names such a part. Where the name may as well be a topic
+(``related-work``, ``entry-header``), in an article or main element and for headings, links
+must hold most of the element's characters, or a form control come on every
+``FORM_CHARS`` of them; ids of headings say nothing.
 
 Defined results: a null or empty page gives an empty text; broken or unclosed markup is
 closed at the end of the page; character references are decoded; white space in a block
@@ -52,6 +55,15 @@ PARTS = re.compile(
     r"comment|comments|respond|disqus|discussion|widget|toolbar|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+# Of these words, the ones that also stand in names of article text; ids are often made from titles.
+TOPICS = "header discussion related legal search social notice notices".split()
+ID_TOPICS = [*TOPICS, *"advertising promotion navigation consent cookie cookies copyright disclaimer share sharing recommended login menu banner overlay modal sponsor".split()]
+_WORDS = PARTS.pattern.split("(?:", 2)[2].split(")")[0].split("|")
+_SURE = {name: re.compile(PARTS.pattern.replace("|".join(_WORDS), "|".join(w for w in _WORDS if w not in topics)), re.I) for name, topics in (("class", TOPICS), ("id", ID_TOPICS))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("input select textarea button".split())
+FORM_CHARS = 80
+KEPT, DOUBTFUL, PART = range(3)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _NAMING = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -59,31 +71,39 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent", "best", "part", "in_article")
+    __slots__ = ("tag", "items", "chars", "tags", "link_chars", "links", "density", "score", "parent", "best", "part", "in_article", "in_main", "doubt", "controls")
 
     def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.part = tag, parent, False
+        self.tag, self.parent, self.part, self.controls = tag, parent, KEPT, 0
         self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        self.in_main = tag in ("article", "main") or (parent is not None and parent.in_main)
+        self.doubt = parent.doubt if parent is not None else None  # the doubtful element it is in
         self.items: list[_Node | str] = []
 
 
-def _is_part(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part of the page that is not the article."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+def _part(tag: str, attributes: str, parent: _Node) -> int:
+    """Whether an element is a part of the page that is not the article, by its tag and names."""
+    if tag in DROPPED or (tag == "header" and not parent.in_article):
+        return PART
+    found = KEPT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for m in _NAMING.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id") and PARTS.search(value):
-            return True
+            if tag in HEADINGS:
+                found = DOUBTFUL if name == "class" else found
+            elif not (parent.in_main or tag in ("section", "p")) or _SURE[name].search(value):
+                return PART
+            else:
+                found = DOUBTFUL
         if name == "role" and value.lower() in ROLES:
-            return True
+            return PART
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return PART
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return PART
+    return found
 
 
 def _tree(page: str) -> _Node:
@@ -115,6 +135,8 @@ def _tree(page: str) -> _Node:
             elif tag == "p":
                 node.items.append(_Node("br", node))
             continue
+        if tag in CONTROLS and node.doubt is not None and "hidden" not in attributes.lower():
+            node.doubt.controls += 1
         if tag in RAW and not attributes.rstrip().endswith("/"):
             # Raw text goes up to its own end tag, whatever stands in it.
             low = low or page.lower()
@@ -138,8 +160,10 @@ def _tree(page: str) -> _Node:
             node.items.append(_Node(tag, node))
         elif tag != "html":
             child = _Node(tag, node)
-            child.part = _is_part(tag, attributes, node.in_article)
-            if not child.part:
+            child.part = _part(tag, attributes, node)
+            if child.part == DOUBTFUL:
+                child.doubt = child
+            if child.part != PART:
                 node.items.append(child)
             node = child
     if at < len(page):
@@ -150,7 +174,8 @@ def _tree(page: str) -> _Node:
 
 
 def _measure(root: _Node) -> None:
-    """Characters, tags and links of every node, children first, without recursion."""
+    """Characters, tags and links of every node, children first, without recursion.
+    Doubtful parts of links or form controls are taken out."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -158,9 +183,12 @@ def _measure(root: _Node) -> None:
         stack += [c for c in n.items if isinstance(c, _Node)]
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.links = 0
+        parts = False
         for c in n.items:
             if isinstance(c, str):
                 n.chars += len(c) - c.count(" ")
+            elif c.part == PART:
+                parts = True
             else:
                 n.chars += c.chars
                 n.tags += c.tags + 1
@@ -168,6 +196,10 @@ def _measure(root: _Node) -> None:
                 n.links += c.links
         if n.tag == "a":
             n.link_chars, n.links = n.chars, n.links + 1
+        if parts:
+            n.items = [c for c in n.items if isinstance(c, str) or c.part != PART]
+        if n.part == DOUBTFUL and (n.link_chars * 2 > n.chars or n.chars < FORM_CHARS * n.controls):
+            n.part = PART
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / body.chars if body.chars else 0.0
     for n in reversed(order):
