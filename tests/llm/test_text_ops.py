@@ -296,6 +296,26 @@ def test_leaks_and_paraphrases_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(df.limit(0), "text", blocks, "found").count() == 0
 
 
+def test_verbatim_leaks_of_a_benchmark_beyond_the_rank_equal_all_pairs(spark):
+    rnd = random.Random(11)
+    topics = [[f"t{i}x{k}" for k in range(40)] for i in range(300)]  # more than the rank
+    items = [rnd.sample(topics[i % 300], 24) for i in range(3000)]
+    for i in range(0, 3000, 10):  # mostly words that no other item uses
+        items[i] = [f"u{i}x{k}" for k in range(rnd.choice([9, 17, 33]))]
+    texts = [rnd.choices(rnd.choice(topics), k=100) for _ in range(60)]
+    for t in range(50):
+        item = items[rnd.randrange(0, 3000, 10) if t < 35 else rnd.randrange(3000)]
+        at = rnd.randrange(60)
+        texts[t][at:at] = item if t % 3 else [w for k, w in enumerate(item) if k % 5 != 2]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    df = docs(spark, [(t, " ".join(w)) for t, w in enumerate(texts)])
+    hashed = [words([" ".join(w)])[0] for w in items]
+    wanted = {(t, i) for t, text in enumerate(texts) for h in [words([" ".join(text)])[0]] for i, own in enumerate(hashed) if decontaminate.lcs_length(own, h) >= decontaminate.VERBATIM * len(own)}
+    blocks = decontaminate.fit_passages(df, "text", benchmark, "item_id", "text")
+    found = decontaminate.find_leaks(df.select("doc_id", "text"), "text", blocks).select("doc_id", F.inline("leaks")).collect()
+    assert len(wanted) >= 50 and {(r["doc_id"], r["item_id"]) for r in found if r["lcs"] >= decontaminate.VERBATIM} == wanted
+
+
 # ---------------------------------------------------------------- language and toxicity
 
 

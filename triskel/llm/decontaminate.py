@@ -4,7 +4,10 @@ Benchmark items are cut to passages of at most 64 words. Their TF-IDF vectors (d
 frequencies from all documents) are factored by a randomised SVD whose two passes over
 the passages are distributed. Windows of a document, as long as the passages they are
 compared with, are folded into the latent space as sums of word vectors; passages whose
-cosine with a window reaches ``COSINE`` are candidates.
+cosine with a window reaches ``COSINE`` are candidates. The space keeps little of a passage
+whose words few others use; where it keeps less than ``KEPT`` of the length, an inverted
+index on the passage's words also gives every place that holds as many of them as a leak
+must (cosine over the passage's own words).
 
 A candidate is a leak if the longest common subsequence of words covers ``VERBATIM`` of
 the passage; as a paraphrase, if it covers ``PARAPHRASE`` of it and also that share of its
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from triskel.llm.text import slices, texts_of, words
 
 SCALES = (16, 32, 64)
 RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 4, 16384
-COSINE, COMMON, FEW = 0.45, 0.05, 5
+COSINE, COMMON, FEW, KEPT = 0.45, 0.05, 5, 0.9
 PART_BYTES = 1 << 17  # of text whose windows are held at a time
 VERBATIM, PARAPHRASE = 0.7, 0.5
 LEAK = StructType([StructField("item_id", LongType()), StructField("cosine", DoubleType()), StructField("lcs", DoubleType()), StructField("answer", DoubleType())])
@@ -70,6 +74,9 @@ class Passages:
     vectors: np.ndarray  # passages x rank, of length one
     scale: np.ndarray  # index into SCALES
     rare: list[frozenset[int]]  # the words of each passage that take part
+    least: np.ndarray  # of these, the number that a leak must have
+    listed: np.ndarray  # passages of which the space keeps too little, by word
+    lists: np.ndarray  # bounds of each word's passages in them
 
 
 def _cut(items: list, texts: list[str]) -> tuple[list, list[np.ndarray]]:
@@ -203,9 +210,17 @@ def fit_passages(documents: DataFrame, text_col: str, benchmark: DataFrame, item
         space = _latent(dealt, vocabulary, idf, len(cut))
         rows = [_vector(w, vocabulary, idf) for w in cut]
         vectors = np.array([value @ space[at] for at, value in rows], np.float32).reshape(len(cut), -1)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        kept = np.linalg.norm(vectors, axis=1)
+        vectors /= np.maximum(kept[:, None], 1e-12)
         scale = np.searchsorted(SCALES, [len(w) for w in cut])
-        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale, [frozenset(at.tolist()) for at, _ in rows]))
+        sizes = np.array([len(at) for at, _ in rows])
+        least = np.maximum(1, np.minimum(np.ceil(PARAPHRASE * sizes), np.ceil(sizes - (1 - VERBATIM) * np.array([len(w) for w in cut])))).astype(np.int64)
+        weak = np.flatnonzero(kept < KEPT)
+        of_word = np.concatenate([np.zeros(0, np.int64), *[rows[j][0] for j in weak]])
+        order = np.argsort(of_word, kind="stable")
+        lists = np.searchsorted(of_word[order], np.arange(len(vocabulary) + 1))
+        listed = np.repeat(weak, sizes[weak])[order]
+        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale, [frozenset(at.tolist()) for at, _ in rows], least, listed, lists))
     return blocks
 
 
@@ -230,15 +245,55 @@ def _candidates(at: np.ndarray, owner: np.ndarray, place: np.ndarray, p: Passage
                 yield int(i[w]), int(own[j]), float(cosine[w, j])
 
 
+def _listed_candidates(at: np.ndarray, owner: np.ndarray, place: np.ndarray, p: Passages) -> Iterator[tuple[int, int, float]]:
+    """As ``_candidates``, by the passages' own words: exact, for the passages that are listed."""
+    if not len(p.listed) or not len(at):
+        return
+    n_passages, n_words = len(p.words), len(p.vocabulary)
+    own = np.unique(owner * n_words + at)  # each word once a text
+    text, word = own // n_words, own % n_words
+    many = np.diff(p.lists)[word]
+    pairs = []
+    for lo, hi in _runs(many, 1 << 20):
+        n = many[lo:hi]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        passage = p.listed[np.repeat(p.lists[word[lo:hi]], n) + inside]
+        pairs.append(np.unique(np.repeat(text[lo:hi], n) * n_passages + passage, return_counts=True))
+    key, at_key = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+    shared = np.bincount(at_key, np.concatenate([c for _, c in pairs]), len(key))
+    first = np.searchsorted(owner, np.arange(owner[-1] + 2))
+    for k in key[shared >= p.least[key % n_passages]].tolist():
+        t, j = divmod(k, n_passages)
+        lo, hi = int(first[t]), int(first[t + 1])
+        words_j = np.array(sorted(p.rare[j]), np.int64)
+        there = lo + np.flatnonzero(np.isin(at[lo:hi], words_j))
+        own_words = np.searchsorted(words_j, at[there])
+        weight = p.idf[words_j]
+        passage = np.bincount(np.searchsorted(words_j, (w := _lookup(p.words[j], p.vocabulary))[w >= 0]), minlength=len(words_j)) * weight
+        end = np.searchsorted(place[there], place[there] + SCALES[p.scale[j]])
+        for i, (a, b) in enumerate(zip(range(len(there)), end.tolist(), strict=True)):
+            window = np.bincount(own_words[a:b], minlength=len(words_j)) * weight
+            yield int(there[i]), j, float(window @ passage / np.sqrt((window @ window) * (passage @ passage)))
+
+
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of items whose sizes add up to about ``limit``."""
+    part = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
 def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[int, tuple[float, float, float]]]:
     """For each text the leaked items with (cosine, lcs, answer)."""
     out: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(bounds) - 1)]
     at = _lookup(hashes, p.vocabulary)
     there = np.flatnonzero(at >= 0)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[there]
-    tried: dict[tuple[int, int], int] = {}
+    tried: dict[tuple[int, int, bool], int] = {}
     own = at[there].tolist()
-    for i, j, cosine in _candidates(at[there], owner, there, p):
+    latent = ((*c, False) for c in _candidates(at[there], owner, there, p))
+    listed = ((*c, True) for c in _listed_candidates(at[there], owner, there, p))
+    for i, j, cosine, exact in chain(latent, listed):
         passage = p.words[j]
         n = len(passage)
         # Rare words that are missing in and around the window bound what can be in common.
@@ -248,9 +303,9 @@ def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[
             continue
         text, place = int(owner[i]), int(there[i])
         # Windows that start a few words on see the same region.
-        if place - tried.get((text, j), -(1 << 60)) < max(2, n // 8):
+        if place - tried.get((text, j, exact), -(1 << 60)) < max(2, n // 8):
             continue
-        tried[text, j] = place
+        tried[text, j, exact] = place
         lo, hi = max(int(bounds[text]), place - n // 2), min(int(bounds[text + 1]), place + n + n // 2)
         region = hashes[lo:hi]
         share = lcs_length(passage, region) / n
