@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from triskel.catalog.base import query, table
-from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, secrets, toxicity, warc
+from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, warc
+from triskel.session import materialise
 
 
 def _held_out(id_col: str) -> Column:
@@ -160,4 +161,83 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.parse_windows(chat.chat_windows(turns.unionByName(planted))))
 
 
+_OP13_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{quality.WORD}') AS w FROM documents
+), numbered AS (SELECT *, row_number() OVER () AS row_id FROM words
+), places AS (
+    SELECT row_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM numbered
+), windows AS (
+    SELECT row_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY row_id ORDER BY i)
+), again AS (
+    SELECT row_id, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY row_id, a, b, c) > 1
+), repeated AS (
+    SELECT row_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS t(k) GROUP BY row_id
+), lines AS (
+    SELECT row_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{quality.WORD}')) AS l FROM numbered
+), counted AS (
+    SELECT doc_id, lang, md5(text) AS m, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{quality.SPACES}', '', 'g')) AS word_chars,
+        length(text) - length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g')) AS n_symbols,
+        length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS capital_chars,
+        len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM numbered JOIN lines USING (row_id) LEFT JOIN repeated USING (row_id)
+), measured AS (
+    SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbols,
+        CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS repeated_lines,
+        CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeated_words,
+        CASE WHEN n_words > 0 THEN least(100 * word_chars // n_words, 10000) ELSE 0 END AS long_words,
+        CASE WHEN n_words > 0 THEN 10000 - least(100 * word_chars // n_words, 10000) ELSE 0 END AS short_words,
+        CASE WHEN word_chars > 0 THEN 10000 * capital_chars // word_chars ELSE 0 END AS capitals
+    FROM counted
+), marked AS (
+    SELECT lang, m, min(q) AS q, any_value(symbols) AS symbols, any_value(repeated_lines) AS repeated_lines,
+        any_value(repeated_words) AS repeated_words, any_value(long_words) AS long_words, any_value(short_words) AS short_words,
+        any_value(capitals) AS capitals
+    FROM measured JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1) USING (doc_id) GROUP BY lang, m
+), flat AS (
+    SELECT lang, substr(m, 1, 1) >= '{quality.TUNED}' AS held, q, unnest(['symbols', 'repeated_lines', 'repeated_words', 'long_words', 'short_words', 'capitals']) AS rule,
+        unnest([symbols, repeated_lines, repeated_words, long_words, short_words, capitals]) AS v FROM marked
+), valued AS (
+    SELECT lang, rule, held, v, count(*) FILTER (q = 1) AS g, count(*) FILTER (q <> 1) AS b FROM flat GROUP BY ALL
+), tails AS (
+    SELECT *, sum(g) OVER w - g AS g_beyond, sum(b) OVER w - b AS b_beyond, sum(g) OVER p AS n_g, sum(b) OVER p AS n_b
+    FROM valued WINDOW w AS (PARTITION BY lang, rule, held ORDER BY v DESC), p AS (PARTITION BY lang, rule, held)
+), used AS (
+    SELECT lang, rule, count(*) OVER () AS tests, count(*) OVER (PARTITION BY lang) AS n_rules FROM (
+        SELECT lang, rule FROM tails WHERE NOT held AND g_beyond <= floor({quality.LIMIT} / 6 * n_g)
+        GROUP BY lang, rule HAVING max(b_beyond / n_b) >= {quality.LIFT * quality.LIMIT / 6})
+), sizes AS (
+    SELECT tails.lang, rule, tests, {quality.LIMIT} / n_rules AS a, max(n_g)::BIGINT AS n
+    FROM tails JOIN used USING (rule) WHERE held AND used.lang IS NOT DISTINCT FROM tails.lang GROUP BY ALL
+), terms AS (
+    SELECT lang, rule, tests, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(a) + (n - k) * ln(1 - a)))
+        OVER (PARTITION BY lang, rule ORDER BY k) AS below
+    FROM (SELECT *, unnest(range(0, (n * a)::BIGINT + 2)) AS k FROM sizes WHERE n > 0) WHERE k <= n
+), allowed AS (SELECT lang, rule, max(k) AS k FROM terms WHERE below <= {quality.ERROR} / tests GROUP BY lang, rule
+), cutoffs AS (
+    SELECT t.lang, t.rule, min(v) AS cutoff FROM tails t JOIN allowed a ON t.lang IS NOT DISTINCT FROM a.lang AND t.rule = a.rule
+    WHERE held AND g > 0 AND g_beyond <= k GROUP BY ALL
+), wide AS (
+    SELECT lang, max(cutoff) FILTER (rule = 'symbols') AS c1, max(cutoff) FILTER (rule = 'repeated_lines') AS c2,
+        max(cutoff) FILTER (rule = 'repeated_words') AS c3, max(cutoff) FILTER (rule = 'long_words') AS c4,
+        max(cutoff) FILTER (rule = 'short_words') AS c5, max(cutoff) FILTER (rule = 'capitals') AS c6 FROM cutoffs GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(symbols > c1, false) AND NOT coalesce(repeated_lines > c2, false)
+        AND NOT coalesce(repeated_words > c3, false) AND NOT coalesce(long_words > c4, false)
+        AND NOT coalesce(short_words > c5, false) AND NOT coalesce(capitals > c6, false) AS kept
+FROM measured LEFT JOIN wide ON measured.lang IS NOT DISTINCT FROM wide.lang
+"""
+
+
+@query("op13_quality_rules", _OP13_SQL)
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether base rules and certified cutoffs keep it."""
+    keep = {"doc_id": F.col("doc_id"), "stratum": F.col("lang")}
+    measured = materialise(quality.measure_quality(table(spark, sf_dir, "documents"), "text", keep))
+    cutoffs = quality.fit_cutoffs(measured, table(spark, sf_dir, "labels"), "doc_id", "stratum", "quality")
+    return quality.judge(measured, cutoffs, "stratum").select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
