@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from triskel.catalog.base import query, table
-from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, warc
+from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, warc, whitening
 from triskel.session import materialise
 
 
@@ -240,4 +240,15 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, cutoffs, "stratum").select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+@query("op12_whitened_vectors")
+def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the principal components of all, scaled to unit variance."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    rows = done.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", parts)
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error"
+    )
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
