@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from triskel.catalog.base import query, table
-from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, warc, whitening
+from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, trie, warc, whitening
 from triskel.session import materialise
 
 
@@ -251,4 +251,57 @@ def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP11_SQL = rf"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+), hashed AS (
+    SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+        lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b:
+        xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT), 4294967295) % 4 AS h FROM ids
+), turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+        md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, d, len(regexp_extract_all(text, '{trie.WORD}')) AS w,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM turns
+), rebuilt AS (
+    SELECT c, pos, d, w FROM hashed JOIN own ON own.conv_id = c - c % 20 WHERE pos <= h
+    UNION ALL SELECT c, pos, d, w FROM hashed JOIN own ON own.conv_id = c WHERE pos > h
+), numbered AS (
+    SELECT c, d, w, row_number() OVER (PARTITION BY c ORDER BY pos) AS depth FROM rebuilt
+), prefixes AS (
+    SELECT c, depth, w, md5(string_agg(d, '') OVER (PARTITION BY c ORDER BY depth)) AS k,
+        md5(coalesce(string_agg(d, '') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS up
+    FROM numbered
+    UNION ALL SELECT c, 0, 0, md5(''), NULL FROM ids
+), lengths AS (SELECT c, max(depth) AS len FROM prefixes GROUP BY c
+), nodes AS (
+    SELECT k, depth, any_value(up) AS up, min(p.c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (len = depth), '')) AS ends_sha256
+    FROM prefixes p JOIN lengths USING (c) GROUP BY k, depth
+), children AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), valued AS (
+    SELECT v.*, coalesce(n, 0) AS n_children, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS tokens
+    FROM nodes v LEFT JOIN children USING (k)
+), below AS (
+    SELECT a.k, sum(v.leaf)::BIGINT AS n_leaves, sum(v.tokens)::BIGINT AS saved_tokens
+    FROM valued v JOIN prefixes a ON a.c = v.conv_id AND a.depth <= v.depth GROUP BY a.k
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN below USING (k) LEFT JOIN nodes u ON v.up = u.k
+"""
+
+
+@query("op11_prefix_trie", _OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin with others' first turns."""
+    own = materialise(trie.turn_items(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"))
+    lead = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("lead_id"), F.slice("items", 1, 3).alias("lead"))
+    joined = own.join(lead, F.col("lead_id") == F.col("conv_id") - F.col("conv_id") % 20, "left")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    rest = F.slice("items", h + 1, F.greatest(F.size("items") - h, F.lit(0)))
+    items = F.when(F.col("lead").isNull(), rest).otherwise(F.concat(F.slice("lead", F.lit(1), h), rest))
+    return trie.prefix_trie(joined.select("conv_id", *trie.paths(items)))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
