@@ -232,7 +232,7 @@ def fit_cutoffs(
     # Rules in use, from the tuning part.
     part = limit / len(RULES)
     tuned = _tails(counts.where("NOT held")).where(F.col("good_beyond") <= F.floor(part * F.col("n_good")))
-    tuned = tuned.groupBy("stratum", "rule").agg(F.max(F.col("bad_beyond") / F.col("n_bad")).alias("caught"))
+    tuned = tuned.groupBy("stratum", "rule").agg(F.max(F.try_divide("bad_beyond", "n_bad")).alias("caught"))
     used = tuned.where(F.col("caught") >= LIFT * part).select("stratum", "rule")
     used = materialise(used)
     tests = used.count()
