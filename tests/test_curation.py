@@ -199,14 +199,45 @@ def test_quartiles_are_exact_with_gaps_duplicates_and_hot_values(spark):
         assert got[f] == pytest.approx(filled_model(vs), abs=1e-12), f
 
 
-@pytest.mark.parametrize("most", [20, 10**6])
-def test_order_statistics_with_bounded_intervals(spark, most):
+ODD = [-math.inf, -1e300, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2**-52, math.inf, math.nan]
+
+
+def test_images_keep_the_order_of_doubles():
+    images = quantiles.ordered_image(np.array(ODD)).tolist()
+    assert images == sorted(images) and len(set(images)) == len(ODD) - 1  # the zeros are equal
+    back = [quantiles.value_of_image(i) for i in images]
+    assert math.isnan(back[-1]) and back[:-1] == ODD[:-1]
+
+
+@pytest.mark.parametrize("fetched", [0, 20, 10**6])
+def test_order_statistics_at_any_depth_of_the_search(spark, fetched):
     r = random.Random(8)
-    cols = {"a": [r.choice([1.0, 2.0, r.gauss(0, 1)]) for _ in range(700)], "b": [2.0**-i for i in range(700)]}
-    df = spark.createDataFrame(list(zip(*cols.values(), strict=True)), "a double, b double").repartition(4)
-    ranks = {"a": [0, 350, 699], "b": [1, 500]}
-    got = quantiles.order_statistics(df, {"a": [0.5], "b": [1e-9, 5.0, 5.0]}, {"a": 700, "b": 700}, ranks, most=most)
-    assert got == {(f, p): sorted(cols[f])[p] for f, ps in ranks.items() for p in ps}
+    cols = {
+        "a": [r.choice([1.0, 2.0, r.gauss(0, 1)]) for _ in range(700)],
+        "b": [2.0**-i for i in range(700)],
+        "c": [None if i % 3 else 1.0 + i * 2**-52 for i in range(700)],
+        "d": (ODD[:-1] * 70)[:700],
+    }
+    df = spark.createDataFrame(list(zip(*cols.values(), strict=True)), "a double, b double, c double, d double").repartition(4)
+    ranks = {"a": [0, 350, 699], "b": [1, 500], "c": [0, 100, 233], "d": [0, 10, 300, 699]}
+    got = quantiles.order_statistics(df, ranks, fetched=fetched)
+    plain = {f: sorted(v for v in vs if v is not None) for f, vs in cols.items()}
+    assert got == {(f, p): plain[f][p] for f, ps in ranks.items() for p in ps}
+
+
+def test_passes_are_bounded_with_a_spike_at_the_median(spark, monkeypatch):
+    """A third of the rows is one value in the middle of distinct ones."""
+    passes = []
+    for name in ("_next_digits", "_fetched"):
+        whole = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, whole=whole: passes.append(1) or whole(*a))
+    n = 300_000
+    spike = F.when(F.col("id") % 3 == 0, 0.0).otherwise((F.col("id") - n / 2) * F.pi() / n)
+    df = spark.range(n).select(spike.alias("spike"), F.rand(1).alias("even"))
+    present = [v for v, in df.select("spike").collect()]
+    got = quantiles.order_statistics(df, {"spike": [75_000, 150_000, 225_000], "even": [0, n - 1]})
+    assert [got["spike", p] for p in (75_000, 150_000, 225_000)] == [sorted(present)[p] for p in (75_000, 150_000, 225_000)]
+    assert len(passes) <= 5
 
 
 def scaled_frame(spark):

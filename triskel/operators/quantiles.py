@@ -1,28 +1,33 @@
-"""Exact per-feature order statistics without gathering a feature in one task.
-
-``percentile`` keeps every distinct value of a group in a single aggregation
-buffer. Here a bounded sketch proposes cut points, exact counts locate the interval
-that holds each wanted rank, and an interval is cut again until it holds at most
-``MOST`` rows or one value; only then are its values, pre-aggregated, sorted. Poor cut
-points cost another round, never exactness, and no window group is larger than that.
-
-All of it are wide aggregates over the columns of the table: nothing is unpivoted. This
-is a fit: it runs jobs and keeps a few numbers per feature on the driver. A feature is
-a column of the wide table, so their number is the schema's width.
+"""Exact per-feature order statistics by radix selection.
+
+``percentile`` keeps every distinct value of a group in a single aggregation buffer. Here
+a double's 64 bits are made a whole number of the same order, and the wanted ranks are
+followed down its digits: one pass over the table counts the next 13 bits of the values
+that share the digits found so far, for all features and ranks at once. Five passes find
+any rank whatever the values; where few values are left, one pass fetches them instead.
+
+Tasks count into arrays (at most GROUP features a pass), Spark adds the counts up, and only one row
+a wanted rank reaches the driver. This is a fit: it runs jobs and keeps a few numbers
+per feature on the driver. A feature is a column of the wide table, so their number is the
+schema's width.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
-SKETCH_ACCURACY = 1000
-MOST = 1 << 16
+from triskel.session import local_table
+
+BITS = 13  # of a pass: 64 kB of counts for each feature and prefix
+GROUP = 128  # features of a pass
+FETCHED = 1 << 16  # values that are fetched to end the search
 # Columns that share one aggregate; more would make its generated code too long.
 COLUMNS = 24
 
@@ -35,7 +40,6 @@ class Profile(NamedTuple):
     mean: float | None
     sd: float | None
     variance: float | None
-    cuts: list[float] | None
 
     @property
     def gaps(self) -> int:
@@ -52,123 +56,129 @@ def _aggregate(df: DataFrame, columns: Mapping[tuple, Column], at_once: int) ->
     return out
 
 
-def _cuts(value: Column, slices: int) -> Column:
-    return F.percentile_approx(value, [i / slices for i in range(1, slices)], SKETCH_ACCURACY)
-
-
-def profile(
-    df: DataFrame, features: Sequence[str], ranked: Sequence[str] | None = None, slices: int = SLICES
-) -> dict[str, Profile]:
-    """feature -> counts, moments and, for the ``ranked`` ones (default: all), cut points."""
+def profile(df: DataFrame, features: Sequence[str]) -> dict[str, Profile]:
+    """feature -> counts and moments."""
     wanted: dict[tuple, Column] = {}
-    ranked = set(features if ranked is None else ranked)
     for f in features:
         v = F.col(f).cast("double")
         wanted |= {(f, "rows"): F.count(F.lit(1)), (f, "present"): F.count(v), (f, "mean"): F.avg(v)}
         wanted |= {(f, "sd"): F.stddev_samp(v), (f, "variance"): F.var_pop(v)}
-        wanted[f, "cuts"] = _cuts(v, slices) if f in ranked else F.first(F.lit(None))
-    got = _aggregate(df, wanted, 6 * COLUMNS)
+    got = _aggregate(df, wanted, 5 * COLUMNS)
     return {f: Profile(*[got[f, name] for name in Profile._fields]) for f in features if got[f, "rows"]}
 
 
-def _bracket(cuts: Sequence[float], share: float) -> list[float]:
-    """The cut points around a share of the values, with room for the sketch's error."""
-    at = int(share * (len(cuts) + 1))
-    return sorted({float(cuts[i]) for i in (at - 2, at + 1) if 0 <= i < len(cuts)})
+def ordered_image(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles: zeros are equal, NaN is the greatest."""
+    bits = (np.where(np.isnan(values), np.nan, values) + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def value_of_image(image: int) -> float:
+    bits = image - (1 << 63) if image >> 63 else image ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
-class _Interval(NamedTuple):
-    """Values above ``low`` and up to ``high``: how many lie below, and inside."""
+class _Prefix(NamedTuple):
+    """Values of a feature whose image begins with ``digits``."""
 
     feature: str
-    low: float
-    high: float
-    below: int
-    inside: int
-
-    def holds(self) -> Column:
-        v = F.col(self.feature).cast("double")
-        return (v > self.low) & (v <= self.high)
-
-
-def order_statistics(
-    df: DataFrame,
-    cuts: Mapping[str, Sequence[float]],
-    sizes: Mapping[str, int],
-    ranks: Mapping[str, Sequence[int]],
-    most: int = MOST,
-) -> dict[tuple[str, int], float]:
-    """(feature, rank) -> value for 0-based ranks among the feature's ``sizes`` present values."""
-    inf = float("inf")
-    found: dict[tuple[str, int], float] = {}
-    # Each wanted rank starts in the whole range, cut where the sketch says.
-    open_: dict[tuple[str, int], tuple[_Interval, list[float]]] = {}
-    for f, positions in ranks.items():
-        for p in set(positions):
-            open_[f, p] = (_Interval(f, -inf, inf, 0, sizes[f]), _bracket(cuts[f], p / sizes[f]))
-    small: dict[tuple[str, int], _Interval] = {}
-    while open_:
-        # Count the values of every part of every interval in use.
-        wanted: dict[tuple, Column] = {}
-        for interval, inner in open_.values():
-            edges = [interval.low, *[c for c in inner if interval.low < c < interval.high], interval.high]
-            for low, high in zip(edges, edges[1:], strict=False):
-                wanted[interval.feature, low, high] = F.count_if(_Interval(interval.feature, low, high, 0, 0).holds())
-        counts = _aggregate(df, wanted, 6 * COLUMNS)
-        again: dict[tuple[str, int], _Interval] = {}
-        for (f, p), (interval, inner) in open_.items():
-            edges = [interval.low, *[c for c in inner if interval.low < c < interval.high], interval.high]
-            below = interval.below
-            for low, high in zip(edges, edges[1:], strict=False):
-                n = counts[f, low, high]
-                if below <= p < below + n:
-                    part = _Interval(f, low, high, below, n)
-                    (small if n <= most else again)[f, p] = part
+    digits: int
+
+
+def _images(df: DataFrame, prefixes: Sequence[_Prefix], known: int):
+    """The table's columns in use, and a task's iterator over (prefix numbers, images) per batch and column."""
+    features = list(dict.fromkeys(p.feature for p in prefixes))
+    mine = []
+    for f in features:
+        own = sorted((p.digits, i) for i, p in enumerate(prefixes) if p.feature == f)
+        mine.append((np.array([d for d, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for column, (digits, numbers) in zip(batch.columns, mine, strict=True):
+                image = ordered_image(column.drop_null().to_numpy(zero_copy_only=False))
+                if not known:  # nothing to shift out: all values begin alike
+                    yield np.full(len(image), numbers[0]), image
+                    continue
+                top = image >> np.uint64(64 - known)
+                at = np.minimum(np.searchsorted(digits, top), len(digits) - 1)
+                hit = digits[at] == top
+                yield numbers[at[hit]], image[hit]
+
+    return df.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)]), each
+
+
+def _next_digits(df: DataFrame, prefixes: Sequence[_Prefix], known: int, ranks: Sequence[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
+    """(prefix number, rank inside) -> (next digits, values below them, values with them); one pass."""
+    bits = min(BITS, 64 - known)
+    table, each = _images(df, prefixes, known)
+    size = len(prefixes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((size, 1 << bits), np.int64)
+        for number, image in each(batches):
+            if len(number):
+                digit = (image >> np.uint64(64 - known - bits)) & np.uint64((1 << bits) - 1)
+                low, high = number.min(), number.max() + 1
+                flat = ((number - low) << bits) + digit.astype(np.int64)
+                counts[low:high] += np.bincount(flat, minlength=(high - low) << bits).reshape(high - low, -1)
+        at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(counts[at])], ["i", "digit", "n"])
+
+    found = table.mapInArrow(count, "i int, digit int, n bigint").groupBy("i", "digit").agg(F.sum("n").alias("n"))
+    running = Window.partitionBy("i").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 8,192 rows at most
+    ladder = found.withColumn("upto", F.sum("n").over(running))
+    wanted = local_table(df.sparkSession, sorted(set(ranks)), "i int, rank bigint")
+    steps = ladder.join(F.broadcast(wanted), "i").where("upto > rank AND upto - n <= rank")  # one row a rank
+    return {(r["i"], r["rank"]): (r["digit"], r["upto"] - r["n"], r["n"]) for r in steps.collect()}
+
+
+def _fetched(df: DataFrame, prefixes: Sequence[_Prefix], known: int) -> dict[int, list[tuple[int, int]]]:
+    """Prefix number -> (image, count) in order; for few values in all."""
+    table, each = _images(df, prefixes, known)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, image in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(image.view(np.int64))], ["i", "image"])
+
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, image, n in table.mapInArrow(fetch, "i int, image bigint").groupBy("i", "image").count().collect():
+        out.setdefault(i, []).append((image % (1 << 64), n))
+    return {i: sorted(found) for i, found in out.items()}
+
+
+def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], fetched: int = FETCHED) -> dict[tuple[str, int], float]:
+    """(feature, rank) -> value for 0-based ranks among the feature's present values.
+
+    At most five passes over ``df`` for every ``GROUP`` features.
+    """
+    out: dict[tuple[str, int], float] = {}
+    features = [f for f in ranks if ranks[f]]
+    for lo in range(0, len(features), GROUP):
+        # Each wanted rank with its prefix and its rank among the values that have it.
+        open_ = {(f, p): (_Prefix(f, 0), p) for f in features[lo : lo + GROUP] for p in set(ranks[f])}
+        known, left = 0, None
+        while known < 64 and (left is None or left > fetched):
+            prefixes = sorted({prefix for prefix, _ in open_.values()})
+            number = {prefix: i for i, prefix in enumerate(prefixes)}
+            steps = _next_digits(df, prefixes, known, [(number[prefix], p) for prefix, p in open_.values()])
+            bits, sizes = min(BITS, 64 - known), {}
+            for key, (prefix, p) in open_.items():
+                digit, below, n = steps[number[prefix], p]
+                inner = _Prefix(prefix.feature, (prefix.digits << bits) + digit)
+                open_[key], sizes[inner] = (inner, p - below), n
+            known, left = known + bits, sum(sizes.values())
+        if known == 64:
+            out |= {key: value_of_image(prefix.digits) for key, (prefix, _) in open_.items()}
+            continue
+        prefixes = sorted({prefix for prefix, _ in open_.values()})
+        values = _fetched(df, prefixes, known)
+        for key, (prefix, p) in open_.items():
+            for image, n in values[prefixes.index(prefix)]:
+                if p < n:
+                    out[key] = value_of_image(image)
                     break
-                below += n
-        # Large parts: their ends tell whether one value fills them, their sketch cuts them.
-        wanted = {}
-        for part in set(again.values()):
-            v = F.when(part.holds(), F.col(part.feature).cast("double"))
-            wanted |= {(part, "least"): F.min(v), (part, "greatest"): F.max(v), (part, "cuts"): _cuts(v, SLICES)}
-        got = _aggregate(df, wanted, 3 * COLUMNS)
-        open_ = {}
-        for key, part in again.items():
-            least, greatest = got[part, "least"], got[part, "greatest"]
-            if least == greatest:
-                found[key] = least
-            else:
-                # The least value apart, so that every round makes the interval smaller.
-                inner = sorted({least, *_bracket(got[part, "cuts"], (key[1] - part.below) / part.inside)} - {greatest})
-                open_[key] = (part._replace(high=greatest), inner)
-    return found | _sorted_ranks(df, small)
-
-
-def _sorted_ranks(df: DataFrame, small: Mapping[tuple[str, int], _Interval]) -> dict[tuple[str, int], float]:
-    """Ranks in intervals of bounded size, by sorting their values."""
-    parts = sorted(set(small.values()))
-    if not parts:
-        return {}
-    cells = F.array(
-        *[F.when(part.holds(), F.struct(F.lit(i).alias("i"), F.col(part.feature).cast("double").alias("value"))) for i, part in enumerate(parts)]
-    )
-    rows = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
-    values = rows.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ladder = values.withColumn("upto", F.sum("n").over(running))
-    number = {part: i for i, part in enumerate(parts)}
-    wanted: dict[int, set[int]] = {}
-    for (_, p), part in small.items():
-        wanted.setdefault(number[part], set()).add(p - part.below)
-    hit = F.lit(False)
-    for i, positions in wanted.items():
-        for p in sorted(positions):
-            hit = hit | ((F.col("i") == i) & (F.col("upto") > p) & (F.col("upto") - F.col("n") <= p))
-    steps = ladder.where(hit).select("i", "value", "n", "upto").collect()  # one row a wanted rank
-    out = {}
-    for (f, p), part in small.items():
-        local = p - part.below
-        out[f, p] = next(r["value"] for r in steps if r["i"] == number[part] and r["upto"] - r["n"] <= local < r["upto"])
+                p -= n
     return out
 
 
@@ -187,7 +197,7 @@ def filled_quartiles(
 
     The copies of the median slot in between the two halves of the sorted values,
     so ranks in the filled column follow from the counts alone and one selection
-    pass serves all three.
+    serves all three.
     """
     stats = {f: p for f, p in (profiles or profile(df, features)).items() if p.present}
     if not stats:
@@ -208,7 +218,7 @@ def filled_quartiles(
             at = (p.rows - 1) * q
             ranks += [present_rank(p, math.floor(at)), present_rank(p, math.ceil(at))]
         wanted[feature] = [r for r in ranks if r is not None]
-    values = order_statistics(df, {f: p.cuts for f, p in stats.items()}, {f: p.present for f, p in stats.items()}, wanted)
+    values = order_statistics(df, wanted)
 
     out = {}
     for feature, p in stats.items():

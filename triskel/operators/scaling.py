@@ -59,7 +59,7 @@ def fit_standard(df: DataFrame, features: Sequence[str], split: str = "split") -
     """(feature, center, scale, rescaled): mean and population deviation of the
     mean-filled training values, or (0, 1) for all features when the modality
     already looks z-scored. One pass over the data."""
-    rows = _standard_rows(profile(train_rows(df, split), features, ranked=[]))
+    rows = _standard_rows(profile(train_rows(df, split), features))
     return local_table(df.sparkSession, rows, FIT_SCHEMA + ", rescaled boolean")
 
 
@@ -67,7 +67,7 @@ def fit_modalities(
     df: DataFrame, morph: Sequence[str], expr: Sequence[str], split: str = "split"
 ) -> DataFrame:
     """Robust fit for one modality, conditional standard fit for the other."""
-    profiles = profile(train_rows(df, split), [*morph, *expr], ranked=morph)
+    profiles = profile(train_rows(df, split), [*morph, *expr])
     return fit_from(df, profiles, morph, expr, split)
 
 

@@ -86,7 +86,7 @@ def curate(
         rows = materialise(rows) if cut else rows
     else:
         rows = hashed_split(rows.withColumn("_group", group), "_group", seed).drop("_group")
-    profiles = profile(train_rows(rows), kept, ranked=split_roles(kept)[0])
+    profiles = profile(train_rows(rows), kept)
     flat = [f for f in kept if f in profiles and profiles[f].sd == 0.0]
     rows, kept = rows.drop(*flat), [f for f in kept if f not in flat]
     morph, expr = split_roles(kept)
