@@ -4,7 +4,8 @@
 a double's 64 bits are made a whole number of the same order, and the wanted ranks are
 followed down its digits: one pass over the table counts the next 13 bits of the values
 that share the digits found so far, for all features and ranks at once. Five passes find
-any rank whatever the values; where few values are left, one pass fetches them instead.
+any rank whatever the values. A rank is settled as soon as one value has its digits, and
+where few values are left, one pass fetches them instead.
 
 Tasks count into arrays (at most GROUP features a pass), Spark adds the counts up, and only one row
 a wanted rank reaches the driver. This is a fit: it runs jobs and keeps a few numbers
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from triskel.session import local_table
 
-BITS = 13  # of a pass: 64 kB of counts for each feature and prefix
-GROUP = 128  # features of a pass
+BITS = 13  # of a pass: 192 kB of counts and bounds for each feature and prefix
+GROUP = 64  # features of a pass, six prefixes each
 FETCHED = 1 << 16  # values that are fetched to end the search
 # Columns that share one aggregate; more would make its generated code too long.
 COLUMNS = 24
@@ -86,51 +87,75 @@ class _Prefix(NamedTuple):
 
 
 def _images(df: DataFrame, prefixes: Sequence[_Prefix], known: int):
-    """The table's columns in use, and a task's iterator over (prefix numbers, images) per batch and column."""
+    """The table's columns in use, and a task's iterator over (prefix numbers, distinct images
+    in order, counts) per batch and column."""
     features = list(dict.fromkeys(p.feature for p in prefixes))
     mine = []
     for f in features:
         own = sorted((p.digits, i) for i, p in enumerate(prefixes) if p.feature == f)
         mine.append((np.array([d for d, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for column, (digits, numbers) in zip(batch.columns, mine, strict=True):
-                image = ordered_image(column.drop_null().to_numpy(zero_copy_only=False))
+                image, n = np.unique(ordered_image(column.drop_null().to_numpy(zero_copy_only=False)), return_counts=True)
                 if not known:  # nothing to shift out: all values begin alike
-                    yield np.full(len(image), numbers[0]), image
+                    yield np.full(len(image), numbers[0]), image, n
                     continue
                 top = image >> np.uint64(64 - known)
                 at = np.minimum(np.searchsorted(digits, top), len(digits) - 1)
                 hit = digits[at] == top
-                yield numbers[at[hit]], image[hit]
+                yield numbers[at[hit]], image[hit], n[hit]
 
     return df.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)]), each
 
 
-def _next_digits(df: DataFrame, prefixes: Sequence[_Prefix], known: int, ranks: Sequence[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
-    """(prefix number, rank inside) -> (next digits, values below them, values with them); one pass."""
+class _Step(NamedTuple):
+    """The next digits of a rank: values below them, with them, and the least and greatest of these."""
+
+    digit: int
+    below: int
+    n: int
+    least: int
+    greatest: int
+
+
+def _next_digits(df: DataFrame, prefixes: Sequence[_Prefix], known: int, ranks: Sequence[tuple[int, int]]) -> dict[tuple[int, int], _Step]:
+    """(prefix number, rank inside) -> its next digits; one pass."""
     bits = min(BITS, 64 - known)
     table, each = _images(df, prefixes, known)
-    size = len(prefixes)
+    size = len(prefixes) << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((size, 1 << bits), np.int64)
-        for number, image in each(batches):
-            if len(number):
-                digit = (image >> np.uint64(64 - known - bits)) & np.uint64((1 << bits) - 1)
-                low, high = number.min(), number.max() + 1
-                flat = ((number - low) << bits) + digit.astype(np.int64)
-                counts[low:high] += np.bincount(flat, minlength=(high - low) << bits).reshape(high - low, -1)
-        at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(counts[at])], ["i", "digit", "n"])
-
-    found = table.mapInArrow(count, "i int, digit int, n bigint").groupBy("i", "digit").agg(F.sum("n").alias("n"))
+        counts = np.zeros(size, np.int64)
+        least, greatest = np.full(size, (1 << 64) - 1, np.uint64), np.zeros(size, np.uint64)
+        for number, image, n in each(batches):
+            if not len(number):
+                continue
+            digit = (image >> np.uint64(64 - known - bits)) & np.uint64((1 << bits) - 1)
+            cell = (number << bits) + digit.astype(np.int64)
+            first = np.flatnonzero(np.diff(cell, prepend=-1))  # cells are runs, as images are in order
+            last = np.append(first[1:], len(cell)) - 1
+            cell = cell[first]
+            counts[cell] += np.add.reduceat(n, first)
+            least[cell] = np.minimum(least[cell], image[first])
+            greatest[cell] = np.maximum(greatest[cell], image[last])
+        at = np.flatnonzero(counts)
+        columns = [(at >> bits).astype(np.int32), (at & ((1 << bits) - 1)).astype(np.int32), counts[at]]
+        # As signed numbers of the same order, since Spark has no others.
+        columns += [(bound[at] ^ np.uint64(1 << 63)).view(np.int64) for bound in (least, greatest)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "digit", "n", "least", "greatest"])
+
+    found = table.mapInArrow(count, "i int, digit int, n bigint, least bigint, greatest bigint")
+    found = found.groupBy("i", "digit").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     running = Window.partitionBy("i").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 8,192 rows at most
     ladder = found.withColumn("upto", F.sum("n").over(running))
     wanted = local_table(df.sparkSession, sorted(set(ranks)), "i int, rank bigint")
     steps = ladder.join(F.broadcast(wanted), "i").where("upto > rank AND upto - n <= rank")  # one row a rank
-    return {(r["i"], r["rank"]): (r["digit"], r["upto"] - r["n"], r["n"]) for r in steps.collect()}
+    half = 1 << 63
+    return {
+        (r["i"], r["rank"]): _Step(r["digit"], r["upto"] - r["n"], r["n"], r["least"] + half, r["greatest"] + half) for r in steps.collect()
+    }
 
 
 def _fetched(df: DataFrame, prefixes: Sequence[_Prefix], known: int) -> dict[int, list[tuple[int, int]]]:
@@ -138,11 +163,12 @@ def _fetched(df: DataFrame, prefixes: Sequence[_Prefix], known: int) -> dict[int
     table, each = _images(df, prefixes, known)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, image in each(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(image.view(np.int64))], ["i", "image"])
+        for number, image, n in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(image.view(np.int64)), pa.array(n)], ["i", "image", "n"])
 
     out: dict[int, list[tuple[int, int]]] = {}
-    for i, image, n in table.mapInArrow(fetch, "i int, image bigint").groupBy("i", "image").count().collect():
+    images = table.mapInArrow(fetch, "i int, image bigint, n bigint").groupBy("i", "image").agg(F.sum("n").alias("n"))
+    for i, image, n in images.collect():
         out.setdefault(i, []).append((image % (1 << 64), n))
     return {i: sorted(found) for i, found in out.items()}
 
@@ -158,21 +184,22 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], fetched:
         # Each wanted rank with its prefix and its rank among the values that have it.
         open_ = {(f, p): (_Prefix(f, 0), p) for f in features[lo : lo + GROUP] for p in set(ranks[f])}
         known, left = 0, None
-        while known < 64 and (left is None or left > fetched):
+        while open_ and (left is None or left > fetched):
             prefixes = sorted({prefix for prefix, _ in open_.values()})
             number = {prefix: i for i, prefix in enumerate(prefixes)}
             steps = _next_digits(df, prefixes, known, [(number[prefix], p) for prefix, p in open_.values()])
             bits, sizes = min(BITS, 64 - known), {}
-            for key, (prefix, p) in open_.items():
-                digit, below, n = steps[number[prefix], p]
-                inner = _Prefix(prefix.feature, (prefix.digits << bits) + digit)
-                open_[key], sizes[inner] = (inner, p - below), n
+            for key, (prefix, p) in list(open_.items()):
+                step = steps[number[prefix], p]
+                if step.least == step.greatest:  # sure when all 64 bits are known
+                    out[key] = value_of_image(step.least)
+                    del open_[key]
+                    continue
+                inner = _Prefix(prefix.feature, (prefix.digits << bits) + step.digit)
+                open_[key], sizes[inner] = (inner, p - step.below), step.n
             known, left = known + bits, sum(sizes.values())
-        if known == 64:
-            out |= {key: value_of_image(prefix.digits) for key, (prefix, _) in open_.items()}
-            continue
         prefixes = sorted({prefix for prefix, _ in open_.values()})
-        values = _fetched(df, prefixes, known)
+        values = _fetched(df, prefixes, known) if prefixes else {}
         for key, (prefix, p) in open_.items():
             for image, n in values[prefixes.index(prefix)]:
                 if p < n:
