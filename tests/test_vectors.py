@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triskel.operators import augment, clustering, embeddings, neighbours, retrieval
+from triskel.operators import augment, clustering, embeddings, kmeans, neighbours, retrieval
 from triskel.operators.filters import labelled
 from triskel.plans.evaluate import clustering_metrics, evaluation_metrics
 
@@ -240,3 +240,51 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         session.shared_folder(fake("spark://host:7077"))
     assert session.shared_folder(fake("spark://host:7077", "hdfs://a/b/")).startswith("hdfs://a/b/triskel-")
     assert session.shared_folder(fake("local[8]"))
+
+
+def plain_kmeans(points, k, restarts, seed):
+    """Partition of {key: vector} by the same rule, one restart after the other."""
+    keys = sorted(points)
+    x = np.array([points[i] for i in keys])
+    runs = []
+    for r in range(restarts):
+        centres = []
+        for step in range(k):
+            d2 = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if centres else np.ones(len(x))
+            times = [(-np.log(kmeans._uniform(seed, r, step, i)) / d if d > 0 else np.inf, str(i), n) for n, (i, d) in enumerate(zip(keys, d2, strict=True))]
+            centres.append(x[min(times)[2]])
+        before = None
+        while True:
+            d2 = np.array([((x - c) ** 2).sum(axis=1) for c in centres])
+            at = d2.argmin(axis=0)
+            if before is not None and (at == before).all():
+                break
+            before = at
+            centres = [x[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(k)]
+        runs.append((d2.min(axis=0).sum(), at))
+    least = min(c for c, _ in runs)
+    at = next(a for c, a in runs if c <= least * (1 + 1e-9))
+    return {frozenset(i for i, a in zip(keys, at, strict=True) if a == c) for c in set(at.tolist())}
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_kmeans_equals_the_plain_rule_in_any_layout(spark, partitions):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 3)) * 3
+    points = {i: (centres[i % 4] + rng.normal(size=3)).tolist() for i in range(120)}
+    df = spark.createDataFrame([(i, v, 1) for i, v in points.items()] + [(900, None, 1), (901, [None, 1.0, 2.0], 1)], "id int, vec array<double>, cluster int")
+    got = kmeans.kmeans_assign(df.repartition(partitions), "id", 4, restarts=3, seed=7).collect()
+    found = {}
+    for i, c in got:
+        found.setdefault(c, set()).add(i)
+    assert set(map(frozenset, found.values())) == plain_kmeans(points, 4, 3, 7)
+    # Numbered by their least keys.
+    assert [min(found[c]) for c in range(4)] == sorted(min(v) for v in found.values())
+
+
+def test_kmeans_of_odd_tables(spark):
+    kind = "id string, vec array<float>"
+    assert kmeans.kmeans_assign(spark.createDataFrame([], kind), "id", 3).isEmpty()
+    same = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [1.0, 1.0]), (None, [5.0, 5.0])], kind)
+    got = {r["id"]: r["cluster"] for r in kmeans.kmeans_assign(same, "id", 5, restarts=2).collect()}
+    assert got["a"] == got["b"] != got[None]

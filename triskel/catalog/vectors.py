@@ -22,7 +22,7 @@ from triskel.catalog.embedding_data import (
 from triskel.functions.numeric import rounded
 from triskel.functions.text import parse_metric_key
 from triskel.functions.vectors import cosine, dot, squared_distance
-from triskel.operators import clustering, embeddings as emb_ops, neighbours, reports, retrieval
+from triskel.operators import clustering, embeddings as emb_ops, kmeans, neighbours, reports, retrieval
 from triskel.operators.filters import labelled
 from triskel.operators.ordering import encode_labels
 from triskel.plans.evaluate import evaluation_metrics
@@ -272,13 +272,53 @@ def lloyd_step(spark, sf_dir):
     )
 
 
-@query("kmeans_assignment")
+def _kmeans_sql(points: str, label: str) -> str:
+    """Table ``km`` (key, cluster) of ``points`` (key, v): seeding and iterations as recursions over whole states."""
+    d2 = "pow(list_distance(v, m), 2)"
+    return f"""
+    kpts AS ({points}),
+    kk AS (SELECT greatest(count(DISTINCT {label}), 2) AS k FROM gl),
+    seeds(r, c, centres) AS (
+      SELECT r, 0, []::DOUBLE[][] FROM range({kmeans.RESTARTS}) t(r)
+      UNION ALL
+      SELECT r, c + 1, list_append(centres, v) FROM (
+        SELECT *, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN d2 > 0 THEN -ln(u) / d2 ELSE 'inf'::DOUBLE END, key) AS n FROM (
+          SELECT *, CASE WHEN c = 0 THEN 1.0 ELSE list_min(list_transform(centres, lambda m: {d2})) END AS d2,
+            (CAST('0x' || substr(md5(concat_ws('|', 42, r, c, key)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u
+          FROM seeds, kpts, kk WHERE c < k)) WHERE n = 1),
+    lloyd(r, it, centres, assigned, cost, done) AS (
+      SELECT r, 0, centres, []::BIGINT[], 0.0::DOUBLE, false FROM seeds, kk WHERE c = k
+      UNION ALL
+      SELECT r, it + 1, list_transform(range(1, len(centres) + 1), lambda c: list_transform([list_filter(items, lambda i: i.slot = c)], lambda own:
+            CASE WHEN len(own) = 0 THEN centres[c]
+            ELSE list_transform(range(1, len(centres[c]) + 1), lambda j: list_avg(list_transform(own, lambda i: i.v[j]))) END)[1]),
+          list_transform(items, lambda i: i.slot), list_sum(list_transform(items, lambda i: i.d2)),
+          list_transform(items, lambda i: i.slot) = assigned
+      FROM (SELECT r, it, any_value(centres) AS centres, any_value(assigned) AS assigned,
+            list({{'slot': list_position(ds, list_min(ds))::BIGINT, 'd2': list_min(ds), 'v': v}} ORDER BY key) AS items
+        FROM (SELECT *, list_transform(centres, lambda m: {d2}) AS ds FROM lloyd, kpts WHERE NOT done AND it < {kmeans.MAX_ITERATIONS})
+        GROUP BY r, it)),
+    ended AS (SELECT *, min(cost) OVER () AS least FROM lloyd WHERE done),
+    kbest AS (SELECT assigned FROM ended WHERE cost <= least * (1 + {kmeans.SAME_COST}) ORDER BY r LIMIT 1),
+    kat AS (SELECT key, assigned[row_number() OVER (ORDER BY key)] AS slot FROM kpts, kbest),
+    km AS (SELECT key, dense_rank() OVER (ORDER BY least) - 1 AS cluster FROM (SELECT *, min(key) OVER (PARTITION BY slot) AS least FROM kat))"""
+
+
+_GROUP_POINTS_SQL = "SELECT group_id AS key, mol AS v FROM gl WHERE label IS NOT NULL"
+
+
+@query(
+    "kmeans_assignment",
+    f"""WITH RECURSIVE {EMB_SQL}, {GROUP_SQL}, {GROUP_LABEL_SQL},
+    gl AS MATERIALIZED (SELECT * FROM grp JOIN grp_label USING (group_id)), {_kmeans_sql(_GROUP_POINTS_SQL, 'label')}
+    SELECT key AS group_id, cluster FROM km""",
+)
 def kmeans_assignment(spark, sf_dir):
     groups = labelled(
         emb_ops.clustering_input(embeddings(spark, sf_dir), "group_id", "label", "row_id", MODS), "label"
     )
     classes = groups.agg(F.count_distinct("label")).first()[0]
-    return clustering.kmeans_assign(groups, "group_id", max(classes, 2), restarts=10)
+    return kmeans.kmeans_assign(groups, "group_id", max(classes, 2), restarts=10)
 
 
 def _cells(spark, sf_dir):
@@ -374,7 +414,13 @@ def full_metrics(spark, sf_dir):
     return _round_metrics(evaluation_metrics(df, "row_id", "group_id", "label", "row_id", MODS, kmeans=False))
 
 
-@query("full_metrics_with_kmeans")
+@query(
+    "full_metrics_with_kmeans",
+    f"""WITH RECURSIVE {_FULL_SQL.replace('gl AS (', 'gl AS MATERIALIZED (', 1)}, {_kmeans_sql(_GROUP_POINTS_SQL, 'label')},
+    cells AS (SELECT label AS a, cluster AS b, count(*) AS n FROM gl JOIN km ON group_id = key GROUP BY 1, 2), {_ARI_SQL}, {_AMI_SQL}
+    SELECT scope, direction, metric, round(value, 6) + 0.0 AS value FROM (
+        SELECT * FROM met UNION ALL SELECT 'moa', NULL, 'AMI', ami FROM ami UNION ALL SELECT 'moa', NULL, 'ARI', ari FROM ari)""",
+)
 def full_metrics_with_kmeans(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return _round_metrics(evaluation_metrics(df, "row_id", "group_id", "label", "row_id", MODS, kmeans=True))

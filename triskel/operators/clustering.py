@@ -1,49 +1,15 @@
-"""k-means assignment and agreement of two labelings."""
+"""Agreement of two labelings."""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triskel.functions.numeric import log_factorial
-from triskel.operators.tiles import complete
 
-RESTARTS = 10
-MAX_ITERATIONS = 300
-CONCURRENT_FITS = 5
 MARGIN_TILES = 8
 
 
-def kmeans_assign(
-    points: DataFrame, key: str, clusters: int, restarts: int = RESTARTS, seed: int = 42, iterations: int = MAX_ITERATIONS
-) -> DataFrame:
-    """(key, cluster) of the cheapest of several seeded k-means runs.
-
-    Restarts are independent, so a few are fitted at a time to fill the gaps that
-    short iterations leave on the cluster. ``iterations`` bounds each; runs stop earlier
-    when they converge.
-    """
-    points = complete(points, "vec")
-    rows = points.select(key, array_to_vector(F.col("vec")).alias("features"))
-    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
-
-    def fit(i: int):
-        kmeans = KMeans(k=clusters, seed=seed + i, maxIter=iterations, featuresCol="features", predictionCol="cluster")
-        return kmeans.fit(cached)
-
-    with ThreadPool(min(restarts, CONCURRENT_FITS)) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    cached.unpersist()
-    return best.transform(rows).select(key, F.col("cluster").cast("bigint").alias("cluster"))
-
-
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n). The agreement scores read it several times: pass it through
     ``materialise`` first when ``df`` is expensive."""

@@ -11,10 +11,10 @@ from triskel.operators.clustering import (
     adjusted_mutual_information,
     adjusted_rand,
     contingency,
-    kmeans_assign,
 )
 from triskel.operators.embeddings import clustering_points, group_table
 from triskel.operators.filters import labelled
+from triskel.operators.kmeans import kmeans_assign
 from triskel.operators.neighbours import KNN_KS, knn_accuracy
 from triskel.operators.retrieval import alignment, retrieval_metrics, row_statistics
 from triskel.operators.tiles import tile_count
