@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from triskel.operators import augment, clustering, embeddings, kmeans, neighbours, retrieval
+from triskel.operators import augment, clustering, embeddings, kmeans, neighbours, retrieval, tiles
 from triskel.operators.filters import labelled
 from triskel.plans.evaluate import clustering_metrics, evaluation_metrics
 
@@ -288,3 +289,42 @@ def test_kmeans_of_odd_tables(spark):
     same = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [1.0, 1.0]), (None, [5.0, 5.0])], kind)
     got = {r["id"]: r["cluster"] for r in kmeans.kmeans_assign(same, "id", 5, restarts=2).collect()}
     assert got["a"] == got["b"] != got[None]
+
+
+def test_strips_meet_every_pair_of_tiles_once(spark):
+    rows = spark.createDataFrame([(i, [1.0]) for i in range(200)], "id bigint, vec array<double>")
+    for strip in (1, 2, 7, 50):
+        held, streamed, tasks = tiles.triangle_tasks(rows, "id", 7, strip)
+
+        def count(tile, mine, rest):
+            for other, table in rest:
+                yield pa.table({"a": [min(tile, other)], "b": [max(tile, other)], "n": [len(mine) * len(table)]})
+
+        met = tiles.strip_scan(held, streamed, count, "a int, b int, n bigint", tasks).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+        sizes = {r["_tile"]: r["n"] for r in streamed.dropDuplicates(["id"]).groupBy("_tile").agg(F.count("*").alias("n")).collect()}
+        assert {(r["a"], r["b"]): r["n"] for r in met} == {(a, b): sizes[a] * sizes[b] for a in sizes for b in sizes if a <= b}
+
+
+def clustered(rng, centres, each, d=8, spread=0.02):
+    middle = rng.standard_normal((centres, d))
+    x = np.repeat(middle, each, axis=0) + spread * rng.standard_normal((centres * each, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("make", "most"), [(lambda r: clustered(r, 40, 40), 0.4), (lambda r: unit_rows(r, 600, 8), 1.0)])
+def test_pruned_neighbours_are_exact_and_skip_far_tiles(spark, make, most):
+    x = make(np.random.default_rng(3))
+    x[5], x[9], x[11] = 0.0, x[8], x[8]  # a vector without a direction, and equal ones
+    df = spark.createDataFrame([(f"k{i:04}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<double>").repartition(5)
+    got = {}
+    for prune in (True, False):
+        found = neighbours.top_neighbours(df, "key", 6, tiles=40, prune=prune).collect()
+        got[prune] = sorted((r["key"], r["position"], r["neighbour"], r["sim"]) for r in found)
+    assert got[True] == got[False]
+    sim = np.round(x @ x.T, 12)
+    np.fill_diagonal(sim, -np.inf)
+    for i in (0, 5, 8, 9, 11, 500):
+        plain = sorted(range(len(x)), key=lambda j: (-sim[i, j], j))[:6]
+        assert [r[2] for r in got[True] if r[0] == f"k{i:04}"] == [f"k{j:04}" for j in plain]
+    _, pairs, total = neighbours.pruned_pairs(df, "key", 6, 40, tile_rows=100)
+    assert pairs.count() <= most * total * total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from triskel.functions.vectors import ordered_modalities
 from triskel.operators.neighbours import SIM_DECIMALS
 from triskel.operators.retrieval import pairs
-from triskel.operators.tiles import chunks, complete, matrix, tile_cogroup, tile_count
+from triskel.operators.tiles import chunks, complete, matrix, strip_scan, tile_count, triangle_tasks
 
 SIMILARITY_BINS = 20
 TABLE_METRICS = ("R@1", "R@5", "R@10", "MRR")
@@ -59,28 +59,32 @@ def similarity_histogram(
     wide: DataFrame, key: str, modalities: Sequence[str], bins: int = SIMILARITY_BINS, tiles: int | None = None
 ) -> DataFrame:
     """(pair, bin, n): how many of all row pairs have a similarity in each of ``bins`` even
-    parts of [-1, 1]. Rows without one of the vectors take no part; a tile pair gives one
-    row of counts per pair of modalities."""
+    parts of [-1, 1]. Rows without one of the vectors take no part; a strip of tiles gives
+    one row of counts per pair of modalities and bin."""
     mods = ordered_modalities(modalities)
     pair_list = pairs(mods)
     n_tiles = tile_count(wide, tiles)
 
-    def run(_, q: pa.Table, c: pa.Table) -> pa.Table:
-        names, numbers, counts = [], [], []
-        for a, b in pair_list:
-            left, right = matrix(q, a), matrix(c, b)
-            total = np.zeros(bins, np.int64)
-            for part in chunks(len(left)):
-                sim = np.round(left[part] @ right.T, SIM_DECIMALS)
-                at = np.clip(np.floor((sim + 1.0) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
-                total += np.bincount(at.ravel(), minlength=bins)
-            names += [f"{a}_{b}"] * bins
-            numbers += range(bins)
-            counts += total.tolist()
-        return pa.table({"pair": names, "bin": pa.array(numbers, pa.int64()), "n": pa.array(counts, pa.int64())})
+    def run(tile: int, held: pa.Table, streamed) -> Iterator[pa.Table]:
+        total = np.zeros((len(pair_list), bins), np.int64)
+        mine = {m: matrix(held, m) for m in mods}
+        for other, table in streamed:
+            theirs = {m: matrix(table, m) for m in mods}
+            # A later tile meets this one here only, so both directions count.
+            products = [(mine, theirs), (theirs, mine)] if other != tile else [(mine, theirs)]
+            for i, (a, b) in enumerate(pair_list):
+                for left, right in products:
+                    for part in chunks(len(left[a])):
+                        sim = np.round(left[a][part] @ right[b].T, SIM_DECIMALS)
+                        at = np.clip(np.floor((sim + 1.0) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+                        total[i] += np.bincount(at.ravel(), minlength=bins)
+        names = np.repeat([f"{a}_{b}" for a, b in pair_list], bins)
+        numbers = np.tile(np.arange(bins), len(pair_list))
+        yield pa.table({"pair": names.tolist(), "bin": pa.array(numbers, pa.int64()), "n": pa.array(total.ravel())})
 
     rows = complete(wide.select(key, *mods), *mods)
-    partial = tile_cogroup(rows, rows, key, key, (n_tiles, n_tiles), run, "pair string, bin bigint, n bigint")
+    held, shipped, tasks = triangle_tasks(rows, key, n_tiles)
+    partial = strip_scan(held, shipped, run, "pair string, bin bigint, n bigint", tasks)
     return partial.groupBy("pair", "bin").agg(F.sum("n").alias("n")).where("n > 0")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from triskel.functions.vectors import ordered_modalities, squared_distance
 from triskel.operators.tiles import (
-    arrow_type,
     chunks,
     complete,
     key_type,
     matrix,
-    sort_by,
-    tile_cogroup,
+    same_keys,
+    strip_scan,
     tile_count,
+    triangle_tasks,
     values,
 )
 
@@ -37,50 +37,53 @@ def directions(modalities: Sequence[str]) -> list[tuple[str, str]]:
     return list(itertools.permutations(ordered_modalities(modalities), 2))
 
 
-def _kernel(key_name: str, pair_list, uniform_mods, row_type):
-    """Partial counts of one tile pair.
+def _kernel(key_name: str, pair_list, uniform_mods):
+    """Counts of one held tile against a strip of tiles.
 
-    One product serves both directions of a modality pair: its rows count a->b for
-    the query tile, its columns b->a for the candidate tile.
+    A pair of tiles is met once: products with a later tile serve the rows of both, in
+    both directions of a modality pair; the held tile with itself covers all its pairs.
     """
     ge_names = [f"ge_{a}_{b}" for a, b in pair_list] + [f"ge_{b}_{a}" for a, b in pair_list]
     pot_names = [f"pot_{m}" for m in uniform_mods]
-
-    def run(key, q: pa.Table, c: pa.Table) -> pa.Table:
-        same_tile = key[0].as_py() == key[1].as_py()
-        q, c = sort_by(q, key_name), sort_by(c, key_name)
-        nq, nc = q.num_rows, c.num_rows
-        out_q = {n: np.zeros(nq, np.int64) for n in ge_names} | {
-            n: np.zeros(nq) for n in pot_names
-        }
-        out_c = {n: np.zeros(nc, np.int64) for n in ge_names} | {
-            n: np.zeros(nc) for n in pot_names
-        }
-        mods = {m for p in pair_list for m in p} | set(uniform_mods)
-        qm = {m: matrix(q, m) for m in mods}
-        cm = {m: matrix(c, m) for m in mods}
-        for a, b in pair_list:
-            need_q = np.einsum("ij,ij->i", qm[a], qm[b]) - TIE
-            need_c = np.einsum("ij,ij->i", cm[a], cm[b]) - TIE
-            for s in chunks(nq):
-                sim = qm[a][s] @ cm[b].T
-                out_q[f"ge_{a}_{b}"][s] += (sim >= need_q[s, None]).sum(axis=1)
-                out_c[f"ge_{b}_{a}"] += (sim >= need_c[None, :]).sum(axis=0)
-        for m in uniform_mods:
-            sq_q = np.einsum("ij,ij->i", qm[m], qm[m])
-            sq_c = np.einsum("ij,ij->i", cm[m], cm[m])
-            for s in chunks(nq):
-                d2 = sq_q[s, None] + sq_c[None, :] - 2.0 * (qm[m][s] @ cm[m].T)
-                pot = np.exp(-2.0 * np.maximum(d2, 0.0))
-                if same_tile:
-                    own = np.arange(s.start, s.stop)
-                    pot[own - s.start, own] = 0.0
-                out_q[f"pot_{m}"][s] += pot.sum(axis=1)
-        ids = np.concatenate([values(q, key_name), values(c, key_name)])
-        cols = {key_name: pa.array(ids, type=row_type)}
-        for n in ge_names + pot_names:
-            cols[n] = pa.array(np.concatenate([out_q[n], out_c[n]]))
-        return pa.table(cols)
+    mods = sorted({m for p in pair_list for m in p} | set(uniform_mods))
+
+    def sides(table: pa.Table):
+        m = {name: matrix(table, name) for name in mods}
+        need = {(a, b): np.einsum("ij,ij->i", m[a], m[b]) - TIE for a, b in pair_list}
+        return m, need, {n: np.zeros(len(table), np.int64) for n in ge_names} | {n: np.zeros(len(table)) for n in pot_names}
+
+    def out_table(table: pa.Table, sums) -> pa.Table:
+        return pa.table({key_name: table.column(key_name)} | {n: pa.array(sums[n]) for n in ge_names + pot_names})
+
+    def run(tile: int, held: pa.Table, streamed) -> Iterator[pa.Table]:
+        qm, need_q, out_q = sides(held)
+        for other, table in streamed:
+            later = other != tile
+            cm, need_c, out_c = sides(table)
+            for a, b in [d for a, b in pair_list for d in ((a, b), (b, a))]:
+                own = need_q.get((a, b), need_q.get((b, a)))
+                theirs = need_c.get((a, b), need_c.get((b, a)))
+                for s in chunks(len(held)):
+                    sim = qm[a][s] @ cm[b].T
+                    out_q[f"ge_{a}_{b}"][s] += (sim >= own[s, None]).sum(axis=1)
+                    if later:
+                        out_c[f"ge_{b}_{a}"] += (sim >= theirs[None, :]).sum(axis=0)
+            if pot_names and not later:
+                codes_q, codes_c = same_keys(values(held, key_name), values(table, key_name))
+            for m in uniform_mods:
+                sq_q = np.einsum("ij,ij->i", qm[m], qm[m])
+                sq_c = np.einsum("ij,ij->i", cm[m], cm[m])
+                for s in chunks(len(held)):
+                    d2 = sq_q[s, None] + sq_c[None, :] - 2.0 * (qm[m][s] @ cm[m].T)
+                    pot = np.exp(-2.0 * np.maximum(d2, 0.0))
+                    if not later:
+                        pot[codes_q[s, None] == codes_c[None, :]] = 0.0
+                    out_q[f"pot_{m}"][s] += pot.sum(axis=1)
+                    if later:
+                        out_c[f"pot_{m}"] += pot.sum(axis=0)
+            if later:
+                yield out_table(table, out_c)
+        yield out_table(held, out_q)
 
     return run
 
@@ -108,10 +111,8 @@ def row_statistics(
         + [f"pot_{m} double" for m in uniform_mods]
     )
     slim = complete(wide.select(key, *mods), *mods)
-    arrow = arrow_type(wide, key)
-    partial = tile_cogroup(
-        slim, slim, key, key, (n_tiles, n_tiles), _kernel(key, pair_list, uniform_mods, arrow), schema
-    )
+    held, streamed, tasks = triangle_tasks(slim, key, n_tiles)
+    partial = strip_scan(held, streamed, _kernel(key, pair_list, uniform_mods), schema, tasks)
     sums = [F.sum(n).alias(n) for n in names + [f"pot_{m}" for m in uniform_mods]]
     return partial.groupBy(key).agg(*sums)
 

@@ -1,15 +1,17 @@
 """All-pairs work over vector tables, tile by tile.
 
-Every row is hashed to a tile of bounded size. Rows are repeated once per tile of
-the other side and the two sides meet in a cogroup on (query tile, candidate tile);
-each task multiplies two small matrices and emits per-row partial results only.
-Shuffled rows grow with N * tiles, emitted rows likewise; no pair is ever emitted.
+Every row belongs to a tile of bounded size. A task holds one tile and streams a strip of
+other tiles past it, multiplying small matrices, and adds up inside: its own rows leave
+once a strip, streamed rows once a task. In a symmetric problem a strip of tile i has tiles
+from i on only, so no mirrored pair of tiles is shipped or computed (``triangle_tasks``).
+Two different tables, one of them small, meet in a cogroup instead. No pair is ever emitted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ TILE_ROWS = 8192
 MIN_TILE_ROWS = 256
 CHUNK = 1024
 MAX_TASKS = 16384
+STRIP = 16  # streamed tiles a task
 
 
 def tiles_for(n: int, parallelism: int, tile_rows: int = TILE_ROWS) -> int:
@@ -46,12 +49,10 @@ def tile_cogroup(
     tiles: tuple[int, int],
     kernel: Callable,
     schema: str,
-    upper: bool = False,
 ) -> DataFrame:
     """Runs ``kernel(key, query_table, candidate_table)`` on every tile pair.
 
-    ``upper`` keeps one of the two mirrored tile pairs of a symmetric problem. A pair
-    with an empty side contributes nothing and never reaches the kernel.
+    A pair with an empty side contributes nothing and never reaches the kernel.
     """
     nq, nc = tiles
     empty = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema).empty_table()
@@ -66,10 +67,8 @@ def tile_cogroup(
     candidates = candidates.select(*[F.col(n).alias(f"_c_{n}") for n in candidates.columns])
     q = queries.withColumn("_qt", _tile_of(query_key, nq))
     c = candidates.withColumn("_ct", _tile_of(f"_c_{candidate_key}", nc))
-    first = F.col("_qt") if upper else F.lit(0)
-    last = F.col("_ct") if upper else F.lit(nq - 1)
-    q = q.withColumn("_ct", F.explode(F.sequence(first, F.lit(nc - 1))))
-    c = c.withColumn("_qt", F.explode(F.sequence(F.lit(0), last)))
+    q = q.withColumn("_ct", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    c = c.withColumn("_qt", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     # Tiles are small in bytes and heavy in arithmetic: fix the task count, or AQE
     # would merge them into too few tasks.
     tasks = min(nq * nc, MAX_TASKS)
@@ -80,6 +79,73 @@ def tile_cogroup(
     )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.RecordBatch]]:
+    """Parts of sorted batches with one task, side and tile each."""
+    for batch in batches:
+        marks = np.stack([batch.column(n).to_numpy() for n in ("_task", "_side", "_tile")], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+        rest = batch.select([n for n in batch.schema.names if n not in ("_task", "_side", "_tile")])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield *(int(v) for v in marks[lo]), rest.slice(lo, hi - lo)
+
+
+def strip_scan(held: DataFrame, streamed: DataFrame, kernel: Callable, schema: str, tasks: int) -> DataFrame:
+    """Runs ``kernel(tile, held_table, streamed)`` in every task that holds rows.
+
+    Both tables have the same columns, with ``_task`` below ``tasks`` and ``_tile``. ``streamed`` yields
+    (tile, part of its rows) in the order of tiles; the kernel yields Arrow tables and must read all of it.
+    """
+    names = [n for n in held.columns if n not in ("_task", "_tile")]
+    order = ["_task", "_side", "_tile", *names]
+    both = held.withColumn("_side", F.lit(0)).select(*order).unionByName(streamed.withColumn("_side", F.lit(1)).select(*order))
+    wanted = to_arrow_schema(held.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, task in groupby(_pieces(batches), key=lambda p: p[0]):
+            mine, tile, waiting = [], None, None
+            for piece in task:
+                if piece[1]:
+                    waiting = piece
+                    break
+                tile = piece[2]
+                mine.append(piece[3])
+            if not mine:
+                continue  # groupby drops the rest of the task
+
+            def rest(first=waiting, task=task):
+                if first is not None:
+                    yield first[2], pa.Table.from_batches([first[3]])
+                    for piece in task:
+                        yield piece[2], pa.Table.from_batches([piece[3]])
+
+            for table in kernel(tile, pa.Table.from_batches(mine).combine_chunks(), rest()):
+                yield from table.cast(wanted).to_batches()
+
+    dealt = both.repartitionById(tasks, F.col("_task")).sortWithinPartitions("_task", "_side", "_tile")
+    return dealt.mapInArrow(run, schema)
+
+
+def triangle_tasks(df: DataFrame, key: str, tiles: int, strip: int = STRIP) -> tuple[DataFrame, DataFrame, int]:
+    """The held and the streamed rows of every unordered pair of tiles, and the number of tasks."""
+    strips = -(-tiles // max(strip, -(-tiles * tiles // MAX_TASKS)))
+    strip = -(-tiles // strips)
+    rows = df.withColumn("_tile", _tile_of(key, tiles))
+    own = F.col("_tile")
+    number = F.floor(own / strip).cast("int")
+    held = rows.withColumn("_s", F.explode(F.sequence(number, F.lit(strips - 1))))
+    held = held.withColumn("_task", own * strips + F.col("_s")).drop("_s")
+    streamed = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), own)))
+    streamed = streamed.withColumn("_task", F.col("_i") * strips + number).drop("_i")
+    return held, streamed, tiles * strips
+
+
+def same_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where two keys are, for keys of any type."""
+    _, codes = np.unique(np.concatenate([a, b]).astype(str) if a.dtype == object else np.concatenate([a, b]), return_inverse=True)
+    return codes[: len(a)], codes[len(a) :]
+
+
 def rows_of(column: pa.Array) -> np.ndarray:
     """List column as a 2-D array; missing or uneven vectors are an error, since
     flattening would hand their values to other rows."""
