@@ -113,8 +113,7 @@ def kmeans_assign(
     ``iterations`` bounds each run. An empty cluster keeps its centre. Clusters are numbered by
     their least keys from 0, so equal partitions have equal numbers. No point gives no row.
     """
-    kept = complete(points, "vec").select(key, F.transform("vec", lambda v: v.cast("double")).alias("vec"))
-    kept = materialise(kept)
+    kept = complete(materialise(points.select(key, F.transform("vec", lambda v: v.cast("double")).alias("vec"))), "vec")
     rows = kept.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "vec")
     if rows.isEmpty():
         return kept.select(key, F.lit(0).cast("bigint").alias("cluster"))

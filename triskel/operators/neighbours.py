@@ -116,10 +116,13 @@ def _cells(slim: DataFrame, key: str, count: int) -> tuple[DataFrame, np.ndarray
 
     Pivots are the rows with the least hashes. Vectors have length one, or zero.
     """
+    slim = complete(materialise(slim), "vec")
     pivots = np.array([r["vec"] for r in slim.orderBy(F.xxhash64(key), key).limit(count).collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = rows_of(batch.column("vec"))
             d = distances(x, pivots)
             at = d.argmin(axis=1)
@@ -209,7 +212,7 @@ def top_neighbours(
     the result is the same.
     """
     kind = key_type(points, key)
-    slim = complete(points.select(key, F.col(vec).alias("vec")), "vec").select(key, unit(F.col("vec")).alias("vec"))
+    slim = points.select(key, unit(F.col(vec)).alias("vec"))
     n = tile_count(points, tiles)
     if prune or (prune is None and not tiles and points.count() > TILE_ROWS):
         rows, pairs, total = pruned_pairs(slim, key, k, n)
@@ -217,7 +220,7 @@ def top_neighbours(
     else:
         held, streamed, tasks = _every_pair(slim.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n)
     partial = strip_scan(
-        held, streamed, _topk_kernel(key, k, arrow_type(points, key)), f"{key} {kind}, neighbour {kind}, sim double", tasks
+        held, streamed, _topk_kernel(key, k, arrow_type(points, key)), f"{key} {kind}, neighbour {kind}, sim double", tasks, ["vec"]
     )
     order = Window.partitionBy(key).orderBy(F.desc("sim"), F.asc("neighbour"))
     ranked = partial.withColumn("position", F.row_number().over(order))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from triskel.functions.vectors import ordered_modalities
 from triskel.operators.neighbours import SIM_DECIMALS
 from triskel.operators.retrieval import pairs
-from triskel.operators.tiles import chunks, complete, matrix, strip_scan, tile_count, triangle_tasks
+from triskel.operators.tiles import chunks, matrix, strip_scan, tile_count, triangle_tasks
 
 SIMILARITY_BINS = 20
 TABLE_METRICS = ("R@1", "R@5", "R@10", "MRR")
@@ -82,9 +82,8 @@ def similarity_histogram(
         numbers = np.tile(np.arange(bins), len(pair_list))
         yield pa.table({"pair": names.tolist(), "bin": pa.array(numbers, pa.int64()), "n": pa.array(total.ravel())})
 
-    rows = complete(wide.select(key, *mods), *mods)
-    held, shipped, tasks = triangle_tasks(rows, key, n_tiles)
-    partial = strip_scan(held, shipped, run, "pair string, bin bigint, n bigint", tasks)
+    held, shipped, tasks = triangle_tasks(wide.select(key, *mods), key, n_tiles)
+    partial = strip_scan(held, shipped, run, "pair string, bin bigint, n bigint", tasks, mods)
     return partial.groupBy("pair", "bin").agg(F.sum("n").alias("n")).where("n > 0")
 
 

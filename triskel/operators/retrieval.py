@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from triskel.functions.vectors import ordered_modalities, squared_distance
 from triskel.operators.tiles import (
     chunks,
-    complete,
     key_type,
     matrix,
     same_keys,
@@ -110,9 +109,8 @@ def row_statistics(
         + [f"{n} bigint" for n in names]
         + [f"pot_{m} double" for m in uniform_mods]
     )
-    slim = complete(wide.select(key, *mods), *mods)
-    held, streamed, tasks = triangle_tasks(slim, key, n_tiles)
-    partial = strip_scan(held, streamed, _kernel(key, pair_list, uniform_mods), schema, tasks)
+    held, streamed, tasks = triangle_tasks(wide.select(key, *mods), key, n_tiles)
+    partial = strip_scan(held, streamed, _kernel(key, pair_list, uniform_mods), schema, tasks, mods)
     sums = [F.sum(n).alias(n) for n in names + [f"pot_{m}" for m in uniform_mods]]
     return partial.groupBy(key).agg(*sums)
 

@@ -82,6 +82,8 @@ def tile_cogroup(
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.RecordBatch]]:
     """Parts of sorted batches with one task, side and tile each."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         marks = np.stack([batch.column(n).to_numpy() for n in ("_task", "_side", "_tile")], axis=1)
         cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
         rest = batch.select([n for n in batch.schema.names if n not in ("_task", "_side", "_tile")])
@@ -90,9 +92,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
                 yield *(int(v) for v in marks[lo]), rest.slice(lo, hi - lo)
 
 
-def strip_scan(held: DataFrame, streamed: DataFrame, kernel: Callable, schema: str, tasks: int) -> DataFrame:
+def complete_rows(batch: pa.RecordBatch, vectors: Sequence[str]) -> pa.RecordBatch:
+    """Rows whose vectors are all there, with all components.
+
+    Inside a task, as Spark would push such a condition below the columns it reads and
+    compute them twice, once for each component.
+    """
+    for v in vectors:
+        column = batch.column(v)
+        if column.null_count or column.flatten().null_count:
+            there = [x is not None and None not in x for x in column.to_pylist()]
+            batch = batch.filter(pa.array(there, pa.bool_()))
+    return batch
+
+
+def strip_scan(
+    held: DataFrame, streamed: DataFrame, kernel: Callable, schema: str, tasks: int, vectors: Sequence[str] = ()
+) -> DataFrame:
     """Runs ``kernel(tile, held_table, streamed)`` in every task that holds rows.
 
+    Rows that lack one of ``vectors``, or a component of one, take no part.
     Both tables have the same columns, with ``_task`` below ``tasks`` and ``_tile``. ``streamed`` yields
     (tile, part of its rows) in the order of tiles; the kernel yields Arrow tables and must read all of it.
     """
@@ -102,7 +121,7 @@ def strip_scan(held: DataFrame, streamed: DataFrame, kernel: Callable, schema: s
     wanted = to_arrow_schema(held.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, task in groupby(_pieces(batches), key=lambda p: p[0]):
+        for _, task in groupby(_pieces(complete_rows(b, vectors) for b in batches), key=lambda p: p[0]):
             mine, tile, waiting = [], None, None
             for piece in task:
                 if piece[1]:
