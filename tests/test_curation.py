@@ -322,6 +322,46 @@ def test_csv_source_errors_and_shared_columns(spark, tmp_path):
         tables.morphology_csv(spark, str(tmp_path))
 
 
+def test_many_files_are_read_in_order_by_ranges(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from triskel.sources import csv_files
+
+    monkeypatch.setattr(csv_files, "RANGE_BYTES", 100)
+    wanted = []
+    for i in range(300):
+        name = f"f{i:03}.csv" + (".gz" if i % 10 == 9 else "")
+        header = ["Metadata_broad_sample", "Cells_a", f"Only_{i}"] if i % 2 else ["Cells_a", "Metadata_broad_sample"]
+        rows = [{"Cells_a": f"{i}.{j}", "Metadata_broad_sample": f"BRD-K{i:04}{j:04}-001", f"Only_{i}": "x"} for j in range(i % 17)]
+        text = "\r\n".join([",".join(header), *[",".join(r[h] for h in header) for r in rows]]) + ("\r\n" if i % 3 else "")
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+        wanted.append((name.endswith("gz"), name, [(float(r["Cells_a"]), r["Metadata_broad_sample"]) for r in rows]))
+    (tmp_path / "deeper").mkdir()
+    (tmp_path / "deeper" / "other.csv").write_text("a\n1\n")
+    df = tables.morphology_csv(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().toString()
+    assert "f000.csv" not in plan.split("Physical Plan")[-1] or plan.count(".csv") < 900
+    got = [(r["Cells_a"], r["Metadata_broad_sample"]) for r in df.orderBy("ordinal").collect()]
+    assert got == [row for _, _, rows in sorted(wanted) for row in rows]
+    assert df.select("ordinal").distinct().count() == len(got)
+
+
+def test_audit_of_real_files(spark, tmp_path):
+    from triskel.sources.csv_files import audit_folder
+
+    assert audit_folder(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csv").write_text("id,x,y\nk1,1,\nk2,inf,2.5\n")
+    (tmp_path / "sub" / "b.csv").write_text("x,y,z,w\n1,NaN,-inf,True\n,2,+3,False\n7,1e3, 4,True\n")
+    (tmp_path / "c.csv").write_text("u,v\n")
+    (tmp_path / "broken.csv.gz").write_bytes(b"this is no gzip")
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n1,2,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    row = audit_folder(spark, str(tmp_path)).first()
+    # a: x and y; b: x, y and z. Columns of a file without rows are all numbers as far as they go.
+    assert tuple(row) == (6, 5, 3, pytest.approx(3 / 13), 2)
+
+
 def test_sidecar_key_is_detected_or_dropped(spark):
     samples = spark.createDataFrame([("s0", 1.0), ("s1", 2.0)], "inst_id string, g double")
     known = spark.createDataFrame([("s1", "d")], "profile_id string, dose string")

@@ -10,10 +10,7 @@ from triskel.catalog.curation import _SPLIT_SQL, _split
 from triskel.catalog.source_data import (
     EXPR_SIDE,
     EXPR_SQL,
-    FEATURE_SQL,
-    FEATURES,
     META_SQL,
-    MORPH_FEATURES,
     MORPH_SIDE,
     MORPH_SQL,
     build,
@@ -22,13 +19,19 @@ from triskel.catalog.source_data import (
 from triskel.functions.numeric import rounded
 from triskel.operators import audit
 from triskel.session import shared_folder
-from triskel.sources import sinks, tables
+from triskel.sources import csv_files, sinks, tables
 
 
 def _write_batches(spark, sf_dir):
     """Two batches of morphology CSVs whose columns differ; the second is compressed."""
     folder = f"{shared_folder(spark)}/morph"
-    rows = build(spark, sf_dir, MORPH_SIDE)
+    one, two = _batches(build(spark, sf_dir, MORPH_SIDE))
+    one.coalesce(2).write.mode("append").csv(folder, header=True)
+    two.coalesce(2).write.mode("append").csv(folder, header=True, compression="gzip")
+    return folder
+
+
+def _batches(rows):
     one = rows.where("ordinal % 2 = 0").select(
         "Metadata_Plate", "Metadata_broad_sample", "Metadata_moa", "Cells_price",
         F.col("Nuclei_mod").alias("Nuclei_only_one"), "Nuclei_mod", F.col("ordinal").alias("extra"),
@@ -36,9 +39,7 @@ def _write_batches(spark, sf_dir):
     two = rows.where("ordinal % 2 = 1").select(
         "Nuclei_mod", "Cells_price", "Metadata_broad_sample", "Metadata_Plate", "Cytoplasm_flat"
     )
-    one.coalesce(2).write.mode("append").csv(folder, header=True)
-    two.coalesce(2).write.mode("append").csv(folder, header=True, compression="gzip")
-    return folder
+    return one, two
 
 
 @query(
@@ -172,21 +173,37 @@ def union_on_shared_columns(spark, sf_dir):
     return tables.union_shared(parts)
 
 
-def _audit_files_sql() -> str:
-    gaps = " + ".join(f"({f} IS NULL OR isnan({f}))::BIGINT" for f in MORPH_FEATURES)
-    infs = " + ".join(f"coalesce(isinf({f}), FALSE)::BIGINT" for f in MORPH_FEATURES)
-    return f"""{FEATURE_SQL}, fa AS (SELECT count(DISTINCT order_key % 3) AS n_files, count(*) AS total_rows, {len(MORPH_FEATURES)}::BIGINT AS n_numeric_columns,
-      sum({gaps}) / (count(*) * {len(MORPH_FEATURES)}.0::DOUBLE) AS nan_rate, sum({infs})::BIGINT AS inf_count FROM ft)"""
+def _file_audit_sql(name: str, columns: str, half: int) -> str:
+    """Table ``name`` of one written batch: rows, numeric columns, and missing and infinite cells in these."""
+    return f"""{name}_rows AS (SELECT {columns} FROM mo WHERE ordinal % 2 = {half}),
+    {name}_long AS (UNPIVOT (SELECT coalesce(COLUMNS(*)::VARCHAR, '') FROM {name}_rows) ON COLUMNS(*) INTO NAME c VALUE v),
+    {name}_cols AS (SELECT c, count(*) FILTER (v = '') AS missing, count(*) FILTER (isinf(try_cast(v AS DOUBLE))) AS inf
+      FROM {name}_long GROUP BY c HAVING bool_and(v = '' OR try_cast(v AS DOUBLE) IS NOT NULL)),
+    {name} AS (SELECT (SELECT count(*) FROM {name}_rows) AS n, count(*) AS k, sum(missing) AS missing, sum(inf) AS inf FROM {name}_cols)"""
+
+
+# The third file is broken: it counts as a file and gives nothing else.
+_FILES_SQL = f"""{MORPH_SQL},
+    {_file_audit_sql("one", "Metadata_Plate, Metadata_broad_sample, Metadata_moa, Cells_price, Nuclei_mod AS Nuclei_only_one, Nuclei_mod, ordinal AS extra", 0)},
+    {_file_audit_sql("two", "Nuclei_mod, Cells_price, Metadata_broad_sample, Metadata_Plate, Cytoplasm_flat", 1)},
+    fa AS (SELECT count(*) + 1 AS n_files, sum(n)::BIGINT AS total_rows, max(k) AS n_numeric_columns,
+      sum(missing)::DOUBLE / sum(n * k) AS nan_rate, sum(inf)::BIGINT AS inf_count FROM (SELECT * FROM one UNION ALL SELECT * FROM two))"""
 
 
 def _audit_files(spark, sf_dir):
-    rows = build(spark, sf_dir, FEATURES).withColumn("file", F.col("order_key") % 3)
-    return audit.audit_files(rows, MORPH_FEATURES, "file")
+    """The two batches as a file each, one of them in a sub-folder, and a file that is no archive."""
+    folder = f"{shared_folder(spark)}/audit"
+    rows = build(spark, sf_dir, MORPH_SIDE)
+    one, two = _batches(rows)
+    one.coalesce(1).write.csv(f"{folder}/first", header=True)
+    two.coalesce(1).write.csv(f"{folder}/first/deeper", header=True, compression="gzip")
+    csv_files.write_bytes(f"{folder}/broken.csv.gz", b"not an archive")
+    return csv_files.audit_folder(spark, folder)
 
 
 @query(
     "audit_feature_files",
-    f"WITH {_audit_files_sql()} SELECT n_files, total_rows, n_numeric_columns, round(nan_rate, 6) + 0.0 AS nan_rate, inf_count FROM fa",
+    f"WITH {_FILES_SQL} SELECT n_files, total_rows, n_numeric_columns, round(nan_rate, 6) + 0.0 AS nan_rate, inf_count FROM fa",
 )
 def audit_feature_files(spark, sf_dir):
     return _audit_files(spark, sf_dir).withColumn("nan_rate", rounded(F.col("nan_rate")))
@@ -244,7 +261,7 @@ def overlap_verdict(spark, sf_dir):
 
 @query(
     "audit_report",
-    f"""WITH {_OVERLAP_SQL}, {_audit_files_sql()}
+    f"""WITH {_OVERLAP_SQL}, {_FILES_SQL.removeprefix(MORPH_SQL + ",")}
     SELECT 'morphology' AS section, metric, value FROM (SELECT CAST(n_files AS VARCHAR) AS n_files, CAST(total_rows AS VARCHAR) AS total_rows,
       CAST(n_numeric_columns AS VARCHAR) AS n_numeric_columns, printf('%.4f', nan_rate) AS nan_rate, CAST(inf_count AS VARCHAR) AS inf_count FROM fa)
       UNPIVOT (value FOR metric IN (n_files, total_rows, n_numeric_columns, nan_rate, inf_count))

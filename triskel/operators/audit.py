@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,29 +12,6 @@ from triskel.functions.text import short_key
 SUFFICIENT_OVERLAP = 1000
 
 
-def audit_files(
-    rows: DataFrame, numeric: Sequence[str], file: str, columns_per_file: int | None = None
-) -> DataFrame:
-    """Files, rows, numeric columns, missing rate over all cells, count of ±inf. Run it
-    before non-finite values are turned to NULL: they are counted apart."""
-    cells = len(numeric)
-    gaps, infs = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    for c in numeric:
-        x = F.col(c).cast("double")
-        gaps = gaps + (x.isNull() | F.isnan(x)).cast("bigint")
-        infs = infs + F.coalesce(F.abs(x) == float("inf"), F.lit(False)).cast("bigint")
-    per_file = rows.select(file, gaps.alias("g"), infs.alias("i")).groupBy(file).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"), F.sum("i").alias("i")
-    )
-    return per_file.agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum("n").alias("total_rows"),
-        F.lit(columns_per_file or cells).cast("bigint").alias("n_numeric_columns"),
-        F.coalesce(F.try_divide(F.sum("g").cast("double"), F.sum("n") * cells), F.lit(0.0)).alias("nan_rate"),
-        F.sum("i").alias("inf_count"),
-    )
-
-
 def audit_matrix(long: DataFrame, sample: str = "inst_id", feature: str = "feature") -> DataFrame:
     """Samples, genes, mean, population deviation and missing rate of a matrix in long
     form (sample, feature, value)."""

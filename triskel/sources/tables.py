@@ -7,98 +7,31 @@ whose row order carries meaning add an ``ordinal`` column.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triskel.functions.numeric import finite
 from triskel.functions.text import META_PREFIX, short_key, split_roles
-
-
-HEADER_READERS = 8
-# Bits of an ordinal for the place within a file: 4 TiB of bytes, 2 million files.
-FILE_SHIFT = 42
-
-
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    """Matching paths on whatever file system the pattern names."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(path)
-    return sorted(s.getPath().toString() for s in found) if found else []
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    return bool(_glob(spark, path))
-
-
-def _header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    return spark.read.csv(path, header=True, sep=sep).columns
-
+from triskel.sources.csv_files import SUFFIXES, RowSource, exists, list_files, load, shared_columns
 
 def morphology_csv(
-    spark: SparkSession, folder: str, key: str = "Metadata_broad_sample", suffixes=(".csv", ".csv.gz")
+    spark: SparkSession, folder: str, key: str = "Metadata_broad_sample", suffixes=SUFFIXES
 ) -> DataFrame:
     """All CSV files of a folder, reduced to the feature and metadata columns present
     in every file, with the 13-character ``compound_id`` and an ``ordinal`` in
     (file, row) order. The headers alone decide the schema."""
-    base = folder.rstrip("/")
-    files = [p for s in suffixes for p in _glob(spark, f"{base}/*{s}")]
+    files = list_files(spark, folder.rstrip("/"), suffixes, deep=False)
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    with ThreadPool(min(len(files), HEADER_READERS)) as pool:
-        headers = pool.map(inheritable_thread_target(spark)(lambda p: _header(spark, p)), files)
-    shared = set(headers[0]).intersection(*headers[1:])
-    features = sorted(split_roles(sorted(shared))[0])
-    meta = sorted(c for c in shared if c.startswith(META_PREFIX))
+    shared = shared_columns(spark, files)
+    features = split_roles(shared)[0]
+    meta = [c for c in shared if c.startswith(META_PREFIX)]
     if key not in meta:
         raise KeyError(f"column {key} missing from the shared columns of {folder}")
-    # Files with one header are read together; ordinals keep the file order.
-    out = None
-    for number, header in _by_header(files, headers):
-        part = spark.read.csv(
-            [files[i] for i in number],
-            header=True,
-            schema=_typed(header, set(features)),
-            positiveInf="inf",
-            negativeInf="-inf",
-        )
-        part = part.select(
-            *[finite(F.col(f)).alias(f) for f in features],
-            *meta,
-            F.col("_metadata.file_path").alias("_file"),
-            # The byte a split starts at, plus the row's place in its task: a split holds no
-            # more rows than bytes, so the next split of the file starts beyond it.
-            (
-                F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-            ).alias("_row"),
-        )
-        out = part if out is None else out.unionByName(part)
-    place = F.create_map(*[x for i, p in enumerate(files) for x in (F.lit(_bare(p)), F.lit(i))])
-    at = place[F.regexp_replace("_file", "^[a-z]+:/*", "/")]
-    ordinal = F.shiftleft(at.cast("bigint"), FILE_SHIFT) + F.col("_row")
-    return out.withColumn("ordinal", ordinal).drop("_file", "_row").withColumn(
-        "compound_id", short_key(key)
-    )
-
-
-def _bare(path: str) -> str:
-    scheme, sep, rest = path.partition(":")
-    return "/" + rest.lstrip("/") if sep else path
-
-
-def _by_header(files: list[str], headers: list[list[str]]):
-    groups: dict[tuple, list[int]] = {}
-    for i, h in enumerate(headers):
-        groups.setdefault(tuple(h), []).append(i)
-    return [(idx, list(h)) for h, idx in groups.items()]
-
-
-def _typed(header: Sequence[str], doubles: set[str]) -> str:
-    return ", ".join(f"`{c}` {'double' if c in doubles else 'string'}" for c in header)
+    schema = ", ".join([*[f"`{c}` double" for c in features], *[f"`{c}` string" for c in meta], "ordinal bigint"])
+    rows = load(spark, RowSource, files, schema)
+    return rows.select(*[finite(F.col(f)).alias(f) for f in features], *meta, "ordinal").withColumn("compound_id", short_key(key))
 
 
 def transpose_long(matrix: DataFrame, index: str, samples: Sequence[str] | None = None) -> DataFrame:
