@@ -98,21 +98,20 @@ def run_summary_table(spark, sf_dir):
     return runs.summary_table(runs.summarise(tables.runs_long(_runs(spark, sf_dir))), _METRICS)
 
 
-def _welch_sql(source: str, treated: str, steps: int = 2000) -> str:
-    """Moments to p; ``source`` is (config, value)."""
+def _welch_sql(source: str, treated: str) -> str:
+    """Moments to p, by the power series of the incomplete beta function; ``source`` is (config, value)."""
 
-    def area(lo: str, hi: str) -> str:
-        return f"""(SELECT sum(w * greatest(cos(lo + i * h), 0) ** (d - 1)) * any_value(h) / 3 FROM
-          (SELECT i, {lo} AS lo, ({hi} - {lo}) / {steps}.0::DOUBLE AS h, df AS d,
-             CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, {steps + 1}) s(i)))"""
+    def series(a: str, b: str, x: str) -> str:
+        return f"""exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))
+          * (SELECT sum(exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x}))) FROM range(0, (4000 + 4 * df)::BIGINT) s(i))"""
 
     return f"""mo AS (SELECT config, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM {source} GROUP BY config HAVING count(*) >= 2),
     tt AS (SELECT b.config AS baseline, a.m AS m1, sqrt(a.v) AS s1, b.m AS m2, sqrt(b.v) AS s2,
         (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t_stat,
         (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) AS df
       FROM mo a JOIN mo b ON a.config = '{treated}' AND b.config IN ('B4', 'B5', 'B6')),
-    tp AS (SELECT *, atan(abs(t_stat) / sqrt(df)) AS th, CASE WHEN df > 1 THEN 10 / sqrt(df - 1) ELSE pi() END AS sp FROM tt),
-    pv AS (SELECT *, {area('th', 'least(pi() / 2, th + sp)')} / {area('0.0::DOUBLE', 'least(pi() / 2, sp)')} AS p FROM tp)"""
+    tp AS (SELECT *, df / 2 AS a, 0.5::DOUBLE AS b, df / (df + t_stat ** 2) AS x, t_stat ** 2 / (df + t_stat ** 2) AS y FROM tt),
+    pv AS (SELECT *, CASE WHEN t_stat ** 2 >= 12 THEN {series('a', 'b', 'x')} ELSE 1 - {series('b', 'a', 'y')} END AS p FROM tp)"""
 
 
 _STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
