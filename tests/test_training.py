@@ -99,6 +99,26 @@ def test_corruption_replaces_the_asked_number_of_cells_by_column_values(spark):
     assert len(out) == n and 0.8 * 4 * n <= changed <= 4 * n
 
 
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_corruption_by_blocks_equals_the_rule(spark, block):
+    import hashlib
+
+    n, d = 40, 10
+    vectors = {i: None if i == 3 else [None if (i, j) == (5, 2) else i + j / 100 for j in range(d)] for i in range(n)}
+    df = spark.createDataFrame([(f"id{i}", i, v, 1) for i, v in vectors.items()], "id string, pos bigint, vec array<double>, _row int").repartition(3)
+    out = augment.corrupt_marginals(df, "pos", "vec", d, n, seed=9, block=block)
+    assert out.columns == df.columns
+    for r in out.collect():
+        i, want = r["pos"], vectors[r["pos"]]
+        if want is not None:
+            digests = [hashlib.md5(f"9|{i}|{j}".encode()).hexdigest() for j in range(d)]
+            want = list(want)
+            for j in sorted(range(d), key=lambda j: (digests[j][:8], j))[:4]:
+                donor = vectors[int(digests[j][8:16], 16) % n]
+                want[j] = None if donor is None else donor[j]
+        assert (r["id"], r["vec"], r["_row"]) == (f"id{i}", want, 1)
+
+
 def test_bit_dropout_share(spark):
     df = spark.createDataFrame([("a", list(range(25))), ("b", [1, 2, 3]), ("c", [])], "k string, bits array<int>")
     kept = {r["k"]: r["b"] for r in df.select("k", augment.drop_bits(F.col("bits"), F.col("k"), 9).alias("b")).collect()}

@@ -328,3 +328,27 @@ def test_pruned_neighbours_are_exact_and_skip_far_tiles(spark, make, most):
         assert [r[2] for r in got[True] if r[0] == f"k{i:04}"] == [f"k{j:04}" for j in plain]
     _, pairs, total = neighbours.pruned_pairs(df, "key", 6, 40, tile_rows=100)
     assert pairs.count() <= most * total * total
+
+
+def test_tasks_of_a_product_follow_its_terms():
+    assert clustering.product_tasks((3, 300), (5, 500)) == (1, 1)
+    for n, m in ((10, 10_000), (3000, 3000), (50_000, 40_000)):
+        tall, wide = clustering.product_tasks((n, n * 1000), (m, m * 1000))
+        wanted = min(n * m * 1000 / clustering.TASK_TERMS, clustering.MAX_TASKS)
+        assert tall <= n and wide <= m and 0.6 * wanted <= tall * wide <= 1.6 * wanted + 2
+
+
+def test_expected_information_with_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TASK_TERMS", 500)
+    rng = np.random.default_rng(6)
+    a, b = (np.minimum(rng.geometric(0.02, 4000), 150) for _ in range(2))
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a int, b int")
+    got = clustering.expected_information(clustering.contingency(df, "a", "b"), "a", "b").first()["emi"]
+    n, total = len(a), 0.0
+    lf = [math.lgamma(i + 1) for i in range(n + 1)]
+    for sa in np.bincount(a)[np.bincount(a) > 0].tolist():
+        for sb in np.bincount(b)[np.bincount(b) > 0].tolist():
+            for k in range(max(1, sa + sb - n), min(sa, sb) + 1):
+                w = lf[sa] + lf[sb] + lf[n - sa] + lf[n - sb] - lf[n] - lf[k] - lf[sa - k] - lf[sb - k] - lf[n - sa - sb + k]
+                total += k / n * math.log(n * k / (sa * sb)) * math.exp(w)
+    assert got == pytest.approx(total, rel=1e-9)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triskel.functions.numeric import log_factorial
+from triskel.session import materialise
 
-MARGIN_TILES = 8
+TASK_TERMS = 1 << 21
+MAX_TASKS = 16384
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -35,15 +39,48 @@ def adjusted_rand(cells: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def _product(left: DataFrame, right: DataFrame, tiles: int = MARGIN_TILES) -> DataFrame:
-    """Every combination of two summary tables, as an equi-join on tile pairs."""
-    l = left.withColumn("_i", F.pmod(F.hash(*left.columns), F.lit(tiles))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    )
-    r = right.withColumn("_j", F.pmod(F.hash(*right.columns), F.lit(tiles))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    )
-    return l.join(r, ["_i", "_j"]).drop("_i", "_j")
+def _reach(size: Column) -> Column:
+    """How far from the mean a term of a cell with this smaller margin may differ from zero."""
+    return F.sqrt(size * (746.0 + F.log(2.0 * (size + 1.0))) / 2.0) + 2.0
+
+
+def product_tasks(left: tuple[int, int], right: tuple[int, int], terms: int = TASK_TERMS) -> tuple[int, int]:
+    """Tiles of two margins, given the number of sizes and the sum of terms of each; so many that
+    a tile pair has some ``terms`` terms, in proportion to the margins' numbers of sizes."""
+    (n, reach_n), (m, reach_m) = left, right
+    if not (n and m):
+        return 1, 1
+    total = min(n * reach_m, m * reach_n)  # a term sum is bounded by either margin
+    tasks = min(max(1, math.ceil(total / terms)), MAX_TASKS, n * m)
+    tall = min(n, max(1, round(math.sqrt(tasks * n / max(m, 1)))))
+    return tall, min(m, math.ceil(tasks / tall))
+
+
+def _tiled(margin: DataFrame, size: str, tiles: int, tile: str) -> DataFrame:
+    """Runs of sizes with about as many terms each. Sizes are distinct, at most some sqrt(2 n) of them."""
+    order = Window.partitionBy(F.lit(0)).orderBy(size)
+    before = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")
+    whole = F.sum("_w").over(Window.partitionBy(F.lit(0)))
+    at = F.least(F.floor(before / whole * tiles), F.lit(tiles - 1)).cast("int")
+    return margin.withColumn("_w", _reach(F.col(size).cast("double"))).withColumn(tile, at).drop("_w")
+
+
+def _product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every combination of the sizes of two margins (``sa`` and ``sb``), as an equi-join on tile pairs.
+
+    The number of tile pairs, which is that of tasks, follows the number of terms.
+    """
+
+    def facts(margin: DataFrame, size: str) -> tuple[int, int]:
+        row = margin.agg(F.count(F.lit(1)), F.coalesce(F.sum(2 * _reach(F.col(size).cast("double"))), F.lit(0.0))).first()
+        return row[0], math.ceil(row[1])
+
+    tall, wide = product_tasks(facts(left, "sa"), facts(right, "sb"))
+    l = _tiled(left, "sa", tall, "_i").withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    r = _tiled(right, "sb", wide, "_j").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))))
+    pair = (F.col("_i") * wide + F.col("_j")).alias("_pair")
+    l = l.select("*", pair).repartition(tall * wide, "_pair").drop("_i", "_j")
+    return l.join(r.select("*", pair).drop("_i", "_j"), "_pair").drop("_pair")
 
 
 def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
@@ -63,11 +100,11 @@ def expected_information(cells: DataFrame, a: str, b: str) -> DataFrame:
         margin = cells.groupBy(col).agg(F.sum("n").alias(name))
         return margin.groupBy(name).agg(F.count(F.lit(1)).alias(f"m_{name}"))
 
-    combos = _product(sizes(a, "sa"), sizes(b, "sb")).withColumn("n", n)
+    combos = _product(materialise(sizes(a, "sa")), materialise(sizes(b, "sb"))).withColumn("n", n)
     sa, sb, total = F.col("sa"), F.col("sb"), F.col("n")
     mean = sa.cast("double") * sb / total
     small = F.least(sa, sb).cast("double")
-    reach = F.sqrt(small * (746.0 + F.log(2.0 * (small + 1.0))) / 2.0) + 2.0
+    reach = _reach(small)
     low = F.greatest(F.lit(0), sa + sb - total, F.floor(mean - reach))
     high = F.least(sa, sb, F.ceil(mean + reach))
     terms = combos.withColumn("k", F.explode(F.sequence(low, high)))
