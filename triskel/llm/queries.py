@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from triskel.catalog.base import query, table
 from triskel.llm import ann, chat, decontaminate, html, langid, minhash, packing, quality, secrets, toxicity, trie, warc, whitening
 from triskel.session import materialise
@@ -302,6 +301,3 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.slice("items", h + 1, F.greatest(F.size("items") - h, F.lit(0)))
     items = F.when(F.col("lead").isNull(), rest).otherwise(F.concat(F.slice("lead", F.lit(1), h), rest))
     return trie.prefix_trie(joined.select("conv_id", *trie.paths(items)))
-
-
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
