@@ -296,6 +296,18 @@ def test_leaks_and_paraphrases_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(df.limit(0), "text", blocks, "found").count() == 0
 
 
+def test_items_of_one_and_two_words_are_found(spark):
+    items = ["perihelion", "quokka zygote", "the", "zygote quokka", "Perihelion", "again again", " ".join(f"w{i}" for i in range(20))]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = ["at the perihelion of it", "a Quokka, zygote.", "quokka x zygote", "quokka x y zygote", "zygote", "again", "again again", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"plain words number {i} of many") for i in range(60)]
+    df = docs(spark, rows)
+    blocks = decontaminate.fit_passages(df, "text", benchmark, "item_id", "text")
+    found = decontaminate.find_leaks(df.select("doc_id", "text"), "text", blocks).select("doc_id", F.inline("leaks")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 0), (0, 2), (0, 4), (1, 1), (2, 1), (6, 5)}
+    assert {r["lcs"] for r in found} == {1.0}
+
+
 def test_verbatim_leaks_of_a_benchmark_beyond_the_rank_equal_all_pairs(spark):
     rnd = random.Random(11)
     topics = [[f"t{i}x{k}" for k in range(40)] for i in range(300)]  # more than the rank

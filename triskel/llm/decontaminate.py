@@ -13,6 +13,9 @@ A candidate is a leak if the longest common subsequence of words covers ``VERBAT
 the passage; as a paraphrase, if it covers ``PARAPHRASE`` of it and also that share of its
 answer, the last quarter, and of its rare words.
 
+An item of one or two words is a leak where all its words stand in their order, with one
+word between them at most; it is looked up word by word.
+
 Words in more than ``COMMON`` of all documents take no part in retrieval, unless a passage
 has fewer than five others. Windows start at each word that takes part, so the work is
 proportional to what a document shares with the benchmark.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from triskel.llm.text import slices, texts_of, words
+from triskel.llm.text import mix, slices, texts_of, words
 
 SCALES = (16, 32, 64)
 RANK, OVERSAMPLE, FIT_TASKS, BLOCK = 256, 16, 4, 16384
@@ -77,6 +80,8 @@ class Passages:
     least: np.ndarray  # of these, the number that a leak must have
     listed: np.ndarray  # passages of which the space keeps too little, by word
     lists: np.ndarray  # bounds of each word's passages in them
+    short_keys: np.ndarray  # sorted keys of items of one or two words
+    short_items: np.ndarray
 
 
 def _cut(items: list, texts: list[str]) -> tuple[list, list[np.ndarray]]:
@@ -220,10 +225,40 @@ def fit_passages(documents: DataFrame, text_col: str, benchmark: DataFrame, item
         order = np.argsort(of_word, kind="stable")
         lists = np.searchsorted(of_word[order], np.arange(len(vocabulary) + 1))
         listed = np.repeat(weak, sizes[weak])[order]
-        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale, [frozenset(at.tolist()) for at, _ in rows], least, listed, lists))
+        blocks.append(Passages(table["item"].to_numpy(np.int64), cut, vocabulary, (idf[:, None] * space).astype(np.float32), idf, vectors, scale, [frozenset(at.tolist()) for at, _ in rows], least, listed, lists, *_short_passages(table["item"].to_numpy(np.int64), cut)))
     return blocks
 
 
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first) + second)
+
+
+def _short_passages(items: np.ndarray, cut: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and items of the passages of one or two words: the word, or a hash of both."""
+    own = [(j, w) for j, w in enumerate(cut) if len(w) in (1, 2)]
+    keys = np.array([w[0] if len(w) == 1 else _pair_keys(w[:1], w[1:])[0] for _, w in own], np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], items[[j for j, _ in own]][order] if own else np.zeros(0, np.int64)
+
+
+def _short_leaks(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> Iterator[tuple[int, int]]:
+    """(text, item) of the items of one or two words."""
+    if not len(p.short_keys) or not len(hashes):
+        return
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    found = [(owner, hashes)]
+    for gap in (1, 2):
+        inside = np.flatnonzero(owner[gap:] == owner[:-gap])
+        found.append((owner[inside], _pair_keys(hashes[inside], hashes[inside + gap])))
+    for text, key in found:
+        lo, hi = (np.searchsorted(p.short_keys, key, side) for side in ("left", "right"))
+        met = np.flatnonzero(hi > lo)
+        once = np.unique(np.stack([text[met], lo[met], hi[met]]), axis=1)
+        for t, a, b in once.T.tolist():
+            for j in range(a, b):
+                yield t, int(p.short_items[j])
+
+
 def _candidates(at: np.ndarray, owner: np.ndarray, place: np.ndarray, p: Passages) -> Iterator[tuple[int, int, float]]:
     """(number of the window's first word, passage, cosine) for the words that take part:
     their vocabulary numbers, texts and places in them."""
@@ -296,6 +331,8 @@ def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[
     for i, j, cosine, exact in chain(latent, listed):
         passage = p.words[j]
         n = len(passage)
+        if n < 3:
+            continue
         # Rare words that are missing in and around the window bound what can be in common.
         rare = p.rare[j]
         near = rare.intersection(own[max(0, i - n // 2) : i + n + n // 2])
@@ -318,6 +355,8 @@ def _leaks_in(hashes: np.ndarray, bounds: np.ndarray, p: Passages) -> list[dict[
                 continue
         item = int(p.item[j])
         out[text][item] = max(out[text].get(item, (0.0, 0.0, 0.0)), (cosine, share, in_answer), key=lambda x: (x[1], x[0]))
+    for text, item in _short_leaks(hashes, bounds, p):
+        out[text][item] = (1.0, 1.0, 1.0)
     return out
 
 
