@@ -5,7 +5,8 @@ of each whole text and turns them into rules: whole numbers from 0 to 10,000, hi
 worse. ``fit_cutoffs`` picks a cutoff for each rule and stratum from labelled texts:
 
 * A quarter of the texts (by digest) tunes. A rule is used in a stratum if, where it would
-  reject its part of the good texts, it rejects many times that part of the bad ones.
+  reject its part of the limit of the good texts, it rejects a fifth of the bad ones: few
+  tests leave each a larger part of the limit and of the error.
 * The others are held out. Of its n good texts a cutoff may reject k, where k is the
   largest number with P(Binomial(n, a) <= k) <= d. Whatever the distribution of the rule,
   more than a share ``a`` of good texts is then rejected with probability ``d`` at most
@@ -42,7 +43,7 @@ RULES = ("symbols", "repeated_lines", "repeated_words", "long_words", "short_wor
 LIMIT = 0.02  # of the good texts of a stratum
 ERROR = 0.05  # chance that any limit of any stratum is broken
 TUNED = "4"  # digests below tune, the others are held out
-LIFT = 10.0  # a rule must catch this many times its part of the good
+CAUGHT = 0.2  # share of the bad texts that a rule must reject to be worth a test
 BROADCAST_STRATA = 50_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -233,7 +234,7 @@ def fit_cutoffs(
     part = limit / len(RULES)
     tuned = _tails(counts.where("NOT held")).where(F.col("good_beyond") <= F.floor(part * F.col("n_good")))
     tuned = tuned.groupBy("stratum", "rule").agg(F.max(F.try_divide("bad_beyond", "n_bad")).alias("caught"))
-    used = tuned.where(F.col("caught") >= LIFT * part).select("stratum", "rule")
+    used = tuned.where(F.col("caught") >= CAUGHT).select("stratum", "rule")
     used = materialise(used)
     tests = used.count()
     shares = used.groupBy("stratum").agg(F.count("*").alias("n_rules"))

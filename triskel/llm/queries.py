@@ -205,7 +205,7 @@ WITH words AS (
 ), used AS (
     SELECT lang, rule, count(*) OVER () AS tests, count(*) OVER (PARTITION BY lang) AS n_rules FROM (
         SELECT lang, rule FROM tails WHERE NOT held AND g_beyond <= floor({quality.LIMIT} / 6 * n_g)
-        GROUP BY lang, rule HAVING max(b_beyond / nullif(n_b, 0)) >= {quality.LIFT * quality.LIMIT / 6})
+        GROUP BY lang, rule HAVING max(b_beyond / nullif(n_b, 0)) >= {quality.CAUGHT})
 ), sizes AS (
     SELECT tails.lang, rule, tests, {quality.LIMIT} / n_rules AS a, max(n_g)::BIGINT AS n
     FROM tails JOIN used USING (rule) WHERE held AND used.lang IS NOT DISTINCT FROM tails.lang GROUP BY ALL
