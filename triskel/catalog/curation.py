@@ -572,7 +572,7 @@ _Q1_GREEDY = f"""c AS (SELECT compound_id, count(*) AS n_rows, arg_min(smiles, o
     {_WALK_SQL}, q1s AS (SELECT q1b.*, sp.split FROM q1b JOIN sp USING (compound_id))"""
 
 
-def _q1_sql(split: str = _Q1_HASHED) -> str:
+def _q1_sql(split: str = _Q1_HASHED, mean: str = "avg(value)", deviation: str = "stddev_pop(coalesce(value, mean))") -> str:
     clean = ", ".join(f"CASE WHEN isfinite({f}) THEN {f} END AS {f}" for f in _Q1_FEATURES)
     long = " UNION ALL ".join(f"SELECT ordinal, split, '{f}' AS feature, {f} AS value FROM q1s" for f in _Q1_FEATURES)
     return f"""{_KEYED}, {_PAIRED_SQL}, {_RESOLVED_SQL},
@@ -583,11 +583,11 @@ def _q1_sql(split: str = _Q1_HASHED) -> str:
     q1l AS ({long}),
     ok AS (SELECT feature FROM q1l GROUP BY feature HAVING avg((value IS NULL)::INT) <= 0.05 AND stddev_samp(value) FILTER (split = 'train') <> 0),
     lk AS (SELECT *, feature LIKE '%!_at' ESCAPE '!' AS is_expr FROM q1l JOIN ok USING (feature)),
-    mm AS (SELECT feature, median(value) AS med, avg(value) AS mean, stddev_samp(value) AS sd FROM lk WHERE split = 'train' GROUP BY feature),
+    mm AS (SELECT feature, median(value) AS med, {mean} AS mean, stddev_samp(value) AS sd FROM lk WHERE split = 'train' GROUP BY feature),
     dd AS (SELECT abs(avg(mean)) > 0.1 OR abs(avg(sd) - 1) > 0.3 AS rescaled FROM mm WHERE feature LIKE '%!_at' ESCAPE '!'),
     ff AS (SELECT feature, any_value(is_expr) AS is_expr, any_value(med) AS med, any_value(mean) AS mean,
              quantile_cont(coalesce(value, med), 0.75) - quantile_cont(coalesce(value, med), 0.25) AS iqr,
-             stddev_pop(coalesce(value, mean)) AS sdp FROM lk JOIN mm USING (feature) WHERE split = 'train' GROUP BY feature),
+             {deviation} AS sdp FROM lk JOIN mm USING (feature) WHERE split = 'train' GROUP BY feature),
     fc AS (SELECT feature, CASE WHEN NOT is_expr THEN med WHEN rescaled THEN mean ELSE 0 END AS center,
              CASE WHEN NOT is_expr THEN CASE WHEN iqr = 0 THEN 1 ELSE iqr END WHEN rescaled THEN CASE WHEN sdp = 0 THEN 1 ELSE sdp END ELSE 1 END AS scale FROM ff, dd)"""
 
@@ -610,7 +610,11 @@ def curated_rows(spark, sf_dir):
     return _curated(spark, sf_dir, greedy=False)
 
 
-@query("curated_rows_greedy", f"WITH RECURSIVE {_q1_sql(_Q1_GREEDY)} {_CURATED_SQL}")
+# Compensated sums: plain ones hang on the order of rows, and so would the last decimal.
+_Q1_GREEDY_SQL = _q1_sql(_Q1_GREEDY, "favg(value)", "sqrt(favg(pow(coalesce(value, mean) - mean, 2)))")
+
+
+@query("curated_rows_greedy", f"WITH RECURSIVE {_Q1_GREEDY_SQL} {_CURATED_SQL}")
 def curated_rows_greedy(spark, sf_dir):
     """The same with the greedy split of groups."""
     return _curated(spark, sf_dir, greedy=True)
