@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from triskel.functions.vectors import ordered_modalities
 from triskel.operators.neighbours import SIM_DECIMALS
 from triskel.operators.retrieval import pairs
-from triskel.operators.tiles import chunks, matrix, strip_scan, tile_count, triangle_tasks
+from triskel.operators.tiles import matrix, products, single_error, strip_scan, tile_count, triangle_tasks
 
 SIMILARITY_BINS = 20
 TABLE_METRICS = ("R@1", "R@5", "R@10", "MRR")
@@ -40,7 +40,11 @@ def flat_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def metric_listing(metrics: DataFrame) -> DataFrame:
-    """(section, name, value) of the printed summary, ordered by section and name."""
+    """(section, name, value) of the printed summary, ordered by section and name.
+
+    A few dozen rows: they go to one partition as they are, while a global sort would draw a
+    sample first and so compute every metric twice.
+    """
     metric, scope = F.col("metric"), F.col("scope")
     section = (
         F.when(scope == "moa", "4 clustering")
@@ -51,10 +55,46 @@ def metric_listing(metrics: DataFrame) -> DataFrame:
     return (
         metrics.select(section.alias("section"), name.alias("name"), "value")
         .where(F.col("section").isNotNull())
-        .orderBy("section", "name")
+        .repartition(1)
+        .sortWithinPartitions("section", "name")
     )
 
 
+def _bin_counts(left: np.ndarray, right: np.ndarray, bins: int) -> np.ndarray:
+    """How many products of rows of ``left`` and ``right`` fall into each of ``bins``.
+
+    The rule is floor((round(sim) + 1) * bins / 2), kept within the bins. A truncated product in single precision
+    gives the same wherever it is farther from a border than its error; the rest follow the rule itself, in double.
+    """
+    half, kind = bins / 2.0, np.uint8 if bins < 256 else np.int32
+    pairs_of = np.zeros(1 << 16, np.int64)  # of neighbouring cells, counted two at a time
+    longest = [np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=1.0)) for x in (left, right)]
+    doubt_at = half * single_error(left.shape[1] + 1, longest[0] * longest[1] + 1.0)
+    a = np.column_stack([half * left, np.full(len(left), half - doubt_at)]).astype(np.float32)
+    b = np.column_stack([right, np.ones(len(right))]).astype(np.float32)
+    total = np.zeros(bins, np.int64)
+    for s, c, at in products(a, b):
+        if longest[0] * longest[1] > 1.0 + 1e-9:  # else only border values leave the bins
+            np.clip(at, 0.0, bins - 0.5, out=at)
+        low = at.astype(kind)
+        at += np.float32(2.0 * doubt_at)
+        doubt = low != at.astype(kind)
+        if doubt.any():
+            lines = np.flatnonzero(doubt.any(axis=1))
+            i, j = np.nonzero(doubt[lines])
+            i = lines[i]
+            sim = np.round(np.einsum("ij,ij->i", left[s][i], right[c][j]), SIM_DECIMALS)
+            low[i, j] = np.clip(np.floor((sim + 1.0) * half), 0, bins - 1).astype(kind)
+        flat = low.ravel()
+        if kind is np.uint8:
+            found = np.bincount(flat[: len(flat) // 2 * 2].view(np.uint16))
+            pairs_of[: len(found)] += found
+            flat = flat[len(flat) // 2 * 2 :]
+        total += np.bincount(flat, minlength=bins)
+    both = pairs_of.reshape(256, 256)
+    return total + (both.sum(axis=0) + both.sum(axis=1))[:bins] if kind is np.uint8 else total
+
+
 def similarity_histogram(
     wide: DataFrame, key: str, modalities: Sequence[str], bins: int = SIMILARITY_BINS, tiles: int | None = None
 ) -> DataFrame:
@@ -71,13 +111,10 @@ def similarity_histogram(
         for other, table in streamed:
             theirs = {m: matrix(table, m) for m in mods}
             # A later tile meets this one here only, so both directions count.
-            products = [(mine, theirs), (theirs, mine)] if other != tile else [(mine, theirs)]
+            sides = [(mine, theirs), (theirs, mine)] if other != tile else [(mine, theirs)]
             for i, (a, b) in enumerate(pair_list):
-                for left, right in products:
-                    for part in chunks(len(left[a])):
-                        sim = np.round(left[a][part] @ right[b].T, SIM_DECIMALS)
-                        at = np.clip(np.floor((sim + 1.0) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
-                        total[i] += np.bincount(at.ravel(), minlength=bins)
+                for left, right in sides:
+                    total[i] += _bin_counts(left[a], right[b], bins)
         names = np.repeat([f"{a}_{b}" for a, b in pair_list], bins)
         numbers = np.tile(np.arange(bins), len(pair_list))
         yield pa.table({"pair": names.tolist(), "bin": pa.array(numbers, pa.int64()), "n": pa.array(total.ravel())})
