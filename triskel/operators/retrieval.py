@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from triskel.functions.vectors import ordered_modalities, squared_distance
 from triskel.operators.tiles import (
-    chunks,
+    column_counts,
     key_type,
     matrix,
+    products,
+    row_counts,
     same_keys,
     strip_scan,
     tile_count,
@@ -62,24 +64,25 @@ def _kernel(key_name: str, pair_list, uniform_mods):
             for a, b in [d for a, b in pair_list for d in ((a, b), (b, a))]:
                 own = need_q.get((a, b), need_q.get((b, a)))
                 theirs = need_c.get((a, b), need_c.get((b, a)))
-                for s in chunks(len(held)):
-                    sim = qm[a][s] @ cm[b].T
-                    out_q[f"ge_{a}_{b}"][s] += (sim >= own[s, None]).sum(axis=1)
+                for s, c, sim in products(qm[a], cm[b]):
+                    out_q[f"ge_{a}_{b}"][s] += row_counts(sim >= own[s, None])
                     if later:
-                        out_c[f"ge_{b}_{a}"] += (sim >= theirs[None, :]).sum(axis=0)
+                        out_c[f"ge_{b}_{a}"][c] += column_counts(sim >= theirs[None, c])
             if pot_names and not later:
                 codes_q, codes_c = same_keys(values(held, key_name), values(table, key_name))
             for m in uniform_mods:
+                # -2 d2 = 4 q.c - 2 q.q - 2 c.c in one product.
                 sq_q = np.einsum("ij,ij->i", qm[m], qm[m])
                 sq_c = np.einsum("ij,ij->i", cm[m], cm[m])
-                for s in chunks(len(held)):
-                    d2 = sq_q[s, None] + sq_c[None, :] - 2.0 * (qm[m][s] @ cm[m].T)
-                    pot = np.exp(-2.0 * np.maximum(d2, 0.0))
+                left = np.column_stack([4.0 * qm[m], -2.0 * sq_q, np.ones(len(sq_q))])
+                right = np.column_stack([cm[m], np.ones(len(sq_c)), -2.0 * sq_c])
+                for s, c, pot in products(left, right):
+                    np.exp(np.minimum(pot, 0.0, out=pot), out=pot)
                     if not later:
-                        pot[codes_q[s, None] == codes_c[None, :]] = 0.0
+                        pot[codes_q[s, None] == codes_c[None, c]] = 0.0
                     out_q[f"pot_{m}"][s] += pot.sum(axis=1)
                     if later:
-                        out_c[f"pot_{m}"] += pot.sum(axis=0)
+                        out_c[f"pot_{m}"][c] += pot.sum(axis=0)
             if later:
                 yield out_table(table, out_c)
         yield out_table(held, out_q)
