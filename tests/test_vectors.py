@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from triskel.operators import augment, clustering, embeddings, kmeans, neighbours, retrieval, tiles
+from triskel.operators import augment, clustering, embeddings, kmeans, neighbours, reports, retrieval, tiles
 from triskel.operators.filters import labelled
 from triskel.plans.evaluate import clustering_metrics, evaluation_metrics
 
@@ -352,3 +352,66 @@ def test_expected_information_with_many_sizes(spark, monkeypatch):
                 w = lf[sa] + lf[sb] + lf[n - sa] + lf[n - sb] - lf[n] - lf[k] - lf[sa - k] - lf[sb - k] - lf[n - sa - sb + k]
                 total += k / n * math.log(n * k / (sa * sb)) * math.exp(w)
     assert got == pytest.approx(total, rel=1e-9)
+
+
+@pytest.mark.parametrize("bins", [20, 7, 300])
+def test_bins_of_products_follow_the_rule_at_every_border(bins):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((517, 6))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    a[:40] = np.eye(6)[rng.integers(0, 6, 40)] * rng.choice([-1.0, 1.0], 40)[:, None]
+    borders = np.linspace(-1.0, 1.0, bins + 1)  # products with the axes lie on them
+    b = np.zeros((1300 + len(borders), 6))
+    b[:1300] = rng.standard_normal((1300, 6))
+    b[:1300] /= np.linalg.norm(b[:1300], axis=1)[:, None]
+    b[1300:, 0], b[1300:, 1] = borders, np.sqrt(1.0 - borders**2)
+    b[5] = 0.0
+    for scale in (1.0, 3.0):
+        left = a * scale
+        sim = np.round(left @ b.T, neighbours.SIM_DECIMALS)
+        want = np.bincount(np.clip(np.floor((sim + 1.0) * (bins / 2.0)), 0, bins - 1).astype(int).ravel(), minlength=bins)
+        assert (reports._bin_counts(left, b, bins) == want).all()
+
+
+def test_kernels_hold_little_whatever_the_tile():
+    """A block of a product, not a tile's rows by another's, is in memory at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 8), pa.int32()), pa.array(x.ravel()))
+    held = pa.table({"id": pa.array(np.arange(6000)), "vec": column, "a": column, "b": column})
+    kernels = [neighbours._topk_kernel("id", 5, pa.int64()), retrieval._kernel("id", [("a", "b")], ["a", "b"])]
+    for kernel in kernels:
+        tracemalloc.start()
+        list(kernel(0, held, iter([(0, held)])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6
+    tracemalloc.start()
+    reports._bin_counts(x, x, 20)
+    assert tracemalloc.get_traced_memory()[1] < 24e6
+    tracemalloc.stop()
+
+
+def test_neighbours_found_by_blocks_equal_a_full_sort():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((3000, 3)), 1)  # many ties
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 3), pa.int32()), pa.array(x.ravel()))
+    table = pa.table({"id": pa.array(np.arange(3000)), "vec": column})
+    parts = [(i, table.slice(i * 1100, 1100)) for i in range(3)]
+    got = pa.concat_tables(neighbours._topk_kernel("id", 7, pa.int64())(0, table, iter(parts))).to_pandas()
+    sim = np.round(x @ x.T, neighbours.SIM_DECIMALS)
+    np.fill_diagonal(sim, -np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(3000), sim.shape), -sim), axis=1)[:, :7]
+    assert (got["neighbour"].to_numpy().reshape(3000, 7) == order).all()
+
+
+def test_the_metric_listing_draws_no_sample(spark):
+    rows = [("row", "a->b", "R@10", 0.5), ("row", None, "mean_R@10", 0.5), ("moa", None, "kNN_5_acc", 0.1), ("row", None, "uniform_a", 0.2)]
+    df = spark.createDataFrame(rows, "scope string, direction string, metric string, value double").repartition(4)
+    out = reports.metric_listing(df)
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    assert [r["section"][0] for r in out.collect()] == ["1", "1", "3", "4"]

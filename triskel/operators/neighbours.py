@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from triskel.functions.vectors import unit
 from triskel.operators.embeddings import mean_vector
 from triskel.operators.tiles import (
+    BLOCK_COLUMNS,
+    BLOCK_ROWS,
     STRIP,
     TILE_ROWS,
     arrow_type,
@@ -21,6 +24,7 @@ from triskel.operators.tiles import (
     matrix,
     rows_of,
     same_keys,
+    single_error,
     sort_by,
     strip_scan,
     tile_cogroup,
@@ -70,24 +74,41 @@ def _merged(k: int, best: tuple[np.ndarray, np.ndarray] | None, sim: np.ndarray,
 
 
 def _topk_kernel(key: str, k: int, kind: pa.DataType):
-    """The k nearest of each held row among a strip of tiles."""
+    """The k nearest of each held row among a strip of tiles.
+
+    Once a row has k neighbours it is looked at only in blocks with a similarity that reaches its
+    k-th, by a product in single precision less the error of that; the rest costs this product
+    and one comparison. Vectors have length one, or zero.
+    """
 
     def run(_, held: pa.Table, streamed) -> Iterator[pa.Table]:
         q_ids, qm = values(held, key), matrix(held, "vec")
-        parts = chunks(len(q_ids))
+        parts = chunks(len(q_ids), BLOCK_ROWS)
+        q_single, error = qm.astype(np.float32), single_error(qm.shape[1])
         best: list = [None] * len(parts)
         for _, table in streamed:
             c = sort_by(table, key)
             c_ids, cm = values(c, key), matrix(c, "vec")
             codes_q, codes_c = same_keys(q_ids, c_ids)
-            shared = np.isin(codes_q, codes_c)
-            for i, s in enumerate(parts):
-                sim = np.round(qm[s] @ cm.T, SIM_DECIMALS)
-                own = np.flatnonzero(shared[s])
+            shared, c_single = np.isin(codes_q, codes_c), cm.astype(np.float32)
+            for (i, s), cols in itertools.product(enumerate(parts), chunks(len(c_ids), BLOCK_COLUMNS)):
+                rows, found = slice(None), best[i]
+                if found is not None and found[0].shape[1] == k:
+                    least = (found[0][:, -1:] - error).astype(np.float32)
+                    rows = np.flatnonzero((q_single[s] @ c_single[cols].T >= least).any(axis=1))
+                    if not len(rows):
+                        continue
+                    found = found[0][rows], found[1][rows]
+                sim = np.round(qm[s][rows] @ cm[cols].T, SIM_DECIMALS)
+                own = np.flatnonzero(shared[s][rows])
                 if len(own):  # a point is not its own neighbour
-                    sim[own] = np.where(codes_q[s][own, None] == codes_c[None, :], -np.inf, sim[own])
+                    sim[own] = np.where(codes_q[s][rows][own, None] == codes_c[None, cols], -np.inf, sim[own])
                 top = _first_columns(sim, k)
-                best[i] = _merged(k, best[i], np.take_along_axis(sim, top, axis=1), c_ids[top])
+                found = _merged(k, found, np.take_along_axis(sim, top, axis=1), c_ids[cols][top])
+                if isinstance(rows, slice):
+                    best[i] = found
+                else:
+                    best[i][0][rows], best[i][1][rows] = found
         for (sims, ids), s in zip(best, parts, strict=True):
             keep = np.isfinite(sims).ravel()
             rows = np.repeat(q_ids[s], sims.shape[1])[keep]
@@ -124,9 +145,12 @@ def _cells(slim: DataFrame, key: str, count: int) -> tuple[DataFrame, np.ndarray
             if not batch.num_rows:
                 continue
             x = rows_of(batch.column("vec"))
-            d = distances(x, pivots)
-            at = d.argmin(axis=1)
-            columns = [*batch.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(x)), at])]
+            near, least = [], []
+            for s in chunks(len(x)):
+                d = distances(x[s], pivots)
+                near.append(d.argmin(axis=1).astype(np.int32))
+                least.append(d.min(axis=1))
+            columns = [*batch.columns, pa.array(np.concatenate(near)), pa.array(np.concatenate(least))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_cell", "_dist"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes)
