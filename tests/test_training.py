@@ -292,3 +292,13 @@ def test_p_values_for_any_degrees_of_freedom(spark):
     table = spark.createDataFrame(cases, "t double, df double")
     for t, df, p in table.select("t", "df", runs.t_tail(F.col("t"), F.col("df"))).collect():
         assert p == pytest.approx(integrated_tail(t, df), rel=1e-10), (t, df)
+
+
+def test_fingerprints_are_computed_by_all_cores(spark):
+    ids = spark.range(2000).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("smiles"))
+    table = encode.fingerprint_table(ids, "smiles")
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    kept = table.select("bits", augment.drop_bits(F.col("bits"), F.col("smiles"), 3, 0.3).alias("kept")).limit(50).collect()
+    for r in kept:
+        assert r["bits"] == sorted(set(r["bits"])) and r["kept"] == sorted(r["kept"])
+        assert set(r["kept"]) <= set(r["bits"]) and len(r["kept"]) == len(r["bits"]) - int(len(r["bits"]) * 0.3)

@@ -132,12 +132,12 @@ def corrupt_marginals(
 
 def drop_bits(bits: Column, row: Column, seed: int, share: float = BIT_DROPOUT) -> Column:
     """Sparse fingerprint without floor(share) of its set bits."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(bits, lambda b: F.struct(hash32(seed, row, b).alias("h"), b.alias("b")))
     )
     gone = F.floor(F.size(bits) * F.lit(share)).cast("int")
     kept = F.slice(ranked, gone + 1, F.greatest(F.size(bits), F.lit(1)))
-    return F.array_sort(F.transform(kept, lambda s: s["b"]))
+    return F.sort_array(F.transform(kept, lambda s: s["b"]))
 
 
 def gaussian(*parts) -> Column:

@@ -16,6 +16,7 @@ from triskel.operators.augment import map_vectors
 
 FINGERPRINT_BITS = 2048
 FINGERPRINT_RADIUS = 2
+TASKS_PER_CORE = 4
 
 
 def fingerprint(identifier: Column, n_bits: int = FINGERPRINT_BITS, radius: int = FINGERPRINT_RADIUS) -> Column:
@@ -32,12 +33,17 @@ def fingerprint(identifier: Column, n_bits: int = FINGERPRINT_BITS, radius: int
         )
 
     parts = [grams(n) for n in range(1, radius + 2)]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    return F.sort_array(F.array_distinct(F.concat(*parts)))
 
 
 def fingerprint_table(df: DataFrame, key: str, bits: Column | None = None, **kw) -> DataFrame:
-    """(key, bits), once per distinct usable identifier."""
-    distinct = df.select(key).where(identifier_ok(F.col(key))).distinct()
+    """(key, bits), once per distinct usable identifier.
+
+    Identifiers are small in bytes and heavy in arithmetic: the task count is fixed, or AQE would
+    merge them into a task or two by their bytes.
+    """
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    distinct = df.select(key).where(identifier_ok(F.col(key))).distinct().repartition(tasks, key)
     return distinct.select(key, (bits if bits is not None else fingerprint(F.col(key), **kw)).alias("bits"))
 
 
