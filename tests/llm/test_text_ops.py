@@ -2,9 +2,11 @@
 
 import base64
 import json
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -379,3 +381,114 @@ def test_toxicity_without_both_classes(spark):
     for labels in (df.select("doc_id", F.lit(0).alias("toxic")), df.select("doc_id", "toxic").limit(0)):
         model = toxicity.fit_toxicity(toxicity.labelled(df, labels, "doc_id", "text", "toxic", F.lit(True)))
         assert {round(r["toxicity"], 6) for r in toxicity.score_toxicity(df, model, "text").collect()} == {0.0}
+
+
+def plain_counts(rows):
+    """Documents of both classes with each word and each pair, from (text, toxic) rows."""
+    n, pairs = (defaultdict(lambda: [0, 0]) for _ in range(2))
+    for text, toxic in rows:
+        found = re.findall(r"\w+", text.lower())
+        for w in set(found):
+            n[w][toxic] += 1
+        for p in set(zip(["", *found], found, strict=False)):
+            pairs[p][toxic] += 1
+    return n, pairs
+
+
+def plain_likelihoods(rows, d, stands):
+    """Difference of log-likelihoods of every word and pair; ``stands`` are the continuation counts."""
+    n, pairs = plain_counts(rows)
+
+    def discounted(counts):
+        mass = [sum(max(x[c] - d, 0) for x in counts) for c in (0, 1)]
+        return mass, sum(min(sum(x), 2 * d) for x in counts) / max(1, sum(map(sum, counts)))
+
+    mass, g = discounted(n.values())
+    if not all(mass):
+        return {}, {}
+    p = {w: [(1 - g) * max(n[w][c] - d, 0) / mass[c] + g * stands[w] / sum(stands.values()) for c in (0, 1)] for w in stands}
+    own, contexts = {}, defaultdict(list)
+    for (v, _), x in pairs.items():
+        contexts[v].append(x)
+    shares = {v: discounted(x) for v, x in contexts.items()}
+    for (v, w), x in pairs.items():
+        m, gv = shares[v]
+        if all(m):
+            q = [(1 - gv) * max(x[c] - d, 0) / m[c] + gv * p[w][c] for c in (0, 1)]
+            own[v, w] = math.log(q[1] / q[0])
+    return {w: math.log(x[1] / x[0]) for w, x in p.items()}, own
+
+
+def plain_features(text, by_word, by_pair):
+    found = re.findall(r"\w+", text.lower())
+    x = [by_pair.get(p, by_word.get(p[1], 0.0)) for p in zip(["", *found], found, strict=False)]
+    if not x:
+        return [0.0] * 4
+    return [max(sum(x[i : i + k]) / k for i in range(len(x))) for k in (1, 4, 16)] + [sum(x) / len(x)]
+
+
+def test_toxicity_equals_a_plain_kneser_ney(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts = {" ".join(rnd.choice(["a", "b", "c", "d"]) if rnd.random() < 0.5 else f"w{int(rnd.paretovariate(0.7)) % 400}" for _ in range(rnd.choice([1, 5, 60]))) for _ in range(400)}
+    df = spark.createDataFrame([(i, t, int(rnd.random() < 0.1 + 0.4 * ("b c" in t))) for i, t in enumerate(sorted(texts))], "doc_id bigint, text string, toxic int").repartition(3)
+    rows = toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.lit(True))
+    seen, fit = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append((x, y)) or fit(x, y))
+    model = toxicity.fit_toxicity(rows)
+    taught = [(r["text"], r["toxic"], r["fold"]) for r in rows.collect()]
+    _, pairs = plain_counts([t[:2] for t in taught])
+    stands = Counter(w for _, w in pairs)
+
+    for d, (x, y) in zip(toxicity.DISCOUNTS, seen, strict=True):
+        likelihoods = [plain_likelihoods([t[:2] for t in taught if t[2] != f], d, stands) for f in range(toxicity.FOLDS)]
+        want = sorted((c, *plain_features(t, *likelihoods[f])) for t, c, f in taught)
+        got = sorted((c, *z) for c, z in zip(y, x, strict=True))
+        assert len(got) == len(want) > 250
+        assert np.allclose(np.sort(np.array(got), axis=0), np.sort(np.array(want), axis=0), atol=1e-5)
+    by_word, by_pair = plain_likelihoods([t[:2] for t in taught], model.discount, stands)
+    held = dict(zip(model.keys.tolist(), model.values.tolist(), strict=True))
+
+    def key(text):
+        hashes, before, _ = toxicity.expressions([text])
+        return hashes[-1], toxicity.pair_key(before, hashes)[-1]
+
+    assert held and len(by_pair) > 100
+    for w, x in by_word.items():
+        assert math.isclose(held.get(int(key(w)[0]), 0.0), x, abs_tol=1e-5), w
+    for (v, w), x in by_pair.items():
+        word, pair = key(f"{v} {w}")
+        assert math.isclose(held.get(int(pair), held.get(int(word), 0.0)), x, abs_tol=1e-5), (v, w)
+
+
+def test_toxicity_of_pairs_after_rare_words(spark):
+    """Only pairs tell, and 5,000 words are more frequent than those the pairs begin with."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(800):
+        toxic, k = int(i % 4 == 0), rnd.randrange(8)
+        text = [f"w{rnd.randrange(5000)}" for _ in range(500)]
+        if i % 4 < 2:
+            for v, w in ((f"v{k}", f"{'xy'[toxic]}{k}"), (f"u{k}", f"{'yx'[toxic]}{k}")):
+                text.insert(rnd.randrange(1, len(text)), f"{v} {w}")
+        rows.append((i, " ".join(text), toxic))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    model = toxicity.fit_toxicity(toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.col("doc_id") % 16 >= 4))
+    held = toxicity.score_toxicity(df.where("doc_id % 16 < 4"), model, "text").collect()
+    assert np.mean([(r["toxicity"] >= 0.5) == bool(r["toxic"]) for r in held]) > 0.97
+
+
+def test_toxicity_of_entries_beyond_those_held(spark, monkeypatch):
+    df = toxic_table(spark)
+    df = df.union(df.where("doc_id = 3").crossJoin(spark.range(40)).selectExpr("1000 + id", "text", "toxic")).unionByName(spark.createDataFrame([(2000, None, 0), (2001, "", 0)], df.schema))
+    monkeypatch.setattr(toxicity, "HELD", 30)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 1 << 17)
+    part = toxicity.fit_toxicity(toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.lit(True)))
+    rest = part.rest.toPandas()
+    assert len(part.keys) <= 30 < len(rest)
+    keys = np.concatenate([part.keys, rest["key"].to_numpy().view(np.uint64)])
+    order = np.argsort(keys)
+    whole = toxicity.ToxicityModel(keys[order], np.concatenate([part.values, rest["x"].to_numpy()])[order], part.weights, part.bias)
+    got, want = (sorted(map(tuple, toxicity.score_toxicity(df, m, "text").collect()), key=str) for m in (part, whole))
+    assert got == want and len(got) == df.count()
+    few = toxicity.ToxicityModel(part.keys, part.values, part.weights, part.bias)
+    assert got != sorted(map(tuple, toxicity.score_toxicity(df, few, "text").collect()), key=str)

@@ -9,17 +9,20 @@ that has discounted mass in both classes, and pooled backoff weight g,
     P_c(w|v) = (1 - g(v)) * max(n_c(v w) - D, 0) / sum + g(v) * P_c(w)
 
 so an expression too rare for either class has the same probability in both and says
-nothing. A text's features are length-normalised differences of log-likelihoods: the most
+nothing. The start of a text is a context like any word. A text's features are
+length-normalised differences of log-likelihoods: the most
 toxic span of 1, 4 and 16 words and the whole text. A logistic regression turns them
 into a score. It is fitted on documents scored by models of the *other* folds of the
 training documents, and the discount is the one that gives the least loss there.
 
-Counts cover every training document, each expression once a document and each text once
-however many copies it has, or a repeated word would pass for a frequent one. A task adds
-up its own words and pairs, Spark adds up the tasks. Bounds that do not grow with the data: ``VOCABULARY`` most frequent words
-(others are one unknown word), ``CONTEXTS`` most frequent words as contexts, ``PAIRS`` most
-frequent pairs above the least discount; ``FIT_ROWS`` documents (expected) for the
-logistic regression.
+Counts cover every word and pair of every training document, each expression once a
+document and each text once however many copies it has, or a repeated word would pass for
+a frequent one. A task adds up its own words and pairs, Spark adds up the tasks. No word,
+context or pair is dropped for want of room: written are all that two documents have, and
+the others enter by sums alone, as their discounted count is 0 under every discount.
+``HELD`` entries of the finished table, those of most documents, are held by every task;
+what is beyond them is joined to the distinct expressions of blocks of texts. Bounded is
+the fit of the logistic regression: ``FIT_ROWS`` documents (expected).
 
 Defined results: a null or empty text has the score of features 0; a document with
 several labels is toxic if one says so; labels that are null teach nothing; without both
@@ -34,86 +37,95 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from triskel.llm.text import mix, slices, texts_of, words
 from triskel.session import materialise
 
-VOCABULARY, CONTEXTS, PAIRS, FOLDS = 1 << 17, 1 << 12, 1 << 17, 4
+FOLDS = 4
 DISCOUNTS = (1.5, 3.0, 6.0, 12.0, 24.0, 48.0, 96.0)
 SPANS = (1, 4, 16)
-FIT_ROWS, LEAST_COUNT = 20_000, 2
+FIT_ROWS, FIT_BLOCKS, LEAST_COUNT = 20_000, 4, 2
+HELD, BLOCK_CHARS = 1 << 21, 1 << 23
 BROADCAST_LABELS = 4_000_000
-NOT_THERE = np.iinfo(np.int64).max
-
-
-@dataclass
-class Likelihoods:
-    """Differences of log-likelihoods of words, and of pairs that have their own."""
-
-    words: np.ndarray
-    pairs: np.ndarray
+START, ALL = 0x53, 0x41  # stand among the hashes of words for the start of a text and for the sums over all words
+SLOTS = 1 << 27  # of the bitmap that tells which keys are worth a join
+COUNTS = [f"n{i}" for i in range(2 * FOLDS)]
+AFTER = [f"after{f}" for f in range(FOLDS)]
 
 
 @dataclass
 class ToxicityModel:
-    keys: np.ndarray  # sorted hashes of the vocabulary
-    contexts: np.ndarray  # number of the context a word is, or -1
-    pair_keys: np.ndarray  # sorted context * VOCABULARY + word
-    tables: list[Likelihoods] = field(default_factory=list)
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted, of the words and pairs held
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # difference of their log-likelihoods
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(SPANS) + 1))
     bias: float = 0.0
-
-    def lookup(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary number and pair number of each word, or -1."""
-        if not len(self.keys) or not len(hashes):
-            return np.full(len(hashes), -1), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        word = np.where(self.keys[at] == hashes, at, -1)
-        pair = pair_keys(word, bounds, self.contexts)
-        if not len(self.pair_keys):
-            return word, np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
-        return word, np.where((self.pair_keys[at] == pair) & (pair != NOT_THERE), at, -1)
-
-    def features(self, texts: list[str], tables: list[Likelihoods]) -> np.ndarray:
-        """(tables, texts, features)."""
-        hashes, bounds = words(texts)
-        word, pair = self.lookup(hashes, bounds)
-        out = np.zeros((len(tables), len(texts), len(SPANS) + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        if not len(some):
-            return out
-        starts = bounds[:-1][some]
-        end = np.repeat(bounds[1:], np.diff(bounds))
-        at = np.arange(len(hashes))
-        for k, t in enumerate(tables):
-            value = np.where(word >= 0, t.words[np.maximum(word, 0)], 0.0) if len(t.words) else np.zeros(len(word))
-            if len(t.pairs):
-                value = np.where(pair >= 0, t.pairs[np.maximum(pair, 0)], value)
-            total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-            for j, n in enumerate(SPANS):
-                span = (total[np.minimum(at + n, end)] - total[at]) / n
-                out[k, some, j] = np.maximum.reduceat(span, starts)
-            out[k, some, -1] = (total[bounds[1:][some]] - total[starts]) / np.diff(bounds)[some]
-        return out
+    discount: float = 0.0
+    rest: DataFrame | None = None  # key and x of the entries not held
+    marks: np.ndarray | None = None  # bitmap of their keys
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights + self.bias, -500, 500)))
 
 
-def pair_keys(word: np.ndarray, bounds: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """context * VOCABULARY + word; a rare word before, or none, is context ``CONTEXTS``.
-    NOT_THERE for a word outside the vocabulary."""
-    before = np.empty(len(word), np.int64)
-    before[1:] = contexts[word[:-1]]  # -1 takes the last, which is masked next
-    before[1:][word[:-1] < 0] = -1
+def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, hash of the word before it or ``START``, bounds of the texts."""
+    hashes, bounds = words(texts)
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
     first = bounds[:-1]
-    before[first[first < len(word)]] = -1
-    before[before < 0] = CONTEXTS
-    return np.where(word >= 0, before * VOCABULARY + word, NOT_THERE)
+    before[first[first < len(hashes)]] = START
+    return hashes, before, bounds
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a pair among those of words, as ``_pair_key`` in Spark."""
+    return (before << np.uint64(1)) ^ word
+
+
+def _pair_key() -> Column:
+    return F.shiftleft("v", 1).bitwiseXOR(F.col("w"))
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stands in sorted ``keys``, or -1."""
+    if not len(keys) or not len(wanted):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(SLOTS - 1)
+    return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the low bits of the column ``key``; a key not marked is not among them."""
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) + 1  # Spark numbers positions and buckets from 1
+    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    marks = np.zeros((SLOTS // 32768, 4096), np.uint8)
+    for part in parts.toLocalIterator():
+        marks[part["b"] - 1] = np.frombuffer(part["bits"], np.uint8)
+    return marks.reshape(-1)
+
+
+def spans(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, features) of the values of their words."""
+    out = np.zeros((len(bounds) - 1, len(SPANS) + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    if not len(some):
+        return out
+    starts = bounds[:-1][some]
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    at = np.arange(len(value))
+    total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+    for j, n in enumerate(SPANS):
+        out[some, j] = np.maximum.reduceat((total[np.minimum(at + n, end)] - total[at]) / n, starts)
+    out[some, -1] = (total[bounds[1:][some]] - total[starts]) / np.diff(bounds)[some]
+    return out
 
 
 def labelled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train) -> DataFrame:
@@ -130,167 +142,268 @@ def labelled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.join(known, "id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold"))
 
 
-def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """key and the number of documents with it in each (class, fold): summed in the task, then by Spark."""
-    names = [f"n{i}" for i in range(2 * FOLDS)]
+def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
+    """The number of documents with each pair (v, w), or each word, in each (class, fold),
+    summed in the task, then by Spark. A word also has the number of pairs it begins
+    (after: by fold) and ends (before), each pair once a document; the word ``ALL`` has
+    the sums over all words."""
+    names = COUNTS if pairs else [*COUNTS, *AFTER, "before"]
+    ids = ["v", "w"] if pairs else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             keys, kinds = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            own, at = np.unique(keys, return_inverse=True)
+            own, first, at = np.unique(keys, return_index=True, return_inverse=True)
             counts = np.bincount(at * len(names) + kinds, minlength=len(names) * len(own)).reshape(-1, len(names)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *[pa.array(counts[:, i].copy()) for i in range(len(names))]], ["key", *names])
+            if pairs:
+                v, w = (np.concatenate([h[i] for h in held])[first] for i in (2, 3))
+                order = np.argsort(v)  # neighbours alike: shuffled files get smaller
+                columns, counts = [v[order], w[order]], counts[order]
+            else:
+                columns, counts = [np.append(own, np.uint64(ALL))], np.vstack([counts, counts.sum(axis=0, dtype=np.int32)])
+            return pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in columns], *[pa.array(counts[:, i].copy()) for i in range(len(names))]], [*ids, *names])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                kind = part.column("toxic").to_numpy() * FOLDS + part.column("fold").to_numpy()
-                hashes, bounds = words(texts_of(part, "text"))
-                keys, there = keys_of(hashes, bounds)
-                keys, owner = keys[there].view(np.uint64), np.repeat(np.arange(len(kind)), np.diff(bounds))[there]
-                _, once = np.unique(mix(keys) + mix(owner), return_index=True)
-                held.append((keys[once], kind[owner[once]].astype(np.int64)))
-                size += len(held[-1][0])
-                if size > 4_000_000:
+                fold = part.column("fold").to_numpy().astype(np.int8)
+                kind = part.column("toxic").to_numpy().astype(np.int8) * np.int8(FOLDS) + fold
+                hashes, before, bounds = expressions(texts_of(part, "text"))
+                owner, pair = np.repeat(np.arange(len(kind)), np.diff(bounds)), pair_key(before, hashes)
+                seeds = mix(np.arange(len(kind)).astype(np.uint64))[owner]
+                _, once = np.unique(mix(pair) + seeds, return_index=True)
+                if pairs:
+                    held.append((pair[once], kind[owner[once]], before[once], hashes[once]))
+                    size += len(once)
+                else:
+                    _, single = np.unique(mix(hashes) + seeds, return_index=True)
+                    held.append((hashes[single], kind[owner[single]]))
+                    held.append((before[once], fold[owner[once]] + np.int8(2 * FOLDS)))
+                    held.append((hashes[once], np.full(len(once), 3 * FOLDS, np.int8)))
+                    size += len(single) + 2 * len(once)
+                if size > (2_000_000 if pairs else 4_000_000):
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    counted = rows.mapInArrow(run, "key bigint, " + ", ".join(f"{n} int" for n in names))
-    return counted.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
+    counted = rows.mapInArrow(run, ", ".join([f"{i} bigint" for i in ids] + [f"{n} int" for n in names]))
+    return counted.groupBy(*ids).agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _counts(table) -> np.ndarray:
-    """(class, fold) x rows."""
-    return np.array([table[f"n{i}"].to_numpy(np.float64) for i in range(2 * FOLDS)]).reshape(2, FOLDS, -1)
-
-
-def _least(counted: DataFrame, count, rows: int, least: int) -> int:
-    """The least count, ``least`` or more, that no more than ``rows`` rows reach: from the
-    counts of counts, so that nothing is sorted."""
-    many = counted.where(count >= least).select(count.alias("n")).groupBy("n").count().toPandas().sort_values("n", ascending=False)
+def _least(counted: DataFrame, count: str, rows: int) -> int:
+    """The least count that no more than ``rows`` rows reach: from the counts of counts,
+    so that nothing is sorted."""
+    many = counted.groupBy(count).count().toPandas().sort_values(count, ascending=False)
     fits = many[many["count"].cumsum() <= rows]
-    return int(fits["n"].min()) if len(fits) else (1 << 62)
+    return int(fits[count].min()) if len(fits) else (1 << 62)
 
 
-def _in_class(c: int, folds: tuple[int, ...] = tuple(range(FOLDS))):
+def _in_class(c: int, folds: tuple[int, ...] = tuple(range(FOLDS))) -> Column:
     return sum((F.col(f"n{c * FOLDS + f}") for f in folds), F.lit(0))
 
 
+def _others(fold: int) -> tuple[int, ...]:
+    return tuple(f for f in range(FOLDS) if f != fold)
+
+
+def _masses(d: float, folds: tuple[int, ...]) -> list[Column]:
+    """Discounted mass of both classes, and what the pooled counts have beyond 2 d."""
+    n = [_in_class(c, folds) for c in (0, 1)]
+    return [F.sum(F.greatest(n[0] - d, F.lit(0.0))), F.sum(F.greatest(n[1] - d, F.lit(0.0))), F.sum(F.greatest(n[0] + n[1] - 2 * d, F.lit(0.0)))]
+
+
 def fit_toxicity(rows: DataFrame) -> ToxicityModel:
     """A model of ``labelled`` rows."""
+    per_class = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     total = _in_class(0) + _in_class(1)
-    counted = materialise(_counted(rows, lambda hashes, bounds: (hashes, np.ones(len(hashes), bool))))
-    vocabulary = counted.where(total >= _least(counted, total, VOCABULARY, LEAST_COUNT)).withColumn("total", total).toPandas()
-    vocabulary = vocabulary.sort_values(["total", "key"], ascending=[False, True]).drop(columns="total")
-    hashes = vocabulary["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    keys = hashes[order]
-    contexts = np.full(len(keys), -1, np.int64)
-    frequent = np.argsort(order)[: min(CONTEXTS, len(keys))]  # rows come by falling count
-    contexts[frequent] = np.arange(len(frequent))
-    model = ToxicityModel(keys, contexts, np.zeros(0, np.int64))
-    share = rows.groupBy("toxic").count().collect()
-    per_class = {r["toxic"]: r["count"] for r in share}
-    if len(per_class) < 2 or not len(keys):
+    both = len(per_class) == 2
+    if both:
+        # Continuation counts: in how many contexts a word stands, in either class. A pair
+        # is counted once for each of its documents by ``before``, so that pairs of one
+        # document need not be kept.
+        pairs = materialise(_counted(rows, True).where(total >= LEAST_COUNT))
+        again = pairs.groupBy(F.col("w").alias("key")).agg(F.sum(total - 1).alias("again"))
+        known = _counted(rows, False).where((total >= LEAST_COUNT) | F.col("key").isin(START, ALL))
+        follows = (F.col("before") - F.coalesce("again", F.lit(0))).alias("follows")
+        lexicon = materialise(known.join(again, "key", "left").select("key", *COUNTS, *AFTER, follows))
+        over_all = lexicon.where(F.col("key") == ALL).first()
+        lexicon = lexicon.where(F.col("key") != ALL)
+        both = over_all is not None and sum(over_all[n] for n in COUNTS) > 0
+    if not both:
         p = np.clip(per_class.get(1, 0) / max(1, sum(per_class.values())), 1e-9, 1 - 1e-9)
-        model.tables, model.bias = [Likelihoods(np.zeros(len(keys)), np.zeros(0))], float(np.log(p / (1 - p)))
-        return model
-    shared = rows.sparkSession.sparkContext.broadcast((keys, contexts))
-
-    def keys_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k, c = shared.value
-        if not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, bool)
-        at = np.minimum(np.searchsorted(k, hashes), len(k) - 1)
-        pair = pair_keys(np.where(k[at] == hashes, at, -1), bounds, c)
-        return pair, pair != NOT_THERE
-
-    pairs = materialise(_counted(rows, keys_of))
-    # Continuation counts: in how many contexts a word stands, in either class. Rare words
-    # before it are counted by documents, as they hardly ever come twice.
-    continuation = np.zeros(len(keys))
-    frequent = F.col("key") < CONTEXTS * VOCABULARY
-    stands = F.sum(F.when(frequent, F.lit(1)).otherwise(total)).alias("n")
-    per_word = pairs.groupBy((F.col("key") % VOCABULARY).alias("w")).agg(stands).toPandas()
-    continuation[per_word["w"]] = per_word["n"]
-    # Discounted and pooled mass of each context, for each discount and set of halves.
-    sums = []
-    for d in DISCOUNTS:
-        for name, part in _FOLD_SETS.items():
-            n = [_in_class(c, part) for c in (0, 1)]
-            sums += [F.sum(F.greatest(n[c] - d, F.lit(0.0))).alias(f"m{c}_{name}_{d:g}") for c in (0, 1)]
-            sums += [F.sum(F.least(n[0] + n[1], F.lit(2 * d))).alias(f"r_{name}_{d:g}"), F.sum(n[0] + n[1]).alias(f"t_{name}_{d:g}")]
-    per_context = pairs.groupBy(F.floor(F.col("key") / VOCABULARY).cast("int").alias("v")).agg(*sums).toPandas().set_index("v")
-    most = F.greatest(_in_class(0), _in_class(1))
-    known = pairs.where(frequent)
-    kept = known.where(most >= _least(known, most, PAIRS, int(min(DISCOUNTS)) + 1)).toPandas().sort_values("key")
-    model.pair_keys = kept["key"].to_numpy(np.int64)
-    n_words, n_pairs = _counts(vocabulary.iloc[order]), _counts(kept)
-    backoff = (continuation + 0.5) / (continuation + 0.5).sum()
-
-    def table(d: float, name: str) -> Likelihoods:
-        part = list(_FOLD_SETS[name])
-        n = n_words[:, part].sum(axis=1)
-        above = np.maximum(n - d, 0)
-        mass = above.sum(axis=1)
-        if not mass.all():
-            return Likelihoods(np.zeros(len(keys)), np.zeros(len(model.pair_keys)))
-        g = np.minimum(n.sum(axis=0), 2 * d).sum() / max(n.sum(), 1.0)
-        p = (1 - g) * above / mass[:, None] + g * backoff
-        by_word = np.log(p[1]) - np.log(p[0])
-        v, w = model.pair_keys // VOCABULARY, model.pair_keys % VOCABULARY
-        m = [per_context[f"m{c}_{name}_{d:g}"].reindex(v).to_numpy(np.float64) for c in (0, 1)]
-        gv = (per_context[f"r_{name}_{d:g}"] / per_context[f"t_{name}_{d:g}"].clip(lower=1)).reindex(v).to_numpy(np.float64)
-        above = np.maximum(n_pairs[:, part].sum(axis=1) - d, 0)
-        usable = (m[0] > 0) & (m[1] > 0) & (gv > 0)
-        q = [(1 - gv) * above[c] / np.where(usable, m[c], 1) + gv * p[c][w] for c in (0, 1)]
-        by_pair = np.where(usable, np.log(np.where(usable, q[1], 1)) - np.log(np.where(usable, q[0], 1)), by_word[w])
-        return Likelihoods(by_word.astype(np.float32), by_pair.astype(np.float32))
+        return ToxicityModel(bias=float(np.log(p / (1 - p))))
+    pairs = pairs.withColumn("key", _pair_key())
+    contexts = over_all["follows"] - (pairs.agg(F.sum(total - 1)).first()[0] or 0)
+
+    def unigrams(sets: list[tuple[float, tuple[int, ...]]]) -> np.ndarray:
+        """Masses of both classes and backoff weight of the words, for each discount and set of folds."""
+        found = np.nan_to_num(np.array(lexicon.agg(*[m for d, folds in sets for m in _masses(d, folds)]).first(), np.float64)).reshape(-1, 3)
+        n = np.array([sum(over_all[COUNTS[c * FOLDS + f]] for c in (0, 1) for f in folds) for _, folds in sets], np.float64)
+        found[:, 2] = (n - found[:, 2]) / np.maximum(n, 1)
+        return found
 
     # Each fold is scored by the models of the other ones.
-    crossed = [[table(d, f"not{f}") for d in DISCOUNTS] for f in range(FOLDS)]
-    features, toxic = _sampled_features(rows, model, crossed, FIT_ROWS / max(1, sum(per_class.values())))
+    crossed = [(d, _others(f)) for f in range(FOLDS) for d in DISCOUNTS]
+    base = unigrams(crossed).reshape(FOLDS, len(DISCOUNTS), 3)
+    features, toxic = _sampled_features(rows, FIT_ROWS / sum(per_class.values()), lexicon, pairs, crossed, base, float(contexts))
     best = None
     for k, d in enumerate(DISCOUNTS):
         weights, loss = _logistic(features[k], toxic)
         if best is None or loss < best[0]:
             best = (loss, d, weights)
     _, d, weights = best
-    model.tables, model.weights, model.bias = [table(d, "all")], weights[:-1], float(weights[-1])
+    model = ToxicityModel(weights=weights[:-1], bias=float(weights[-1]), discount=d)
+    _hold(model, _table(lexicon, pairs, d, unigrams([(d, tuple(range(FOLDS)))])[0], float(contexts)))
     return model
 
 
-_FOLD_SETS = {"all": tuple(range(FOLDS)), **{f"not{f}": tuple(x for x in range(FOLDS) if x != f) for f in range(FOLDS)}}
+def _table(lexicon: DataFrame, pairs: DataFrame, d: float, base: np.ndarray, contexts: float) -> DataFrame | None:
+    """key, x (difference of log-likelihoods) and uses (documents) of all that says
+    something under discount ``d``; a pair that has no entry is worth its second word."""
+    if not base[:2].all():
+        return None
+    every = tuple(range(FOLDS))
+    n0, n1, uses = _in_class(0), _in_class(1), (_in_class(0) + _in_class(1)).alias("uses")
+
+    def above(n: Column) -> Column:
+        return F.greatest(n - d, F.lit(0.0))
+
+    p = [float((1 - base[2]) / base[c]) * above((n0, n1)[c]) + float(base[2] / contexts) * F.col("follows") for c in (0, 1)]
+    of_words = lexicon.where(F.col("key") != START).select(F.col("key").alias("w"), p[0].alias("p0"), p[1].alias("p1"), uses, (F.greatest(n0, n1) > d).alias("told"))
+    m0, m1, beyond = _masses(d, every)
+    of_contexts = pairs.groupBy("v").agg(m0.alias("m0"), m1.alias("m1"), beyond.alias("beyond")).where("m0 > 0 and m1 > 0")
+    started = lexicon.select(F.col("key").alias("v"), sum((F.col(a) for a in AFTER), F.lit(0)).alias("t"))
+    of_contexts = of_contexts.join(started, "v").select("v", "m0", "m1", ((F.col("t") - F.col("beyond")) / F.col("t")).alias("g")).where("g > 0")
+    own = pairs.where(F.greatest(n0, n1) > d).select("key", "v", "w", n0.alias("n0"), n1.alias("n1"), uses)
+    own = own.join(of_contexts, "v").join(of_words.drop("uses", "told"), "w")
+    q = [(1 - F.col("g")) * above(F.col(f"n{c}")) / F.col(f"m{c}") + F.col("g") * F.col(f"p{c}") for c in (0, 1)]
+    told = of_words.where("told").select(F.col("w").alias("key"), (F.log("p1") - F.log("p0")).cast("float").alias("x"), "uses")
+    return materialise(told.union(own.select("key", (F.log(q[1]) - F.log(q[0])).cast("float").alias("x"), "uses")))
+
+
+def _hold(model: ToxicityModel, table: DataFrame | None) -> None:
+    if table is None:
+        return
+    if table.count() > HELD:
+        least = _least(table, "uses", HELD)
+        model.rest = table.where(F.col("uses") < least).select("key", "x")
+        model.marks = _marks(model.rest)
+        table = table.where(F.col("uses") >= least)
+    held = table.select("key", "x").toPandas()
+    keys = held["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    model.keys, model.values = keys[order], held["x"].to_numpy(np.float32)[order]
+
+
+def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: np.ndarray) -> DataFrame:
+    """block and key of the distinct words and pairs of its texts that have a mark and are not held."""
+    shared = df.sparkSession.sparkContext.broadcast((marks, held))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, own = shared.value
+        found: dict[int, list[np.ndarray]] = {}
+        size = 0
 
-def _sampled_features(rows: DataFrame, model: ToxicityModel, crossed: list[list[Likelihoods]], share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features under each discount, and labels, of rows drawn one by one."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, crossed))
-    width = len(DISCOUNTS) * (len(SPANS) + 1)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b, keys in found.items():
+                keys = np.unique(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array(keys.view(np.int64))], ["block", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tables = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts, fold = texts_of(part, "text"), part.column("fold").to_numpy()
-                found = np.zeros((len(texts), width))
-                for f in np.unique(fold):
-                    own = np.flatnonzero(fold == f)
-                    found[own] = m.features([texts[i] for i in own], tables[f]).transpose(1, 0, 2).reshape(len(own), width)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(found), pa.list_(pa.float64()))], ["toxic", "x"])
-
+            for part in slices(batch, text_col):
+                texts, blocks = texts_of(part, text_col), part.column(block).to_numpy()
+                for b in np.unique(blocks):
+                    hashes, before, _ = expressions([texts[i] for i in np.flatnonzero(blocks == b)])
+                    keys = np.unique(np.concatenate([hashes, before, pair_key(before, hashes)]))
+                    keys = keys[marked(bits, keys)]
+                    keys = keys[place(own, keys) < 0]
+                    found.setdefault(int(b), []).append(keys)
+                    size += len(keys)
+                if size > 2_000_000:
+                    yield from flush()
+                    found, size = {}, 0
+        yield from flush()
+
+    return df.select(block, text_col).mapInArrow(run, "block int, key bigint")
+
+
+def _sampled_features(rows: DataFrame, share: float, lexicon: DataFrame, pairs: DataFrame, crossed: list, base: np.ndarray, contexts: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features under each discount, and labels, of rows drawn by their texts' hashes."""
+    drawn = F.xxhash64("text")
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = rows.mapInArrow(run, "toxic int, x array<double>").toPandas()
+        rows = rows.where(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30)))
+    block = (F.col("fold") * FIT_BLOCKS + F.pmod(drawn, F.lit(FIT_BLOCKS))).cast("int").alias("block")
+    rows = materialise(rows.select("text", "toxic", "fold", block).repartition(FOLDS * FIT_BLOCKS, "block"))
+    known = pairs.where(F.greatest(_in_class(0), _in_class(1)) >= LEAST_COUNT)
+    marks = _marks(known.select("key").union(lexicon.select("key")))
+    wanted = _wanted(rows, "text", "block", marks, np.zeros(0, np.uint64))
+    every = _masses(min(DISCOUNTS), tuple(range(FOLDS)))
+    masses = F.array(*[m for d, folds in crossed for m in _masses(d, folds)]).cast("array<float>").alias("masses")
+    of_contexts = pairs.groupBy("v").agg(masses, every[0].alias("m0"), every[1].alias("m1")).where("m0 > 0 and m1 > 0").select(F.col("v").alias("key"), "masses")
+    follows = F.when(F.col("key") != START, F.col("follows")).alias("follows")
+    of_words = lexicon.join(of_contexts, "key", "left").select("key", *COUNTS, follows, F.array(*AFTER).alias("after"), "masses")
+    none = [F.lit(None).cast(of_words.schema[c].dataType).alias(c) for c in ("follows", "after", "masses")]
+    width = 3 * len(DISCOUNTS)
+    found = wanted.join(of_words.union(known.select("key", *COUNTS, *none)), "key")
+    fold = F.floor(F.col("block") / FIT_BLOCKS).cast("int")
+    found = found.withColumn("masses", F.slice("masses", fold * width + 1, F.lit(width)))
+
+    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        keys = entries.column("key").to_numpy().view(np.uint64)
+        keys, first = np.unique(keys, return_index=True)
+        entries = entries.take(pa.array(first))
+        if not len(keys):
+            return _rows_of(texts.column("toxic").combine_chunks(), np.zeros((texts.num_rows, len(DISCOUNTS) * (len(SPANS) + 1))))
+        fold = texts.column("fold")[0].as_py()
+        n = np.array([sum(entries.column(COUNTS[c * FOLDS + f]).to_numpy() for f in _others(fold)) for c in (0, 1)], np.float64)
+        is_word, is_context = (entries.column(c).is_valid().to_numpy() for c in ("follows", "masses"))
+        lexicon, follows, n_word = keys[is_word], entries.column("follows").drop_null().to_numpy(), n[:, is_word]
+        started, own = keys[is_context], entries.filter(pa.array(is_context))
+        mass = np.zeros((len(started), len(DISCOUNTS), 3))
+        if len(started):
+            mass[:] = own.column("masses").combine_chunks().flatten().to_numpy().reshape(mass.shape)
+            t = own.column("after").combine_chunks().flatten().to_numpy().reshape(-1, FOLDS)[:, list(_others(fold))]
+            t = np.maximum(t.sum(axis=1), 1.0)[:, None]
+            mass[:, :, 2] = (t - mass[:, :, 2]) / t
+        by_class = []
+        for k, d in enumerate(DISCOUNTS):
+            m0, m1, g = base[fold, k]
+            above = np.maximum(n_word - d, 0)
+            by_class.append((1 - g) * above / np.array([[m0], [m1]]) + g * follows / contexts if m0 and m1 else np.ones_like(above))
+        out = []
+        for batch in texts.to_batches():
+            for part in slices(batch, "text"):
+                hashes, before, bounds = expressions(texts_of(part, "text"))
+                v, w, pair = place(started, before), place(lexicon, hashes), place(keys, pair_key(before, hashes))
+                known, paired = np.flatnonzero(w >= 0), np.flatnonzero((w >= 0) & (v >= 0) & (pair >= 0))
+                features = np.zeros((part.num_rows, len(DISCOUNTS), len(SPANS) + 1))
+                for k, d in enumerate(DISCOUNTS):
+                    if not base[fold, k, :2].all():
+                        continue
+                    p, value = by_class[k], np.zeros(len(hashes))
+                    value[known] = np.log(p[1][w[known]]) - np.log(p[0][w[known]])
+                    at = paired[(mass[v[paired], k] > 0).all(axis=1)]
+                    m, above = mass[v[at], k], np.maximum(n[:, pair[at]] - d, 0)
+                    q = [(1 - m[:, 2]) * above[c] / m[:, c] + m[:, 2] * p[c][w[at]] for c in (0, 1)]
+                    value[at] = np.log(q[1]) - np.log(q[0])
+                    features[:, k] = spans(value, bounds)
+                out.append(features.reshape(part.num_rows, -1))
+        return _rows_of(texts.column("toxic").combine_chunks(), np.concatenate(out))
+
+    grouped = rows.groupBy("block").cogroup(found.groupBy("block"))
+    found = grouped.applyInArrow(run, "toxic int, x array<double>").toPandas()
     if found.empty:
         return np.zeros((len(DISCOUNTS), 0, len(SPANS) + 1)), np.zeros(0)
     x = np.array(found["x"].tolist()).reshape(len(found), len(DISCOUNTS), -1).transpose(1, 0, 2)
     return x, found["toxic"].to_numpy(np.float64)
 
 
+def _rows_of(toxic: pa.Array, x: np.ndarray) -> pa.Table:
+    return pa.table({"toxic": toxic, "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights (the bias last) by damped Newton steps, and the mean loss."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -316,14 +429,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col: str = "toxicity") -> DataFrame:
-    """All columns of ``df`` and the score, in one narrow pass."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """All columns of ``df`` and the score: in one narrow pass if tasks hold all entries of
+    the model, else in blocks of texts to which the other entries are joined."""
+    marks, rest, held = model.marks, model.rest, ToxicityModel(model.keys, model.values, model.weights, model.bias, model.discount)
+    shared = df.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
+
+        def look_up(wanted: np.ndarray, value: np.ndarray) -> None:
+            for own, x in ((m.keys, m.values), (keys, values)):
+                at = place(own, wanted)
+                there = at >= 0
+                value[there] = x[at[there]]
+
         for batch in batches:
             for part in slices(batch, text_col):
-                score = m.score(m.features(texts_of(part, text_col), m.tables)[0])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, score_col])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score_col, DoubleType())]))
+                hashes, before, bounds = expressions(texts_of(part, text_col))
+                value = np.zeros(len(hashes))
+                look_up(hashes, value)
+                look_up(pair_key(before, hashes), value)
+                score = pa.array(m.score(spans(value, bounds)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, score_col])
+
+    schema = StructType([*df.schema.fields, StructField(score_col, DoubleType())])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    if rest is None:
+        return df.mapInArrow(lambda batches: scored(batches, *none), schema)
+    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    # By all columns, or the copies of one text would lie in one block.
+    spread = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+    block = "__block"
+    dealt = df.withColumn(block, F.pmod(spread, F.lit(1 + chars // BLOCK_CHARS)).cast(IntegerType()))
+    found = _wanted(dealt, text_col, block, marks, model.keys).join(rest, "key")
+
+    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        keys, first = np.unique(entries.column("key").to_numpy().view(np.uint64), return_index=True)
+        values = entries.column("x").to_numpy()[first].astype(np.float32)
+        texts = texts.drop_columns([block])
+        parts = list(scored(texts.to_batches(), keys, values))
+        return pa.Table.from_batches(parts)
+
+    return dealt.groupBy(block).cogroup(found.groupBy("block")).applyInArrow(run, schema)
