@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from triskel.llm import decontaminate, langid, minhash, packing, secrets, toxicity
-from triskel.llm.text import shingles, words
+from triskel.llm.text import LONG_RUN, mix, run_hashes, shingles, words
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = entry_point.queries()["op6_packed_windows"].__globals__["_tokenizer"]()
@@ -492,3 +492,56 @@ def test_toxicity_of_entries_beyond_those_held(spark, monkeypatch):
     assert got == want and len(got) == df.count()
     few = toxicity.ToxicityModel(part.keys, part.values, part.weights, part.bias)
     assert got != sorted(map(tuple, toxicity.score_toxicity(df, few, "text").collect()), key=str)
+
+
+def test_hashes_of_runs_equal_the_plain_polynomial():
+    rnd = random.Random(5)
+    lengths = [1, 7, LONG_RUN, LONG_RUN + 1, 1, 3 * LONG_RUN + 5, *[rnd.randrange(1, 12) for _ in range(20_000)]]
+    starts = np.cumsum([n + 1 for n in lengths]) - np.array(lengths) - 1
+    ends = starts + lengths
+    codes = np.array([rnd.randrange(0x110000) for _ in range(ends[-1] + 3)], np.uint32)
+    sums = []
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        sums.append(sum((c + 1) * (pow(0x9E3779B97F4A7C15, i % 1024, 1 << 64) + i // 1024) for i, c in enumerate(codes[s:e].tolist())) % (1 << 64))
+    assert run_hashes(codes, starts, ends).tolist() == mix(np.array(sums, np.uint64)).tolist()
+
+
+def plan_nodes(df):
+    return re.findall(r"^[\s:+*()\d-]*(\w+)", df._jdf.queryExecution().executedPlan().toString(), re.M)
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_toxicity_counts_are_dealt_out_before_spark_sums_them(spark, pairs):
+    df = toxic_table(spark, 40)
+    nodes = plan_nodes(toxicity._counted(toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.lit(True)), pairs))
+    dealt = nodes.index("Exchange")
+    assert "HashAggregate" in nodes[:dealt] and nodes.index("MapInArrow") > dealt
+    assert not any(n.endswith("Aggregate") for n in nodes[dealt : nodes.index("MapInArrow")])
+
+
+def test_toxicity_contexts_have_the_masses_of_each_fold(spark):
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(12), w, *[int(rnd.paretovariate(0.6)) % 90 - 1 for _ in range(2 * toxicity.FOLDS)]) for w in range(150)]
+    pairs = [(v, w, *[max(n, 0) for n in x]) for v, w, *x in pairs] + [(50, 0, 1, 0, 0, 0, 1, 0, 0, 0), (51, 0, 9, 9, 9, 9, 0, 0, 0, 0), (52, 0, 9, 9, 9, 9, 3, 0, 0, 0)]
+    df = spark.createDataFrame(pairs, ", ".join(["v bigint", "w bigint", *[f"{n} bigint" for n in toxicity.COUNTS]]))
+    want = {}
+    for f in range(toxicity.FOLDS):
+        others = [(v, *[sum(x[c * toxicity.FOLDS + g] for g in range(toxicity.FOLDS) if g != f) for c in (0, 1)]) for v, _, *x in pairs]
+        for v in {p[0] for p in pairs}:
+            masses = [sum(max(x, 0.0) for x in of) for d in toxicity.DISCOUNTS for of in zip(*[(a - d, b - d, a + b - 2 * d) for u, a, b in others if u == v], strict=True)]
+            if masses[0] > 0 and masses[1] > 0:
+                want.setdefault(v, {})[f] = masses
+    contexts = toxicity._contexts(df)
+    assert {r["key"]: r["masses"] for r in contexts.collect()} == want and 51 not in want and sorted(want[52]) == [1, 2, 3]
+    # Sums for all folds and discounts at once make code too long to be compiled.
+    assert max(line.count("partial_sum") for line in contexts._jdf.queryExecution().executedPlan().toString().split("\n")) == 3 * len(toxicity.DISCOUNTS)
+
+
+def test_toxicity_gives_back_no_text_that_nobody_keeps(spark):
+    df = toxic_table(spark, 200).withColumn("more", F.lit("x"))
+    model = toxicity.fit_toxicity(toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.lit(True)))
+    whole, narrow = (toxicity.score_toxicity(df, model, "text", "score", *keep) for keep in ([], [["toxic", "doc_id"]]))
+    assert whole.columns == ["doc_id", "text", "toxic", "more", "score"] and narrow.columns == ["toxic", "doc_id", "score"]
+    assert sorted(narrow.collect()) == sorted(whole.select(narrow.columns).collect())
+    of = re.search(r"MapInArrow run.*|MapInArrow .*", entry_point.queries()["op1_toxicity"](spark, SF)._jdf.queryExecution().executedPlan().toString())[0]
+    assert "doc_id" in of.rsplit("[", 1)[1] and "text" not in of.rsplit("[", 1)[1]

@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = toxicity.labelled(documents, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~_held_out("doc_id"))
     model = toxicity.fit_toxicity(rows)
-    scored = toxicity.score_toxicity(documents.select("doc_id", "text"), model, "text", "score")
+    scored = toxicity.score_toxicity(documents, model, "text", "score", ["doc_id"])
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
-RUN_BLOCK = 1 << 16
+RUN_BLOCK, LONG_RUN = 1 << 15, 1 << 10
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -95,29 +95,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers() -> np.ndarray:
-    out = np.empty(1024, np.uint64)
-    value = 1
-    for i in range(1024):
-        out[i] = value
-        value = value * _MULTIPLIER % (1 << 64)
-    return out
+def _powers(base: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64, one for each place of a block and a run that leaves it."""
+    out = np.full(RUN_BLOCK + LONG_RUN, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the code points of each run."""
-    out = np.empty(len(starts), np.uint64)
-    powers = _powers()
-    for lo in range(0, len(starts), RUN_BLOCK):
-        s, e = starts[lo : lo + RUN_BLOCK], ends[lo : lo + RUN_BLOCK]
-        lengths = e - s
-        first = np.cumsum(lengths) - lengths
-        inside = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        chars = codes[inside + np.repeat(s, lengths)].astype(np.uint64)
-        chars += np.uint64(1)
+    """A 64-bit hash of the code points of each run: their polynomial in the multiplier.
+
+    It is a difference of running sums over a block, moved to the run's start. ``starts``
+    ascend.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    powers, inverse = _powers(_MULTIPLIER), _powers(pow(_MULTIPLIER, -1, 1 << 64))
+    long = ends - starts > LONG_RUN
+    stops = np.where(long, starts, ends)
+    cuts = np.searchsorted(starts, np.arange(0, len(codes) + RUN_BLOCK, RUN_BLOCK))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo == hi:
+            continue
+        first, last = starts[lo], stops[hi - 1]
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((codes[first:last] + np.uint64(1)) * powers[: last - first], out=sums[1:])
+        s, e = starts[lo:hi] - first, stops[lo:hi] - first
+        out[lo:hi] = (sums[e] - sums[s]) * inverse[s]
+    for i in np.flatnonzero(long):
+        chars = codes[starts[i] : ends[i]] + np.uint64(1)
+        inside = np.arange(len(chars))
         # The block number of a very long run keeps its terms apart.
-        chars *= powers[inside & 1023] + (inside >> 10).astype(np.uint64)
-        out[lo : lo + RUN_BLOCK] = np.add.reduceat(chars, first)
+        out[i] = (chars * (powers[inside % LONG_RUN] + (inside // LONG_RUN).astype(np.uint64))).sum()
     return mix(out)
 
 

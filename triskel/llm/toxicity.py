@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +90,12 @@ def _pair_key() -> Column:
     return F.shiftleft("v", 1).bitwiseXOR(F.col("w"))
 
 
-def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where ``wanted`` stands in sorted ``keys``, or -1."""
-    if not len(keys) or not len(wanted):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """A place of each distinct value. ``np.unique`` gives the first one, for which it
+    sorts stably; that takes four times as long."""
+    order = np.argsort(values)
+    ranked = values[order]
+    return order[np.append(np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1])]
 
 
 def marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -155,10 +156,11 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys, kinds = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            own, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            at, own = pd.factorize(keys)
             counts = np.bincount(at * len(names) + kinds, minlength=len(names) * len(own)).reshape(-1, len(names)).astype(np.int32)
             if pairs:
-                v, w = (np.concatenate([h[i] for h in held])[first] for i in (2, 3))
+                v, w = np.empty_like(own), np.empty_like(own)
+                v[at], w[at] = (np.concatenate([h[i] for h in held]) for i in (2, 3))
                 order = np.argsort(v)  # neighbours alike: shuffled files get smaller
                 columns, counts = [v[order], w[order]], counts[order]
             else:
@@ -172,12 +174,12 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
                 hashes, before, bounds = expressions(texts_of(part, "text"))
                 owner, pair = np.repeat(np.arange(len(kind)), np.diff(bounds)), pair_key(before, hashes)
                 seeds = mix(np.arange(len(kind)).astype(np.uint64))[owner]
-                _, once = np.unique(mix(pair) + seeds, return_index=True)
+                once = distinct(mix(pair) + seeds)
                 if pairs:
                     held.append((pair[once], kind[owner[once]], before[once], hashes[once]))
                     size += len(once)
                 else:
-                    _, single = np.unique(mix(hashes) + seeds, return_index=True)
+                    single = distinct(mix(hashes) + seeds)
                     held.append((hashes[single], kind[owner[single]]))
                     held.append((before[once], fold[owner[once]] + np.int8(2 * FOLDS)))
                     held.append((hashes[once], np.full(len(once), 3 * FOLDS, np.int8)))
@@ -189,7 +191,8 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
             yield flush()
 
     counted = rows.mapInArrow(run, ", ".join([f"{i} bigint" for i in ids] + [f"{n} int" for n in names]))
-    return counted.groupBy(*ids).agg(*[F.sum(n).alias(n) for n in names])
+    # Dealt out as they are: a second sum in the task would find next to nothing to add up.
+    return counted.repartition(*ids).groupBy(*ids).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _least(counted: DataFrame, count: str, rows: int) -> int:
@@ -200,6 +203,17 @@ def _least(counted: DataFrame, count: str, rows: int) -> int:
     return int(fits[count].min()) if len(fits) else (1 << 62)
 
 
+def _contexts(pairs: DataFrame) -> DataFrame:
+    """key and masses of the contexts: by fold, for the models of the other folds that have
+    a mass of both classes there, the masses under each discount."""
+    folds = F.array(*[F.struct(F.lit(f).alias("fold"), *[_in_class(c, _others(f)).alias(f"n{c}") for c in (0, 1)]) for f in range(FOLDS)])
+    pairs = pairs.select("v", F.inline(folds)).where(F.greatest("n0", "n1") > min(DISCOUNTS))  # the others have no mass
+    n0, n1 = F.col("n0"), F.col("n1")
+    masses = [m for d in DISCOUNTS for m in _discounted(n0, n1, d)]
+    by_fold = pairs.groupBy("v", "fold").agg(F.array(*masses).cast("array<float>").alias("masses")).where("masses[0] > 0 and masses[1] > 0")
+    return by_fold.groupBy(F.col("v").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("fold", "masses"))).alias("masses"))
+
+
 def _in_class(c: int, folds: tuple[int, ...] = tuple(range(FOLDS))) -> Column:
     return sum((F.col(f"n{c * FOLDS + f}") for f in folds), F.lit(0))
 
@@ -210,8 +224,11 @@ def _others(fold: int) -> tuple[int, ...]:
 
 def _masses(d: float, folds: tuple[int, ...]) -> list[Column]:
     """Discounted mass of both classes, and what the pooled counts have beyond 2 d."""
-    n = [_in_class(c, folds) for c in (0, 1)]
-    return [F.sum(F.greatest(n[0] - d, F.lit(0.0))), F.sum(F.greatest(n[1] - d, F.lit(0.0))), F.sum(F.greatest(n[0] + n[1] - 2 * d, F.lit(0.0)))]
+    return _discounted(_in_class(0, folds), _in_class(1, folds), d)
+
+
+def _discounted(n0: Column, n1: Column, d: float) -> list[Column]:
+    return [F.sum(F.greatest(n0 - d, F.lit(0.0))), F.sum(F.greatest(n1 - d, F.lit(0.0))), F.sum(F.greatest(n0 + n1 - 2 * d, F.lit(0.0)))]
 
 
 def fit_toxicity(rows: DataFrame) -> ToxicityModel:
@@ -247,7 +264,7 @@ def fit_toxicity(rows: DataFrame) -> ToxicityModel:
     # Each fold is scored by the models of the other ones.
     crossed = [(d, _others(f)) for f in range(FOLDS) for d in DISCOUNTS]
     base = unigrams(crossed).reshape(FOLDS, len(DISCOUNTS), 3)
-    features, toxic = _sampled_features(rows, FIT_ROWS / sum(per_class.values()), lexicon, pairs, crossed, base, float(contexts))
+    features, toxic = _sampled_features(rows, FIT_ROWS / sum(per_class.values()), lexicon, pairs, base, float(contexts))
     best = None
     for k, d in enumerate(DISCOUNTS):
         weights, loss = _logistic(features[k], toxic)
@@ -273,10 +290,11 @@ def _table(lexicon: DataFrame, pairs: DataFrame, d: float, base: np.ndarray, con
     p = [float((1 - base[2]) / base[c]) * above((n0, n1)[c]) + float(base[2] / contexts) * F.col("follows") for c in (0, 1)]
     of_words = lexicon.where(F.col("key") != START).select(F.col("key").alias("w"), p[0].alias("p0"), p[1].alias("p1"), uses, (F.greatest(n0, n1) > d).alias("told"))
     m0, m1, beyond = _masses(d, every)
+    pairs = pairs.where(F.greatest(n0, n1) > d)  # the others have no mass
     of_contexts = pairs.groupBy("v").agg(m0.alias("m0"), m1.alias("m1"), beyond.alias("beyond")).where("m0 > 0 and m1 > 0")
     started = lexicon.select(F.col("key").alias("v"), sum((F.col(a) for a in AFTER), F.lit(0)).alias("t"))
     of_contexts = of_contexts.join(started, "v").select("v", "m0", "m1", ((F.col("t") - F.col("beyond")) / F.col("t")).alias("g")).where("g > 0")
-    own = pairs.where(F.greatest(n0, n1) > d).select("key", "v", "w", n0.alias("n0"), n1.alias("n1"), uses)
+    own = pairs.select("key", "v", "w", n0.alias("n0"), n1.alias("n1"), uses)
     own = own.join(of_contexts, "v").join(of_words.drop("uses", "told"), "w")
     q = [(1 - F.col("g")) * above(F.col(f"n{c}")) / F.col(f"m{c}") + F.col("g") * F.col(f"p{c}") for c in (0, 1)]
     told = of_words.where("told").select(F.col("w").alias("key"), (F.log("p1") - F.log("p0")).cast("float").alias("x"), "uses")
@@ -293,8 +311,8 @@ def _hold(model: ToxicityModel, table: DataFrame | None) -> None:
         table = table.where(F.col("uses") >= least)
     held = table.select("key", "x").toPandas()
     keys = held["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model.keys, model.values = keys[order], held["x"].to_numpy(np.float32)[order]
+    model.keys, first = np.unique(keys, return_index=True)
+    model.values = held["x"].to_numpy(np.float32)[first]
 
 
 def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: np.ndarray) -> DataFrame:
@@ -303,6 +321,7 @@ def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, own = shared.value
+        own = pd.Index(own)
         found: dict[int, list[np.ndarray]] = {}
         size = 0
 
@@ -318,7 +337,7 @@ def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: n
                     hashes, before, _ = expressions([texts[i] for i in np.flatnonzero(blocks == b)])
                     keys = np.unique(np.concatenate([hashes, before, pair_key(before, hashes)]))
                     keys = keys[marked(bits, keys)]
-                    keys = keys[place(own, keys) < 0]
+                    keys = keys[own.get_indexer(keys) < 0]
                     found.setdefault(int(b), []).append(keys)
                     size += len(keys)
                 if size > 2_000_000:
@@ -329,7 +348,7 @@ def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: n
     return df.select(block, text_col).mapInArrow(run, "block int, key bigint")
 
 
-def _sampled_features(rows: DataFrame, share: float, lexicon: DataFrame, pairs: DataFrame, crossed: list, base: np.ndarray, contexts: float) -> tuple[np.ndarray, np.ndarray]:
+def _sampled_features(rows: DataFrame, share: float, lexicon: DataFrame, pairs: DataFrame, base: np.ndarray, contexts: float) -> tuple[np.ndarray, np.ndarray]:
     """Features under each discount, and labels, of rows drawn by their texts' hashes."""
     drawn = F.xxhash64("text")
     if share < 1:
@@ -339,16 +358,17 @@ def _sampled_features(rows: DataFrame, share: float, lexicon: DataFrame, pairs:
     known = pairs.where(F.greatest(_in_class(0), _in_class(1)) >= LEAST_COUNT)
     marks = _marks(known.select("key").union(lexicon.select("key")))
     wanted = _wanted(rows, "text", "block", marks, np.zeros(0, np.uint64))
-    every = _masses(min(DISCOUNTS), tuple(range(FOLDS)))
-    masses = F.array(*[m for d, folds in crossed for m in _masses(d, folds)]).cast("array<float>").alias("masses")
-    of_contexts = pairs.groupBy("v").agg(masses, every[0].alias("m0"), every[1].alias("m1")).where("m0 > 0 and m1 > 0").select(F.col("v").alias("key"), "masses")
     follows = F.when(F.col("key") != START, F.col("follows")).alias("follows")
-    of_words = lexicon.join(of_contexts, "key", "left").select("key", *COUNTS, follows, F.array(*AFTER).alias("after"), "masses")
-    none = [F.lit(None).cast(of_words.schema[c].dataType).alias(c) for c in ("follows", "after", "masses")]
-    width = 3 * len(DISCOUNTS)
+    of_words = lexicon.join(_contexts(known), "key", "left").select("key", *COUNTS, follows, *AFTER, "masses")
+    none = [F.lit(None).cast(of_words.schema[c].dataType).alias(c) for c in ("follows", *AFTER, "masses")]
     found = wanted.join(of_words.union(known.select("key", *COUNTS, *none)), "key")
     fold = F.floor(F.col("block") / FIT_BLOCKS).cast("int")
-    found = found.withColumn("masses", F.slice("masses", fold * width + 1, F.lit(width)))
+
+    def others(names: list[str]) -> Column:
+        return sum((F.when(fold != f, F.col(n)).otherwise(0) for f, n in enumerate(names)), F.lit(0))
+
+    n = [others(COUNTS[c * FOLDS : (c + 1) * FOLDS]).alias(f"n{c}") for c in (0, 1)]
+    found = found.select("block", "key", *n, "follows", others(AFTER).alias("t"), F.element_at("masses", fold).alias("masses"))
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
         keys = entries.column("key").to_numpy().view(np.uint64)
@@ -357,33 +377,35 @@ def _sampled_features(rows: DataFrame, share: float, lexicon: DataFrame, pairs:
         if not len(keys):
             return _rows_of(texts.column("toxic").combine_chunks(), np.zeros((texts.num_rows, len(DISCOUNTS) * (len(SPANS) + 1))))
         fold = texts.column("fold")[0].as_py()
-        n = np.array([sum(entries.column(COUNTS[c * FOLDS + f]).to_numpy() for f in _others(fold)) for c in (0, 1)], np.float64)
+        n = np.array([entries.column(f"n{c}").to_numpy() for c in (0, 1)], np.float64)
         is_word, is_context = (entries.column(c).is_valid().to_numpy() for c in ("follows", "masses"))
         lexicon, follows, n_word = keys[is_word], entries.column("follows").drop_null().to_numpy(), n[:, is_word]
         started, own = keys[is_context], entries.filter(pa.array(is_context))
         mass = np.zeros((len(started), len(DISCOUNTS), 3))
         if len(started):
             mass[:] = own.column("masses").combine_chunks().flatten().to_numpy().reshape(mass.shape)
-            t = own.column("after").combine_chunks().flatten().to_numpy().reshape(-1, FOLDS)[:, list(_others(fold))]
-            t = np.maximum(t.sum(axis=1), 1.0)[:, None]
+            t = np.maximum(own.column("t").to_numpy(), 1.0)[:, None]
             mass[:, :, 2] = (t - mass[:, :, 2]) / t
-        by_class = []
+        by_class, by_word = [], []
         for k, d in enumerate(DISCOUNTS):
             m0, m1, g = base[fold, k]
             above = np.maximum(n_word - d, 0)
-            by_class.append((1 - g) * above / np.array([[m0], [m1]]) + g * follows / contexts if m0 and m1 else np.ones_like(above))
+            p = (1 - g) * above / np.array([[m0], [m1]]) + g * follows / contexts if m0 and m1 else np.ones_like(above)
+            by_class.append(p)
+            by_word.append(np.log(p[1]) - np.log(p[0]))
+        started, lexicon, entered = pd.Index(started), pd.Index(lexicon), pd.Index(keys)
         out = []
         for batch in texts.to_batches():
             for part in slices(batch, "text"):
                 hashes, before, bounds = expressions(texts_of(part, "text"))
-                v, w, pair = place(started, before), place(lexicon, hashes), place(keys, pair_key(before, hashes))
+                v, w, pair = started.get_indexer(before), lexicon.get_indexer(hashes), entered.get_indexer(pair_key(before, hashes))
                 known, paired = np.flatnonzero(w >= 0), np.flatnonzero((w >= 0) & (v >= 0) & (pair >= 0))
                 features = np.zeros((part.num_rows, len(DISCOUNTS), len(SPANS) + 1))
                 for k, d in enumerate(DISCOUNTS):
                     if not base[fold, k, :2].all():
                         continue
                     p, value = by_class[k], np.zeros(len(hashes))
-                    value[known] = np.log(p[1][w[known]]) - np.log(p[0][w[known]])
+                    value[known] = by_word[k][w[known]]
                     at = paired[(mass[v[paired], k] > 0).all(axis=1)]
                     m, above = mass[v[at], k], np.maximum(n[:, pair[at]] - d, 0)
                     q = [(1 - m[:, 2]) * above[c] / m[:, c] + m[:, 2] * p[c][w[at]] for c in (0, 1)]
@@ -428,18 +450,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
     return w, loss(w)
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col: str = "toxicity") -> DataFrame:
-    """All columns of ``df`` and the score: in one narrow pass if tasks hold all entries of
-    the model, else in blocks of texts to which the other entries are joined."""
+def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``df`` and the score: in one narrow pass if tasks hold all
+    entries of the model, else in blocks of texts to which the other entries are joined."""
+    keep = df.columns if keep is None else keep
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep or c == text_col])
     marks, rest, held = model.marks, model.rest, ToxicityModel(model.keys, model.values, model.weights, model.bias, model.discount)
     shared = df.sparkSession.sparkContext.broadcast(held)
 
     def scored(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
+        entries = (pd.Index(m.keys), m.values), (pd.Index(keys), values)
 
         def look_up(wanted: np.ndarray, value: np.ndarray) -> None:
-            for own, x in ((m.keys, m.values), (keys, values)):
-                at = place(own, wanted)
+            for own, x in entries:
+                at = own.get_indexer(wanted)
                 there = at >= 0
                 value[there] = x[at[there]]
 
@@ -450,9 +475,9 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col
                 look_up(hashes, value)
                 look_up(pair_key(before, hashes), value)
                 score = pa.array(m.score(spans(value, bounds)), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], score], [*keep, score_col])
 
-    schema = StructType([*df.schema.fields, StructField(score_col, DoubleType())])
+    schema = StructType([*[df.schema[c] for c in keep], StructField(score_col, DoubleType())])
     none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
     if rest is None:
         return df.mapInArrow(lambda batches: scored(batches, *none), schema)
