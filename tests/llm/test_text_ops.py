@@ -545,3 +545,13 @@ def test_toxicity_gives_back_no_text_that_nobody_keeps(spark):
     assert sorted(narrow.collect()) == sorted(whole.select(narrow.columns).collect())
     of = re.search(r"MapInArrow run.*|MapInArrow .*", entry_point.queries()["op1_toxicity"](spark, SF)._jdf.queryExecution().executedPlan().toString())[0]
     assert "doc_id" in of.rsplit("[", 1)[1] and "text" not in of.rsplit("[", 1)[1]
+
+
+def test_toxicity_pairs_leave_their_task_in_narrow_rows(spark):
+    df = toxic_table(spark, 60)
+    counted = toxicity._counted(toxicity.labelled(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", F.lit(True)), True)
+    sent = re.search(r"MapInArrow .*\[([^\]]*)\], ", counted._jdf.queryExecution().executedPlan().toString())[1]
+    assert re.findall(r"(\w+)#", sent) == ["v", "w", "kind", "n"]
+    n, pairs = plain_counts([(r["text"], r["toxic"]) for r in df.collect()])
+    got = counted.collect()
+    assert len(got) == len(pairs) and sorted(sum(r[c] for c in toxicity.COUNTS) for r in got) == sorted(map(sum, pairs.values()))

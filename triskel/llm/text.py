@@ -118,7 +118,10 @@ def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             continue
         first, last = starts[lo], stops[hi - 1]
         sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum((codes[first:last] + np.uint64(1)) * powers[: last - first], out=sums[1:])
+        chars = codes[first:last].astype(np.uint64)
+        chars += np.uint64(1)
+        chars *= powers[: last - first]
+        np.cumsum(chars, out=sums[1:])
         s, e = starts[lo:hi] - first, stops[lo:hi] - first
         out[lo:hi] = (sums[e] - sums[s]) * inverse[s]
     for i in np.flatnonzero(long):

@@ -147,25 +147,28 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
     """The number of documents with each pair (v, w), or each word, in each (class, fold),
     summed in the task, then by Spark. A word also has the number of pairs it begins
     (after: by fold) and ends (before), each pair once a document; the word ``ALL`` has
-    the sums over all words."""
+    the sums over all words.
+
+    Most pairs of a task are of one document: they leave it in a row for each kind (class
+    and fold), words in one with a column for each."""
     names = COUNTS if pairs else [*COUNTS, *AFTER, "before"]
     ids = ["v", "w"] if pairs else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            keys, kinds = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            at, own = pd.factorize(keys)
-            counts = np.bincount(at * len(names) + kinds, minlength=len(names) * len(own)).reshape(-1, len(names)).astype(np.int32)
+        def flush() -> pa.Table:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             if pairs:
-                v, w = np.empty_like(own), np.empty_like(own)
-                v[at], w[at] = (np.concatenate([h[i] for h in held]) for i in (2, 3))
-                order = np.argsort(v)  # neighbours alike: shuffled files get smaller
-                columns, counts = [v[order], w[order]], counts[order]
-            else:
-                columns, counts = [np.append(own, np.uint64(ALL))], np.vstack([counts, counts.sum(axis=0, dtype=np.int32)])
-            return pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in columns], *[pa.array(counts[:, i].copy()) for i in range(len(names))]], [*ids, *names])
+                v, w, kinds = columns
+                found = pa.table({"v": v.view(np.int64), "w": w.view(np.int64), "kind": kinds})
+                found = found.group_by(["v", "w", "kind"], use_threads=False).aggregate([([], "count_all")]).rename_columns([*ids, "kind", "n"])
+                return found.take(np.argsort(found.column("v").to_numpy()))  # neighbours alike: shuffled files get smaller
+            at, keys = pd.factorize(columns[0])
+            counts = np.bincount(at * len(names) + columns[1], minlength=len(names) * len(keys)).reshape(-1, len(names))
+            counts = np.vstack([counts, counts.sum(axis=0)]).astype(np.int32)
+            keys = np.append(keys, np.uint64(ALL)).view(np.int64)
+            return pa.table({"key": keys} | {n: counts[:, i].copy() for i, n in enumerate(names)})
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -176,7 +179,7 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
                 seeds = mix(np.arange(len(kind)).astype(np.uint64))[owner]
                 once = distinct(mix(pair) + seeds)
                 if pairs:
-                    held.append((pair[once], kind[owner[once]], before[once], hashes[once]))
+                    held.append((before[once], hashes[once], kind[owner[once]]))
                     size += len(once)
                 else:
                     single = distinct(mix(hashes) + seeds)
@@ -185,14 +188,15 @@ def _counted(rows: DataFrame, pairs: bool) -> DataFrame:
                     held.append((hashes[once], np.full(len(once), 3 * FOLDS, np.int8)))
                     size += len(single) + 2 * len(once)
                 if size > (2_000_000 if pairs else 4_000_000):
-                    yield flush()
+                    yield from flush().to_batches()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush().to_batches()
 
-    counted = rows.mapInArrow(run, ", ".join([f"{i} bigint" for i in ids] + [f"{n} int" for n in names]))
+    counted = rows.mapInArrow(run, "v bigint, w bigint, kind tinyint, n bigint" if pairs else ", ".join(["key bigint", *[f"{n} int" for n in names]]))
+    sums = [F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0) if pairs else n).alias(n) for i, n in enumerate(names)]
     # Dealt out as they are: a second sum in the task would find next to nothing to add up.
-    return counted.repartition(*ids).groupBy(*ids).agg(*[F.sum(n).alias(n) for n in names])
+    return counted.repartition(*ids).groupBy(*ids).agg(*sums)
 
 
 def _least(counted: DataFrame, count: str, rows: int) -> int:
@@ -460,13 +464,13 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col
 
     def scored(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
-        entries = (pd.Index(m.keys), m.values), (pd.Index(keys), values)
+        # The last value is read for a key that has no place.
+        entries = [(pd.Index(k), np.append(x, np.float32(0))) for k, x in ((m.keys, m.values), (keys, values)) if len(k)]
 
         def look_up(wanted: np.ndarray, value: np.ndarray) -> None:
             for own, x in entries:
                 at = own.get_indexer(wanted)
-                there = at >= 0
-                value[there] = x[at[there]]
+                np.copyto(value, x[at], where=at >= 0)
 
         for batch in batches:
             for part in slices(batch, text_col):
