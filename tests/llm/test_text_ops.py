@@ -555,3 +555,23 @@ def test_toxicity_pairs_leave_their_task_in_narrow_rows(spark):
     n, pairs = plain_counts([(r["text"], r["toxic"]) for r in df.collect()])
     got = counted.collect()
     assert len(got) == len(pairs) and sorted(sum(r[c] for c in toxicity.COUNTS) for r in got) == sorted(map(sum, pairs.values()))
+
+
+def test_toxicity_wanted_entries_of_many_blocks(spark):
+    df = toxic_table(spark, 200).withColumn("block", (F.col("doc_id") % 150).cast("int")).coalesce(1)
+    rows = [(r["text"], r["block"]) for r in df.collect()]
+    hashes, before, _ = toxicity.expressions([t for t, _ in rows])
+    held = np.unique(hashes)[::3]
+    marks = np.zeros(toxicity.SLOTS // 8, np.uint8)
+    slots = np.unique(np.concatenate([hashes, toxicity.pair_key(before, hashes)])[::2]) & np.uint64(toxicity.SLOTS - 1)
+    np.bitwise_or.at(marks, slots >> np.uint64(3), np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8))
+    want = set()
+    for text, block in rows:
+        words_of, first, _ = toxicity.expressions([text])
+        keys = np.unique(np.concatenate([words_of, first, toxicity.pair_key(first, words_of)]))
+        keys = keys[toxicity.marked(marks, keys) & ~np.isin(keys, held)]
+        want.update((block, k) for k in keys.view(np.int64).tolist())
+    got = [tuple(r) for r in toxicity._wanted(df, "text", "block", marks, held).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    model = toxicity.ToxicityModel(held)
+    assert model.places is model.places and "places" not in vars(toxicity.ToxicityModel(held))

@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,11 @@ class ToxicityModel:
     rest: DataFrame | None = None  # key and x of the entries not held
     marks: np.ndarray | None = None  # bitmap of their keys
 
+    @cached_property
+    def places(self) -> pd.Index:
+        """Index of the keys, made once by each worker."""
+        return pd.Index(self.keys)
+
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights + self.bias, -500, 500)))
 
@@ -321,33 +327,33 @@ def _hold(model: ToxicityModel, table: DataFrame | None) -> None:
 
 def _wanted(df: DataFrame, text_col: str, block: str, marks: np.ndarray, held: np.ndarray) -> DataFrame:
     """block and key of the distinct words and pairs of its texts that have a mark and are not held."""
-    shared = df.sparkSession.sparkContext.broadcast((marks, held))
+    shared = df.sparkSession.sparkContext.broadcast((marks, ToxicityModel(held)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, own = shared.value
-        own = pd.Index(own)
-        found: dict[int, list[np.ndarray]] = {}
-        size = 0
+        bits, model = shared.value
+        found, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for b, keys in found.items():
-                keys = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array(keys.view(np.int64))], ["block", "key"])
+        def flush() -> pa.RecordBatch:
+            blocks, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+            once = distinct(mix(keys) + mix(blocks))
+            once = once[np.argsort(keys[once])]  # neighbours alike: shuffled files get smaller
+            return pa.RecordBatch.from_arrays([pa.array(blocks[once].astype(np.int32)), pa.array(keys[once].view(np.int64))], ["block", "key"])
 
         for batch in batches:
             for part in slices(batch, text_col):
-                texts, blocks = texts_of(part, text_col), part.column(block).to_numpy()
-                for b in np.unique(blocks):
-                    hashes, before, _ = expressions([texts[i] for i in np.flatnonzero(blocks == b)])
-                    keys = np.unique(np.concatenate([hashes, before, pair_key(before, hashes)]))
-                    keys = keys[marked(bits, keys)]
-                    keys = keys[own.get_indexer(keys) < 0]
-                    found.setdefault(int(b), []).append(keys)
-                    size += len(keys)
+                hashes, before, bounds = expressions(texts_of(part, text_col))
+                keys = np.concatenate([hashes, before, pair_key(before, hashes)])
+                blocks = np.tile(np.repeat(part.column(block).to_numpy().astype(np.uint64), np.diff(bounds)), 3)
+                once = distinct(mix(keys) + mix(blocks))
+                once = once[marked(bits, keys[once])]
+                once = once[model.places.get_indexer(keys[once]) < 0]
+                found.append((blocks[once], keys[once]))
+                size += len(once)
                 if size > 2_000_000:
-                    yield from flush()
-                    found, size = {}, 0
-        yield from flush()
+                    yield flush()
+                    found, size = [], 0
+        if found:
+            yield flush()
 
     return df.select(block, text_col).mapInArrow(run, "block int, key bigint")
 
@@ -465,7 +471,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str, score_col
     def scored(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
         # The last value is read for a key that has no place.
-        entries = [(pd.Index(k), np.append(x, np.float32(0))) for k, x in ((m.keys, m.values), (keys, values)) if len(k)]
+        entries = [(k, np.append(x, np.float32(0))) for k, x in ((m.places, m.values), (pd.Index(keys), values)) if len(k)]
 
         def look_up(wanted: np.ndarray, value: np.ndarray) -> None:
             for own, x in entries:
